@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLES = 32
+SAMPLES = 48
+LANE = 4
 _GAP = r"[\x09-\x0D\x20]+"
 _NULL_ID = -(1 << 63)
 
@@ -30,29 +31,28 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + 0.5) * (2.0**-width)
 
 
-def _slots(samples: int) -> list[tuple[Column, Column]]:
-    """For each slot, the packed sample of the columns ``w0`` and ``w1`` (weights of one ``term``)."""
-    out = []
-    for k in range(samples):
-        one, two = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
-        r = -F.log(_uniform(one, 0, 32) * _uniform(one, 32, 32))
-        ln_c = F.log(-F.log(_uniform(two, 0, 22) * _uniform(two, 22, 21)))
-        b = _uniform(two, 43, 21)
-        pair = []
-        for ln_w in ("l0", "l1"):
-            t = F.floor(F.col(ln_w) / r + b)
-            ln_a = ln_c - r * (t - b + 1)
-            fixed = F.floor((ln_a + 128) * float(1 << 30)).cast("long")
-            pair.append(F.shiftleft(fixed, 24).bitwiseOR(F.xxhash64("term", F.lit(k), t).bitwiseAND(F.lit(0xFFFFFF))))
-        out.append(tuple(pair))
-    return out
+def _draws(slot: Column) -> list[Column]:
+    """r, ln c and b of the word hash ``th`` in a slot."""
+    one, two = F.xxhash64("th", 2 * slot), F.xxhash64("th", 2 * slot + 1)
+    r = -F.ln(_uniform(one, 0, 32) * _uniform(one, 32, 32))
+    ln_c = F.ln(-F.ln(_uniform(two, 0, 22) * _uniform(two, 22, 21)))
+    return [r, ln_c, _uniform(two, 43, 21)]
+
+
+def _packed(slot: Column, ln_w: Column, r: Column, ln_c: Column, b: Column) -> Column:
+    """ln a above, 24 bits that tell (word, t) below; null without a weight."""
+    t = F.floor(ln_w / r + b)
+    fixed = ((ln_c - r * (t - b + 1) + 128) * float(1 << 30)).cast("long")
+    return F.shiftleft(fixed, 24).bitwiseOR(F.xxhash64("th", slot, t).bitwiseAND(F.lit(0xFFFFFF)))
 
 
 def fingerprints_of_pairs(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys`` and the slots ``f0``, ``f1`` (array<int>, -1: no words) of the texts ``t0``, ``t1``.
 
     ``copies`` says how many equal rows of ``pairs`` share the keys.  If ``pairs`` is
-    partitioned by the keys already, nothing is shuffled.
+    partitioned by the keys already, nothing is shuffled.  Slots are drawn ``LANE``
+    at a time, one row for each word and lane: r, c and b are computed once for the
+    weights of both texts, and generated code stays small enough to be compiled.
     """
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("t0").alias("body")), F.struct(F.lit(1).alias("side"), F.col("t1").alias("body"))))
     bodies = pairs.select(*keys, "copies", sides.alias("s"))
@@ -62,11 +62,17 @@ def fingerprints_of_pairs(pairs: DataFrame, keys: list[str], samples: int = SAMP
         .agg(F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"))
     )
     # a word of no weight has no logarithm (null), and the empty string is no word
-    logs = terms.select(*keys, "term", *[F.when((F.col(w) > 0) & (F.col("term") != ""), F.log(F.col(w) / F.col("copies"))).alias(n) for w, n in (("w0", "l0"), ("w1", "l1"))])
-    slots = _slots(samples)
-    mins = logs.groupBy(*keys).agg(*[F.min(slots[k][side]).alias(f"m{side}_{k}") for k in range(samples) for side in (0, 1)])
-    held = lambda side: F.array(*[F.coalesce(F.col(f"m{side}_{k}").bitwiseAND(F.lit(0xFFFFFF)), F.lit(-1)).cast("int") for k in range(samples)])
-    return mins.select(*keys, held(0).alias("f0"), held(1).alias("f1"))
+    logs = [F.when((F.col(w) > 0) & (F.col("term") != ""), F.ln(F.col(w) / F.col("copies"))).alias(n) for w, n in (("w0", "l0"), ("w1", "l1"))]
+    lanes = F.explode(F.array(*[F.lit(i) for i in range(0, samples, LANE)])).alias("lane")
+    drawn = terms.select(*keys, F.xxhash64("term").alias("th"), *logs).select("*", lanes)
+    slot = [F.col("lane") + j for j in range(LANE)]
+    drawn = drawn.select(*keys, "lane", "th", "l0", "l1", *[c.alias(f"{n}{j}") for j in range(LANE) for n, c in zip("rcb", _draws(slot[j]))])
+    least = [F.min(_packed(slot[j], F.col(f"l{side}"), *[F.col(f"{n}{j}") for n in "rcb"])).alias(f"m{side}_{j}") for j in range(LANE) for side in (0, 1)]
+    mins = drawn.groupBy(*keys, "lane").agg(*least)
+    held = lambda side: F.array(*[F.coalesce(F.col(f"m{side}_{j}").bitwiseAND(F.lit(0xFFFFFF)), F.lit(-1)).cast("int") for j in range(LANE)])
+    by_lane = mins.select(*keys, F.struct("lane", held(0).alias("f0"), held(1).alias("f1")).alias("s"))
+    whole = by_lane.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return whole.select(*keys, *[F.flatten(F.col(f"s.{f}")).alias(f) for f in ("f0", "f1")])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -108,24 +114,28 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     document follows itself; an empty table gives no rows; other columns are not
     read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("i"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.select("i", F.xxhash64("text").alias("h"), "text")
     ring = _in_a_ring(base.select("i", "h", F.char_length("text").alias("n")).groupBy("i", "h", "n").agg(F.count("*").alias("copies")))
     ring = written(ring, "ring-next")
-
     giver = ring.select(F.col("next_i").alias("i"), F.col("next_h").alias("h"), F.col("i").alias("to_i"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
-    pieces = base.join(giver, ["i", "h"]).select(F.col("to_i").alias("i"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("k")).alias("piece"))
-    pieces = pieces.groupBy("i", "h").agg(F.min("piece").alias("piece"))
-    both = base.join(pieces, ["i", "h"]).join(ring, ["i", "h"])
+    placed = ring.join(giver, ["i", "h"])
+
+    # both uses below read one exchange of the texts
+    joined = base.repartition(parts, "i", "h").join(placed, ["i", "h"])
+    pieces = joined.groupBy("i", "h").agg(F.first("to_i").alias("to_i"), F.first("to_h").alias("to_h"), F.first(F.substring("text", F.lit(1), F.col("k"))).alias("piece"))
+    pieces = pieces.select(F.col("to_i").alias("i"), F.col("to_h").alias("h"), "piece").repartition(parts, "i", "h")
+    both = joined.join(pieces, ["i", "h"])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), F.col("piece"))
-    both = both.select("i", "h", "doc_id", "n", "copies", "next_i", "next_h", F.col("text").alias("t0"), edited.alias("t1"))
+    both = both.select("i", "h", "n", "copies", "next_i", "next_h", F.col("text").alias("t0"), edited.alias("t1"))
 
     prints = fingerprints_of_pairs(both.select("i", "h", "copies", "t0", "t1"), ["i", "h"], samples)
-    facts = both.select("i", "h", "doc_id", "n", F.sha2("t1", 256).alias("edited_sha256"), "next_i", "next_h")
+    facts = both.select("i", "h", "n", F.sha2("t1", 256).alias("edited_sha256"), "next_i", "next_h")
     own = written(facts.join(prints, ["i", "h"]), "prints")
     other = own.select(F.col("i").alias("next_i"), F.col("h").alias("next_h"), F.col("f0").alias("g0")).distinct()
     return own.join(other, ["next_i", "next_h"]).select(
-        "doc_id",
+        F.when(F.col("i") != _NULL_ID, F.col("i")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("f0")).alias("fingerprint"),
