@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, simhash_dedup, toxicity, warc, weighted_sampling
+from . import decontamination, lm_scoring, quality, simhash_dedup, toxicity, warc, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
