@@ -42,6 +42,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text",
+    keep: tuple = (),
 ) -> DataFrame:
     """``docs`` with what of each text occurs in ``benchmark``; every row of ``docs`` stays once.
 
@@ -50,11 +51,13 @@ def contamination(
     id and text.  Null and empty texts have no words; items without words have no
     windows; items of equal words share their hits; null item ids are left out of
     ``item_ids`` but their windows count as hits; rows with equal id and text are
-    judged alike; either table may be empty.  Other columns are dropped, so their
-    names cannot clash.
+    judged alike; either table may be empty.  Of the other columns of ``docs`` those
+    named in ``keep`` follow; the rest are dropped, so names cannot clash.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_h"))
     base = base.withColumn("_k", F.xxhash64("doc_id", "_h"))
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
+    full = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_h"), *rest).withColumn("_k", F.xxhash64("doc_id", "_h"))
     items = _items(benchmark, item_id_col, item_text_col)
     nbytes = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
     small = F.broadcast if nbytes <= BROADCAST_BYTES else (lambda df: df)
@@ -88,8 +91,8 @@ def contamination(
     )
 
     same = (F.col("_k") == F.col("_j")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))
-    both = base.join(aligned, same, "left")
-    both = both.select("doc_id", "text", words(F.col("text")).alias("_w"), "_met")
+    both = full.join(aligned, same, "left")
+    both = both.select("doc_id", "text", words(F.col("text")).alias("_w"), "_met", *["_rest"] * bool(keep))
 
     def starts(met: Column) -> Column:
         """Where, in the document, windows of the item occur under this alignment."""
@@ -112,4 +115,5 @@ def contamination(
         F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_v", lambda v: v["ids"])))).alias("item_ids"),
         (F.size("_v") > 0).alias("contaminated"),
+        *["_rest.*"] * bool(keep),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def collect_features(rows: DataFrame, features: Callable[[str], list[float]]) ->
     return x, got.column("y").to_numpy().astype(np.float64), got.column("part").to_numpy()
 
 
+def with_score(docs: DataFrame, features: Callable[[str], list[float]], score: Callable[[np.ndarray], np.ndarray], name: str, text_col: str = "text") -> DataFrame:
+    """All of ``docs`` with the column ``name``; a null text is scored as an empty one."""
+
+    @F.pandas_udf("double")
+    def value(texts: pd.Series) -> pd.Series:
+        return pd.Series(score(matrix(list(texts), features)) if len(texts) else np.zeros(0))
+
+    return docs.withColumn(name, value(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def scored(docs: DataFrame, features: Callable[[str], list[float]], score: Callable[[np.ndarray], np.ndarray], cut: float) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
 

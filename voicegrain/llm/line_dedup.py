@@ -61,9 +61,11 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
     return line[new], word[new], owner, number, begin, stop
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.select("i", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("v"), "text")
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
+    """``(i, v, text)`` and, if columns are to be kept, the struct ``_rest`` of them."""
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
+    return base.select("i", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("v"), "text", *["_rest"] * bool(keep))
 
 
 def _line_keys(base: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def _line_keys(base: DataFrame) -> DataFrame:
                 size = np.diff(np.append(at, len(line))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(number[used].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(size)], ["i", "v", "line", "sig", "size"])
 
-    return base.mapInArrow(run, "i long, v int, line int, sig long, size int")
+    return base.select("i", "v", "text").mapInArrow(run, "i long, v int, line int, sig long, size int")
 
 
 def rarity(base: DataFrame, cells: int = CELLS) -> np.ndarray:
@@ -280,13 +282,13 @@ def _packed(run, rows: int = 5_000):
     return gather
 
 
-def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """``texts (i, v, text, ...)`` and the lines ``(i, v, line)`` that an earlier line of the corpus matches.
 
     Lines are ordered by id, then a 31-bit hash of the text (v), then position.
     """
     spark = docs.sparkSession
-    base = _keyed(docs, id_col, text_col)
+    base = _keyed(docs, id_col, text_col, keep)
     count = spark.sparkContext.broadcast(rarity(base, cells))
     keys = written(_line_keys(base), "lines")
     first = keys.groupBy("sig", "size").agg(F.min(F.struct("i", "v", "line")).alias("first"))
@@ -316,7 +318,7 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     return texts, near
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """``docs`` without the lines that an earlier line matches at ``threshold`` or more.
 
     One row per row of ``docs``: ``doc_id, text`` (the lines kept, joined by line
@@ -325,14 +327,16 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELL
     stays; matches are judged on the input, so a removed line can remove others.
     A null text is empty, with one empty line.  Rows equal in id and text are one
     text: they lose the same lines and keep a row each.  Null ids come last and
-    stay null; an empty table gives no rows; other columns are not read.
+    stay null; an empty table gives no rows; of the other columns only those named in
+    ``keep`` are read, and they follow.
     """
-    texts, near = later_matches(docs, threshold, cells, id_col, text_col)
+    texts, near = later_matches(docs, threshold, cells, id_col, text_col, keep)
     gone = near.distinct().groupBy("i", "v").agg(F.collect_list("line").alias("near"))
     none = F.array().cast("array<int>")
-    found = texts.join(gone, ["i", "v"], "left").select("i", "text", F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias("gone"))
+    found = texts.join(gone, ["i", "v"], "left").select("i", "text", *["_rest"] * bool(keep), F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias("gone"))
     lines = F.split("text", "\n")
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n"))
     return found.select(
-        F.when(F.col("i") != _NULL_ID, F.col("i")).alias("doc_id"), kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed")
+        F.when(F.col("i") != _NULL_ID, F.col("i")).alias("doc_id"), kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
+        *["_rest.*"] * bool(keep),
     )

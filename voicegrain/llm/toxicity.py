@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .labelled import collect_features, scored, training_rows
+from .labelled import collect_features, scored, training_rows, with_score
 
 #: At most so many labelled rows are learnt from.
 TRAINING_ROWS = 8000
@@ -136,9 +136,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     counts as held out; repeated rows each get their row; without labels of both
     classes every score is the smoothed share of label 1; other columns are not read.
     """
+    features, score = learn(docs, labels, rows)
+    return scored(docs, features, score, cut)
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
+    """The features of a text and the calibrated score of feature rows, learnt from at most ``rows`` labelled documents."""
     known = training_rows(docs, labels, "toxic", rows)
     features = Features(learn_lexicon(known))
     x, y, part = collect_features(known, features)
     model = boosting.fit(x[part != 4], y[part != 4], trees=60)
     calibrate = boosting.isotonic(model.probability(x[part == 4]), y[part == 4])
-    return scored(docs, features, lambda z: calibrate(model.probability(z)), cut)
+    return features, lambda z: calibrate(model.probability(z))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``cut``."""
+    features, score = learn(docs, labels, rows)
+    return with_score(docs, features, score, "_toxicity").where(F.col("_toxicity") < cut).drop("_toxicity")
