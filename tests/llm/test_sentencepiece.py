@@ -28,12 +28,16 @@ def brute(word):
     return best[-1][1]
 
 
+def split(flat, begin):
+    return [flat[a:z].tolist() for a, z in zip(begin[:-1], begin[1:])]
+
+
 def test_segments_match_the_recurrence(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
     words = sorted({w for t in texts for w in t.split()})
     words = random.Random(1).sample(words, min(len(words), 150)) + ["𐍈x𐍈", "x" * 40, "é", "日本語テキスト"]
     words = [codec.BLANK + w for w in words]
-    assert [t.tolist() for t in codec.segment(MODEL, words)] == [brute(w) for w in words]
+    assert split(*codec.segment(MODEL, words)) == [brute(w) for w in words]
 
 
 def test_never_below_the_library_in_unigram_mode(spark, sf):
@@ -45,7 +49,7 @@ def test_never_below_the_library_in_unigram_mode(spark, sf):
     library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     words = sorted({w for t in texts for w in t.split() if w.isascii() and w.isalpha()})[:3000]
-    got = [t.tolist() for t in codec.segment(MODEL, [codec.BLANK + w for w in words])]
+    got = split(*codec.segment(MODEL, [codec.BLANK + w for w in words]))
     want = library.encode(words)
     total = lambda ids: sum(map(library.get_score, ids))
     assert all(total(a) >= total(b) for a, b in zip(got, want))  # the best score; the library now and then stays below it
@@ -62,4 +66,13 @@ def test_round_trip_and_odd_inputs(spark, sf):
     assert {k for k in back if not k[1]} == {(8, False)}
     assert back[1, True].n_tokens == 0 and back[2, True].n_tokens == 0 and back[3, True].n_tokens == 2
     assert codec.round_trip(odd).count() == 10 and codec.round_trip(odd.limit(0)).count() == 0
-    assert codec.decode_ids(MODEL, np.array([3 + 0xFF])) == "�"
+    assert codec.decode_texts(MODEL, np.array([3 + 0xFF]), np.array([1])) == ["�"]
+
+
+def test_texts_are_their_words(spark, sf):
+    encoder = codec.Encoder(MODEL, limit=50)
+    texts = ["a  b\n\nc d\n e", "", "\n", " ", "x\ty é", "𐍈ñ€ a"]
+    for _ in range(3):
+        ids, sizes = encoder(texts)
+        got = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [g.tolist() for g in got] == [brute(codec.BLANK + t.replace(" ", codec.BLANK)) if t else [] for t in texts]

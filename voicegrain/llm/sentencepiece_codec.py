@@ -29,7 +29,7 @@ from .common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _CELLS = 150_000
-_CHUNK = 6 << 20
+_CHUNK = 3 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,52 +124,101 @@ def _segment(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[np.arange(size) >= (size - used)[:, None]], used
 
 
-def segment(model: Model, words: list[str]) -> list[np.ndarray]:
-    """Token ids of each word (blanks already marked)."""
-    result: list = [np.zeros(0, np.int64)] * len(words)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for size, at in by_length.items():
-        block = max(1, _CELLS // max(size, 1))
-        for lo in range(0, len(at) if size else 0, block):
+def segment(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words (blanks already marked), one word after the other, and where each begins (and the last ends)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    used = np.zeros(len(words), np.int64)
+    done = []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        block = max(1, _CELLS // size)
+        for lo in range(0, len(at), block):
             part = at[lo : lo + block]
-            tokens, used = _segment(model, _codes([words[i] for i in part], size))
-            for i, t in zip(part, np.split(tokens, np.cumsum(used)[:-1])):
-                result[i] = _with_bytes(model, t) if t.min() < 0 else t
-    return result
-
-
-def _with_bytes(model: Model, tokens: np.ndarray) -> np.ndarray:
-    parts = [model.byte_ids[list(chr(-1 - t).encode("utf-8", "surrogatepass"))] if t < 0 else [t] for t in tokens.tolist()]
-    return np.concatenate(parts).astype(np.int64)
-
-
-def _long(model: Model, word: str) -> np.ndarray:
-    """A word with line feeds: the parts between them are independent."""
-    feed = model.byte_ids[[10]]
-    parts = segment(model, word.split("\n"))
-    return np.concatenate([x for p in parts for x in (p, feed)][:-1])
-
-
-def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Token ids of every text; an empty text has none."""
-    number: dict[str, int] = {}
-    rows = [[number.setdefault(w, len(number)) for w in t.split(" ")] if t else [] for t in texts]
-    words = [BLANK + w for w in number]
-    plain = [i for i, w in enumerate(words) if "\n" not in w]
-    found: list = [None] * len(words)
-    for i, t in zip(plain, segment(model, [words[i] for i in plain])):
-        found[i] = t
-    for i, w in enumerate(words):
-        if found[i] is None:
-            found[i] = _long(model, w)
-    return [np.concatenate([found[i] for i in row]) if row else np.zeros(0, np.int64) for row in rows]
-
-
-def decode_ids(model: Model, ids: np.ndarray) -> str:
-    """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
-    return b"".join(map(model.out.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+            tokens, count = _bytes_for_uncovered(model, *_segment(model, _codes([words[i] for i in part], size)))
+            used[part] = count
+            done.append((part, tokens, count))
+    begin = np.concatenate([[0], np.cumsum(used)])
+    flat = np.zeros(begin[-1], np.int64)
+    for part, tokens, count in done:
+        flat[_ranges(begin[part], count)] = tokens
+    return flat, begin
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of every range, one range after the other."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def _bytes_for_uncovered(model: Model, tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens below zero (-1 - code point) become the byte pieces of the character in UTF-8."""
+    if not len(tokens) or tokens.min() >= 0:
+        return tokens, count
+    code = np.where(tokens < 0, -1 - tokens, 0)
+    n = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    owner = np.repeat(np.repeat(np.arange(len(count)), count), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    tokens, code, n = np.repeat(tokens, n), np.repeat(code, n), np.repeat(n, n)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n] | (code >> (6 * (n - 1)))
+    value = np.where(k == 0, lead, 0x80 | ((code >> np.maximum(6 * (n - 1 - k), 0)) & 0x3F))
+    return np.where(tokens < 0, model.byte_ids[value], tokens), np.bincount(owner, minlength=len(count))
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Encoder:
+    """Encodes batches of texts; words met before are not segmented again while at most ``limit`` are held."""
+
+    def __init__(self, model: Model, limit: int = 200_000):
+        self.model, self.limit = model, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = _Numbers()
+        self.flat, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after the other, and how many each has; an empty text has none."""
+        if len(self.number) > self.limit:
+            self.clear()
+        known, find, feed = len(self.number), self.number.__getitem__, self.number["\n"]
+        rows: list[int] = []
+        sizes = []
+        for text in texts:
+            before = len(rows)
+            if text:
+                lines = text.split("\n")
+                rows.extend(map(find, lines[0].split(" ")))
+                for line in lines[1:]:
+                    first, *rest = line.split(" ")
+                    rows.append(feed)
+                    if first:
+                        rows.append(find("\n" + first))  # no blank stands before it
+                    rows.extend(map(find, rest))
+            sizes.append(len(rows) - before)
+        new = list(self.number)[known:]
+        flat, begin = segment(self.model, [w if w == "\n" else w[1:] if w[:1] == "\n" else BLANK + w for w in new])
+        self.begin = np.concatenate([self.begin, begin[1:] + self.begin[-1]])
+        self.flat = np.concatenate([self.flat, flat])
+        at = np.array(rows, dtype=np.int64)
+        count = self.begin[at + 1] - self.begin[at]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *sizes])]
+        return self.flat[_ranges(self.begin[at], count)], np.diff(ends)
+
+
+def decode_texts(model: Model, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The texts of token ids that stand one after the other; bytes that are no UTF-8 become U+FFFD."""
+    lengths = np.fromiter(map(len, model.out), np.int64, len(model.out))
+    table = np.frombuffer(b"".join(model.out), np.uint8)
+    size = lengths[ids]
+    data = table[_ranges((np.cumsum(lengths) - lengths)[ids], size)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [data[a:z].decode("utf-8", "replace").removeprefix(" ") for a, z in zip(ends[:-1], ends[1:])]
 
 
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,12 +230,12 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
+        encoder = Encoder(model.value)
         for b in batches:
             for lo, hi, _, _ in tv.pieces(b.column(1), _CHUNK):
-                ids = encode_batch(model.value, b.column(1)[lo:hi].to_pylist())
-                sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(sizes), flat)], ["doc_id", "text", "ids"])
+                ids, sizes = encoder(b.column(1)[lo:hi].to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["doc_id", "text", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -197,13 +246,12 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists = b.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            text, digest = [], []
-            for i, j in zip(offsets[:-1], offsets[1:]):
-                text.append(decode_ids(model.value, flat[i:j]))
-                digest.append(hashlib.sha256(flat[i:j].astype("<i4").tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text), pa.array(digest)], ["doc_id", "text", "ids", "decoded", "ids_sha256"])
+            for lo in range(0, len(b), 1000):
+                part = b.slice(lo, 1000)
+                offsets, flat = part.column(2).offsets.to_numpy(), part.column(2).values.to_numpy()
+                digest = [hashlib.sha256(flat[i:j].astype("<i4").tobytes()).hexdigest() for i, j in zip(offsets[:-1], offsets[1:])]
+                text = decode_texts(model.value, flat[offsets[0] : offsets[-1]], np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string()), pa.array(digest, pa.string())], ["doc_id", "text", "ids", "decoded", "ids_sha256"])
 
     return coded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string, ids_sha256 string")
 
