@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +87,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
         now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose plans are no longer referenced.
+
+    Without this they stay until the driver happens to collect its garbage, and an
+    operator of several jobs would hold the files of all of them at once.
+    """
+    for _ in range(2):  # a plan's objects become free only after the first collection
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

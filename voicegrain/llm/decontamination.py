@@ -92,7 +92,8 @@ def contamination(
 
     same = (F.col("_k") == F.col("_j")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))
     both = full.join(aligned, same, "left")
-    both = both.select("doc_id", "text", words(F.col("text")).alias("_w"), "_met", *["_rest"] * bool(keep))
+    # a generator of one row: the optimiser cannot move the split into each expression that reads the words
+    both = both.select("doc_id", "text", F.explode(F.array(words(F.col("text")))).alias("_w"), "_met", *["_rest"] * bool(keep))
 
     def starts(met: Column) -> Column:
         """Where, in the document, windows of the item occur under this alignment."""

@@ -1,14 +1,16 @@
 """Repeated byte strings by prefix doubling over sampled positions (operator 4).
 
-A string of ``length`` bytes repeats only if its two halves do.  Doubling starts at
-half the length, at sampled positions: every window of ``length`` bytes names the
-position of its smallest half-length hash (the rightmost of equals), so equal
-strings name equal positions and about one position in a hundred is sorted first.
-Positions whose half-length rank is unique drop out, and with them all starts that
-named them.  The rest double their offset twice: first to the whole context of a
-named position (if two contexts are equal, all their starts repeat and need no
-further rank), then, start by start, to the pair of ranks of the two halves.  Pairs
-that occur twice are strings that repeat.
+A string of ``length`` bytes repeats only if its parts do, so ranks grow from short
+strings to long ones and positions drop out as soon as their rank is unique.  The
+first rank is that of three quarters of the length, at sampled positions: every
+window of ``length`` bytes names the position in it of the smallest hash of such a
+string (the rightmost of equals), so equal strings name equal positions and about
+one position in fifty is sorted.  Positions of a unique rank drop out, and with them
+all starts that named them.  The next offset takes blocks of 16 starts at a fixed
+distance from what they name: a string that holds all of a block's strings and
+occurs twice settles the block.  The starts of the blocks left over are ranked one
+by one by the pair of ranks of their halves; pairs that occur twice are strings that
+repeat.
 
 A rank is a 64-bit hash (96 bits for the last pair).  All sorting, counting and
 joining is Spark's; tasks only hash.
@@ -22,13 +24,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import drop_written, release, written
 
 LENGTH = 400
+_BLOCK = 16
 _PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 _NULL_ID = -(1 << 63)
 
 
+def _first(length: int) -> int:
+    """The length of the first rank: three quarters."""
+    return length - length // 4
+
+
 class _Hasher:
     """Hashes of all substrings of a byte array in constant time each, for one multiplier."""
 
@@ -68,11 +77,11 @@ def _paired_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
 
 def _named(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each start of a ``length``-byte string in ``data``, the position it names; and the sums of the first hasher."""
-    half = length // 2
+    first = _first(length)
     sums = _ONE.sums(data)
-    at = np.arange(len(data) - half + 1)
-    value = (_ONE.of(sums, at, at + half) & ~_POS) | (_POS - at.astype(np.uint64))
-    width, done = length - half + 1, 1
+    at = np.arange(len(data) - first + 1)
+    value = (_ONE.of(sums, at, at + first) & ~_POS) | (_POS - at.astype(np.uint64))
+    width, done = length - first + 1, 1
     least = value
     while 2 * done <= width:
         least = np.minimum(least[:-done], least[done:])
@@ -100,62 +109,53 @@ def _runs(text: str, length: int):
         yield lo - skip, named[first], first + skip, last + skip, data, sums
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts and, for each, the byte ranges that repeat.
-
-    Returns ``texts (i, h, v, text, copied, ...)`` and ``ranges (i, v, ranges)``:
-    starts first to last of repeated strings.  Texts that are copies of each other
-    are marked ``copied`` and only one of them takes part in the search.
-    """
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select("i", F.xxhash64("text").alias("h"), "text")
-
-    # small rows: which texts are copies, and a number for each text of an id
-    marks = base.select("i", "h", F.md5("text").alias("d")).groupBy("i", "h", "d").agg(F.count("*").alias("rows"))
-    same = marks.groupBy("d").agg(F.min(F.struct("i", "h")).alias("chosen"), F.sum("rows").alias("copies"))
-    marks = marks.withColumn("v", F.row_number().over(Window.partitionBy("i").orderBy("h")).cast("int"))
-    marks = marks.join(same, "d").select("i", "h", "v", (F.col("copies") > 1).alias("copied"), ((F.col("chosen.i") == F.col("i")) & (F.col("chosen.h") == F.col("h"))).alias("takes_part"))
-    texts = base.repartition(parts, "i", "h").join(marks, ["i", "h"])
-    searched = texts.where("takes_part").select("i", "h", "v", "text")
+def _anchors(searched: DataFrame, length: int) -> DataFrame:
+    """``(rank, i, v, at)``: the named positions of every text, ranked by the string there."""
 
-    def named(batches):
+    def run(batches):
         for b in batches:
             for i, v, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for lo, at, _, _, _, sums in _runs(text, length):
-                    rank = _rank(sums, at, at + length // 2)
+                    rank = _rank(sums, at, at + _first(length))
                     n = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, v, np.int32)), pa.array(lo + at)], ["rank", "i", "v", "at"])
 
-    first = searched.select("i", "v", "text").mapInArrow(_gathered(named), "rank long, i long, v int, at long").distinct()
-    shared = first.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    kept = first.join(shared, "rank").groupBy("i", "v").agg(F.collect_list("at").alias("ats"))
+    return searched.select("i", "v", "text").mapInArrow(_gathered(run), "rank long, i long, v int, at long")
+
+
+def _blocks(searched: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """``(rank, near, i, v, start, stop)``: the strings that hold all strings of a block of starts.
 
-    def contexts(batches):
-        half = length // 2
+    A block is up to ``_BLOCK`` starts at fixed distances from the position they
+    name; ``near`` is that position's rank and the distance, so equal strings can
+    only begin in blocks of one ``near``.
+    """
+
+    def run(batches):
         for b in batches:
             for i, v, text, ats in zip(*(b.column(k).to_pylist() for k in range(4))):
                 ats = np.unique(np.array(ats))
                 for lo, at, start, stop, data, sums in _runs(text, length):
                     mine = np.isin(lo + at, ats)
                     at, start, stop = at[mine], start[mine], stop[mine]
-                    begin, end = np.maximum(at - (length - half), 0), np.minimum(at + length, len(data))
-                    # the starts named tell contexts apart that a text's end cuts short
-                    rank = tv.mix(_rank(sums, begin, end) + tv.mix((at - start).astype(np.uint64) * np.uint64(length + 1) + (at - stop + length).astype(np.uint64)))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rank.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, v, np.int32)), pa.array(lo + start), pa.array(lo + stop)], ["rank", "i", "v", "start", "stop"]
-                    )
-
-    grown = searched.join(kept, ["i", "v"]).select("i", "v", "text", "ats").mapInArrow(_gathered(contexts), "rank long, i long, v int, start long, stop long")
-    classes = grown.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("i", "v", "start")).alias("one")).where("n > 1")
-    grown = grown.join(classes, "rank", "left")
-    whole = grown.where("n > 1").select("i", "v", "start", "stop")
-    speaks = F.col("n").isNull() | ((F.col("one.i") == F.col("i")) & (F.col("one.v") == F.col("v")) & (F.col("one.start") == F.col("start")))
-    open_runs = grown.where(speaks).groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-
-    def pairs(batches):
+                    first, last = (at - stop) // _BLOCK, (at - start) // _BLOCK
+                    k = np.repeat(np.arange(len(at)), last - first + 1)
+                    j = np.arange(len(k)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[k]
+                    begin, end = np.maximum(start[k], at[k] - j * _BLOCK - _BLOCK + 1), np.minimum(stop[k], at[k] - j * _BLOCK)
+                    near = tv.mix(_rank(sums, at, at + _first(length))[k] + np.uint64(5) * j.astype(np.uint64))
+                    # where a block is cut short, its first start is a part of what it is
+                    rank = tv.mix(_rank(sums, begin, end + length) + near + np.uint64(7) * (at[k] - begin).astype(np.uint64))
+                    cols = [rank.view(np.int64), near.view(np.int64), np.full(len(k), i), np.full(len(k), v, np.int32), lo + begin, lo + end]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "near", "i", "v", "start", "stop"])
+
+    met = searched.join(kept, ["i", "v"]).select("i", "v", "text", "ats")
+    return met.mapInArrow(_gathered(run), "rank long, near long, i long, v int, start long, stop long")
+
+
+def _pairs(searched: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
+    """``(key, check, i, v, start)``: the ranks of both halves of the strings at the starts that are still open."""
+
+    def run(batches):
         for b in batches:
             for i, v, text, runs in zip(*(b.column(k).to_pylist() for k in range(4))):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -168,13 +168,76 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     key, check = _paired_ranks(data[lo : lo + _PIECE + length], s - lo, length)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(np.full(len(s), i)), pa.array(np.full(len(s), v, np.int32)), pa.array(s)], ["key", "check", "i", "v", "start"])
 
-    doubled = searched.join(open_runs, ["i", "v"]).select("i", "v", "text", "runs").mapInArrow(_gathered(pairs), "key long, check int, i long, v int, start long")
-    twice = doubled.groupBy("key", "check").agg(F.count("*").alias("n")).where("n > 1").select("key", "check")
-    single = doubled.join(twice, ["key", "check"]).select("i", "v", "start", F.col("start").alias("stop"))
-    ranges = whole.union(single).groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    met = searched.join(open_runs, ["i", "v"]).select("i", "v", "text", "runs")
+    return met.mapInArrow(_gathered(run), "key long, check int, i long, v int, start long")
+
+
+def _kept(searched: DataFrame, length: int) -> DataFrame:
+    """``(i, v, ats)``: the named positions whose rank is not unique, written."""
+    first = written(_anchors(searched, length), "anchors")
+    release(first.sparkSession)
+    shared = first.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    kept = written(first.join(shared, "rank").groupBy("i", "v").agg(F.collect_set("at").alias("ats")), "kept")
+    drop_written(first)
+    return kept
+
+
+def _resolved(searched: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """``(i, v, start, stop, repeats, speaks)``, written: blocks of starts that all repeat, and those still to be ranked one by one.
+
+    A block that repeats speaks too if a unique block could hold some of its strings;
+    of equal blocks one speaks for all.
+    """
+    blocks = written(_blocks(searched, kept, length), "blocks")
+    release(blocks.sparkSession)
+    classes = blocks.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("i", "v", "start")).alias("one"), F.min("near").alias("near"))
+    lone = classes.where("n = 1").select("near").distinct().withColumn("asked", F.lit(True))
+    known = classes.join(lone, "near", "left").select("rank", "n", "one", F.coalesce("asked", F.lit(False)).alias("asked"))
+    mine = (F.col("one.i") == F.col("i")) & (F.col("one.v") == F.col("v")) & (F.col("one.start") == F.col("start"))
+    # the only block of its position's rank at its distance has nothing to be equal to
+    both = blocks.join(known, "rank").join(blocks.groupBy("near").agg(F.count("*").alias("peers")), "near")
+    out = both.select("i", "v", "start", "stop", (F.col("n") > 1).alias("repeats"), (F.col("asked") & mine & (F.col("peers") > 1)).alias("speaks")).where("repeats or speaks")
+    out = written(out, "resolved")
+    drop_written(blocks)
+    return out
+
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The texts and, for each, the byte ranges that repeat.
+
+    Returns ``texts (i, v, text, copied, ...)`` and ``ranges (i, v, ranges)``:
+    starts first to last of repeated strings.  Texts that are copies of each other
+    are marked ``copied`` and only one of them takes part in the search.
+    """
+    spark = docs.sparkSession
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.select("i", F.xxhash64("text").alias("h"), "text")
+
+    # small rows: which texts are copies, and a number for each text of an id
+    marks = base.select("i", "h", F.md5("text").alias("d")).groupBy("i", "h", "d").agg(F.count("*").alias("rows"))
+    same = marks.groupBy("d").agg(F.min(F.struct("i", "h")).alias("chosen"), F.sum("rows").alias("copies"))
+    marks = marks.withColumn("v", F.row_number().over(Window.partitionBy("i").orderBy("h")).cast("int"))
+    marks = marks.join(same, "d").select("i", "h", "v", (F.col("copies") > 1).alias("copied"), ((F.col("chosen.i") == F.col("i")) & (F.col("chosen.h") == F.col("h"))).alias("takes_part"))
+    marks = written(marks, "marks")
+
+    kept = _kept(_dealt(base, marks, parts).where("takes_part").select("i", "v", "text"), length)
+    release(spark)
+    resolved = _resolved(_dealt(base, marks, parts).where("takes_part").select("i", "v", "text"), kept, length)
+    release(spark)
+    texts = _dealt(base, marks, parts)
+    open_runs = resolved.where("speaks").groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    doubled = _pairs(texts.where("takes_part").select("i", "v", "text"), open_runs, length)
+    ranked = doubled.repartition("key", "check").withColumn("n", F.count("*").over(Window.partitionBy("key", "check")))
+    single = ranked.where("n > 1").select("i", "v", "start", F.col("start").alias("stop"))
+    ranges = resolved.where("repeats").select("i", "v", "start", "stop").union(single).groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return texts, ranges
 
 
+def _dealt(base: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
+    return base.repartition(parts, "i", "h").join(marks, ["i", "h"])
+
+
 def _gathered(run, rows: int = 50_000):
     """Small record batches of ``run`` put together, so that they cross to Spark in fair sizes."""
 
