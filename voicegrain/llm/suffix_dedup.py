@@ -173,12 +173,18 @@ def _pairs(searched: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
 
 
 def _kept(searched: DataFrame, length: int) -> DataFrame:
-    """``(i, v, ats)``: the named positions whose rank is not unique, written."""
+    """``(i, v, ats)``: the named positions whose rank is not unique, written.
+
+    The ranks are written before the join, so that both of its sides are plain
+    exchanges and the tasks of a very common string can be split.
+    """
     first = written(_anchors(searched, length), "anchors")
     release(first.sparkSession)
-    shared = first.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    shared = written(first.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "shared")
+    release(first.sparkSession)
     kept = written(first.join(shared, "rank").groupBy("i", "v").agg(F.collect_set("at").alias("ats")), "kept")
     drop_written(first)
+    drop_written(shared)
     return kept
 
 
@@ -186,19 +192,29 @@ def _resolved(searched: DataFrame, kept: DataFrame, length: int) -> DataFrame:
     """``(i, v, start, stop, repeats, speaks)``, written: blocks of starts that all repeat, and those still to be ranked one by one.
 
     A block that repeats speaks too if a unique block could hold some of its strings;
-    of equal blocks one speaks for all.
+    of equal blocks one speaks for all.  Equal blocks are one class; a class is
+    counted and judged by its position's rank and distance (``near``), and only the
+    classes of several blocks are joined back to their blocks.
     """
+    spark = searched.sparkSession
     blocks = written(_blocks(searched, kept, length), "blocks")
-    release(blocks.sparkSession)
-    classes = blocks.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("i", "v", "start")).alias("one"), F.min("near").alias("near"))
-    lone = classes.where("n = 1").select("near").distinct().withColumn("asked", F.lit(True))
-    known = classes.join(lone, "near", "left").select("rank", "n", "one", F.coalesce("asked", F.lit(False)).alias("asked"))
-    mine = (F.col("one.i") == F.col("i")) & (F.col("one.v") == F.col("v")) & (F.col("one.start") == F.col("start"))
+    drop_written(kept)
+    release(spark)
+    place = F.struct("i", "v", "start", "stop")
+    classes = written(blocks.groupBy("rank", "near").agg(F.count("*").alias("n"), F.min(place).alias("one")), "classes")
+    release(spark)
     # the only block of its position's rank at its distance has nothing to be equal to
-    both = blocks.join(known, "rank").join(blocks.groupBy("near").agg(F.count("*").alias("peers")), "near")
-    out = both.select("i", "v", "start", "stop", (F.col("n") > 1).alias("repeats"), (F.col("asked") & mine & (F.col("peers") > 1)).alias("speaks")).where("repeats or speaks")
-    out = written(out, "resolved")
+    peers = written(classes.groupBy("near").agg(F.sum("n").alias("peers"), F.max(F.col("n") == 1).alias("lone")).where("peers > 1"), "peers")
+    judged = written(classes.join(peers, "near").select("rank", "n", "one", "lone"), "judged")
+    drop_written(classes)
+    drop_written(peers)
+    release(spark)
+    unique = judged.where("n = 1").select("one.*", F.lit(False).alias("repeats"), F.lit(True).alias("speaks"))
+    mine = (F.col("one.i") == F.col("i")) & (F.col("one.v") == F.col("v")) & (F.col("one.start") == F.col("start"))
+    several = blocks.join(judged.where("n > 1"), "rank").select("i", "v", "start", "stop", F.lit(True).alias("repeats"), (F.col("lone") & mine).alias("speaks"))
+    out = written(unique.union(several), "resolved")
     drop_written(blocks)
+    drop_written(judged)
     return out
 
 
