@@ -47,3 +47,11 @@ def test_near_copies_and_odd_inputs(spark):
     assert run(docs) == want
     assert run(docs, cells=2) == want  # a useless rarity table changes nothing but the work
     assert run(docs.limit(0)) == []
+
+
+def test_lines_about_the_threshold_of_one_another(spark):
+    rng = random.Random(7)
+    core = [f"c{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.sample(core, 26) + [f"u{rng.randrange(12)}" for _ in range(rng.randrange(6))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == brute(rows)

@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before, and several readers do not compute the same rows again.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
+from .common import drop_written, release, written
 
 THRESHOLD = 0.8
 #: Cells of the table of hashed counts; the broadcast table has 4 bytes a cell whatever the input.
@@ -296,12 +296,16 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     marked = keys.join(first, ["sig", "size"]).select("i", "v", "line", is_first.alias("is_first"))
     plans = marked.groupBy("i", "v").agg(F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("lines"), F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("equal"))
     plans = written(plans, "line-plans")
+    drop_written(keys)
+    release(spark)
     texts = base.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "v").join(plans, ["i", "v"], "left")
     none = F.array().cast("array<int>")
     index = _index(texts.select("i", "v", "text", "lines", none.alias("asked")), count, cells, threshold)
     named = written(_met(index, threshold, False).groupBy("i", "v", "line").agg(F.min(F.struct("apart", "ci", "cv", "cline")).alias("c"), F.max("many").alias("many"), F.min(F.struct("ci", "cv", "cline")).alias("a"), F.max(F.struct("ci", "cv", "cline")).alias("z")), "named")
     pairs = named.select("i", "v", "line", "c.ci", "c.cv", "c.cline")
+    release(spark)
     near = written(_verified(texts, pairs, threshold), "near")
+    release(spark)
     rest = written(named.where((F.col("many") > 1) | (F.col("a") != F.col("z"))).select("i", "v", "line").join(near, ["i", "v", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
         asked = rest.groupBy("i", "v").agg(F.collect_list("line").alias("asked"))
@@ -313,8 +317,10 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
         bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
         again = texts.join(asked, ["i", "v"], "left").select("i", "v", "text", "lines", "asked")
         index = _index(again, count, cells, threshold, spark.sparkContext.broadcast(bits))
-        more = _met(index, threshold, True).select("i", "v", "line", "ci", "cv", "cline").distinct()
+        more = written(_met(index, threshold, True).select("i", "v", "line", "ci", "cv", "cline").distinct(), "more")
+        release(spark)
         near = near.union(written(_verified(texts, more, threshold), "near"))
+        release(spark)
     return texts, near
 
 
