@@ -67,3 +67,17 @@ def action_effect(actions: DataFrame, comments: DataFrame, minutes: int = 180) -
     near = range_join(comments.where("intent = 'order'"), actions, "ts", "at", minutes * 60)
     late = F.col("ts") >= F.col("at")
     return near.groupBy("action_id").agg(F.round(F.count_if(~late) / float(minutes), 6).alias("before"), F.round(F.count_if(late) / float(minutes), 6).alias("after"))
+
+
+def complaint_spikes(comments: DataFrame, window: str = "5 minutes", least: int = 3, share: float = 0.04) -> DataFrame:
+    """Windows with at least ``least`` complaints that are ``share`` of the comments or more."""
+    n, bad = F.count("*"), F.count_if(F.col("intent") == "complaint")
+    rows = comments.groupBy(F.window("ts", window).alias("w")).agg(n.alias("n"), bad.alias("complaints"))
+    return rows.where((F.col("complaints") >= least) & (F.col("complaints") >= share * F.col("n"))).select(F.col("w.start").alias("since"), "n", "complaints")
+
+
+def ask_not_buy(comments: DataFrame, least: int = 6, share: float = 0.25) -> DataFrame:
+    """Products with at least ``least`` askers of whom at most ``share`` bought."""
+    person = comments.where("product_id is not null").groupBy("product_id", "author").agg(F.max((F.col("intent") == "question").cast("int")).alias("asked"), F.max((F.col("intent") == "order").cast("int")).alias("bought"))
+    rows = person.where("asked = 1").groupBy("product_id").agg(F.count("*").alias("askers"), F.sum("bought").alias("buyers"))
+    return rows.where((F.col("askers") >= least) & (F.col("buyers") <= share * F.col("askers")))
