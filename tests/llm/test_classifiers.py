@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ def ranked(score, y):
 
 @pytest.mark.parametrize("name,label,cut,_", CASES)
 def test_held_out_rows_are_told_apart(spark, sf, name, label, cut, _):
-    sf = sf.replace("sf0.001", "sf0.1")  # the smaller tables hold out only a few toxic rows
+    sf = os.path.join(os.path.dirname(sf), "sf0.1")  # the smaller tables hold out only a few toxic rows
     got = {r.doc_id: r for r in queries()[name](spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= cut) for r in got.values())
