@@ -53,3 +53,9 @@ def test_odd_inputs(spark):
     same(run(docs, vocabulary=2), brute(rows, vocabulary=2))
     assert run(docs.limit(0)) == []
     assert [r.mean_log_score for r in lm_scoring.scores(docs.where("doc_id < 4")).collect()] == [None] * 3
+
+
+def test_rare_words_are_not_pooled(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i * 1000, i * 1000 + 1000))) for i in range(270)]  # more words than 2 ** 18
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(run(docs), brute(rows, vocabulary=math.inf))

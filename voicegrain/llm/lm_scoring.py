@@ -1,76 +1,118 @@
 """Stupid-backoff language-model scores, computed relationally (operator 1).
 
-The model is a bigram model of the corpus itself.  Words are counted over all
-documents; the ``vocabulary`` most frequent have a number each and all others
-share that of the unknown word, so a pair of words is one exact long.  Documents
-are exploded to their pairs (counted within a document, with a start mark before
-the first word), dealt by the pair's hash, counted there over the corpus, scored,
-and summed per document:
+The model is a bigram model of the corpus itself.  Words and pairs of words (with a
+start mark before the first word of a text) are known by 64-bit hashes.  Both are
+counted over all documents into Spark tables, after a partial count in each task;
+the documents are exploded to their words and pairs, and these are joined with the
+counts by shuffle joins and summed per document:
 
     S(w | v) = c(v w) / c(v)          if the corpus holds v w at least ``min_count`` times
              = backoff * c(w) / N     otherwise
 
 c(v) is how often v is followed by a word, N the number of words.
+
+Each text first gets the score it would have if every pair of it stood below the
+count from which the table of pairs holds it, which takes only its words; a pair in
+the table then adds the difference.  The table leaves out the pairs that occur
+once: with ``min_count`` 1 their S is 1 / c(v), so the words alone give it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import documents, written
+from .common import documents, release, written
 
-#: Numbered words; the table of their counts has at most two rows more, so it may be broadcast.
-VOCABULARY = 1 << 18
+#: All words are counted as themselves; a caller may ask for a limit, which pools the other words.
+VOCABULARY = math.inf
 BACKOFF = 0.4
 MIN_COUNT = 2
-_BITS = 24
+#: Stand in place of word hashes.
 START, UNKNOWN = 0, 1
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _lines_of(batch):
-    """(ids, text keys, word hashes, their rows) of an Arrow batch of ``(doc_id, text, key)``, a piece at a time."""
+def _lines_of(batch, known=None):
+    """(first row, end row, word hashes, hashes of the words before, their rows) of an Arrow batch whose second column is the text, a piece at a time."""
     for lo, hi, data, offsets in tv.pieces(batch.column(1)):
         data = tv.LOWER[data]
         starts, ends = tv.spans(data, offsets)
-        word = tv.hashes(data, starts, ends)
-        yield lo, hi, word.view(np.int64), np.searchsorted(offsets, starts, side="right") - 1
+        word = tv.hashes(data, starts, ends).view(np.int64)
+        if known is not None:
+            word = np.where(np.isin(word, known.value), word, UNKNOWN)
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        before = np.concatenate([[START], word[:-1]])[: len(word)]
+        before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
+        yield lo, hi, word, before, row
+
+
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tv.mix(before.view(np.uint64) * _PAIR + word.view(np.uint64)).view(np.int64)
+
+
+def word_counts(docs: DataFrame, known=None) -> DataFrame:
+    """``(gram, n, followed)``: the hash of each word and of the start mark, its count, and how often a word follows it."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, word, before, _ in _lines_of(b, known):
+                unique, at = np.unique(np.concatenate([word, before]), return_inverse=True)
+                n, followed = np.bincount(at[: len(word)], minlength=len(unique)), np.bincount(at[len(word) :], minlength=len(unique))
+                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n), pa.array(followed)], ["gram", "n", "followed"])
 
+    counted = documents(docs).mapInArrow(run, "gram long, n long, followed long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n, followed)``: the hash of each word, its count, and how often a word follows it."""
+
+def pair_counts(docs: DataFrame, known=None, words: bool = False) -> DataFrame:
+    """``(gram, n)``: the hash of each pair and its count; with ``words`` also ``v`` and ``w``, the hashes of its words."""
 
     def run(batches):
         for b in batches:
-            for _, _, word, row in _lines_of(b):
-                if len(word):
-                    last = np.append(row[1:] != row[:-1], True)
-                    unique, at = np.unique(word, return_inverse=True)
-                    n = np.bincount(at, minlength=len(unique))
-                    yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n), pa.array(n - np.bincount(at, last, len(unique)).astype(np.int64))], ["word", "n", "followed"])
-
-    counted = documents(docs).mapInArrow(run, "word long, n long, followed long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
-
-
-def _numbered(docs: DataFrame, vocabulary: int):
-    """Sorted hashes of the most frequent words with their numbers, the table of counts by number, and N."""
-    counts = written(word_counts(docs), "words")
-    total, followed = counts.agg(F.sum("n"), F.sum("followed")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    word, n, goes_on = (top.column(c).to_numpy() for c in ("word", "n", "followed"))
-    ids = np.arange(2, len(word) + 2)
-    table = np.zeros((len(word) + 2, 3), np.int64)
-    table[2:, 0], table[2:, 1], table[2:, 2] = ids, n, goes_on
-    table[UNKNOWN] = UNKNOWN, (total or 0) - n.sum(), (followed or 0) - goes_on.sum()
-    order = np.argsort(word)
-    return word[order], ids[order], table, total or 0
-
-
-def scores(docs: DataFrame, vocabulary: int = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+            for _, _, word, before, _ in _lines_of(b, known):
+                unique, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unique, n, before[first], word[first])], ["gram", "n", "v", "w"])
+
+    counted = documents(docs).mapInArrow(run, "gram long, n long, v long, w long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("v", "w") if words])
+
+
+def _exploded(docs: DataFrame, kind: str, known=None) -> DataFrame:
+    """``(doc_id, key, gram, times)``: how often each text holds each of its words, words before or pairs."""
+
+    def run(batches):
+        for b in batches:
+            doc, key = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            for lo, _, word, before, row in _lines_of(b, known):
+                gram = _pairs(before, word) if kind == "pair" else before if kind == "before" else word
+                by = np.lexsort((gram, row))
+                gram, row = gram[by], row[by]
+                at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(gram)])
+                times = np.diff(np.append(at, len(gram)))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(lo + row[at])), pa.array(key[lo + row[at]]), pa.array(gram[at]), pa.array(times.astype(np.int32))], ["doc_id", "key", "gram", "times"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, gram long, times int")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("key", F.xxhash64("text"))
+
+
+def _known(docs: DataFrame, vocabulary: float):
+    """The hashes of the most frequent words, if the caller limits them."""
+    if vocabulary == math.inf:
+        return None
+    top = word_counts(docs).where("n > 0").orderBy(F.desc("n"), "gram").limit(int(vocabulary)).toArrow()
+    return docs.sparkSession.sparkContext.broadcast(top.column("gram").to_numpy())
+
+
+def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """``(doc_id, n_words, n_backed_off, log_score, mean_log_score)`` for every row of ``docs``.
 
     Words are runs of non-blank bytes, A-Z lower-cased, known by a 64-bit hash.
@@ -79,57 +121,34 @@ def scores(docs: DataFrame, vocabulary: int = VOCABULARY, backoff: float = BACKO
     the corpus as often as they occur and keep a row each; null ids are kept; an
     empty table gives no rows; other columns are not read.
     """
-    if vocabulary + 2 >= 1 << _BITS:
-        raise ValueError("the vocabulary is too large for a packed pair")
-    spark = docs.sparkSession
-    sorted_words, numbers, table, total = _numbered(docs, vocabulary)
-    known = spark.sparkContext.broadcast((sorted_words, numbers))
-
-    def pairs(batches):
-        words, ids = known.value
-        for b in batches:
-            doc, key = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, word, row in _lines_of(b):
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-                    number = np.where(words[at] == word, ids[at], UNKNOWN)
-                else:
-                    number = np.full(len(word), UNKNOWN)
-                before = np.concatenate([[START], number[:-1]])[: len(number)]
-                before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
-                rows = hi - lo
-                none = np.setdiff1d(np.arange(rows), row)  # texts without words stand under numbers below zero
-                pair = np.concatenate([(before << _BITS) | number, -1 - (key[lo + none] & 0xFFFFF)])
-                row = np.concatenate([row, none])
-                by = np.lexsort((pair, row))
-                pair, row = pair[by], row[by]
-                new = np.append(True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))[: len(pair)]
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(pair)))
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(lo + row[at])), pa.array(key[lo + row[at]]), pa.array(pair[at]), pa.array(times.astype(np.int32))], ["doc_id", "key", "pair", "times"])
-
-    exploded = documents(docs).withColumn("key", F.xxhash64("text")).mapInArrow(pairs, "doc_id long, key long, pair long, times int")
-    met = exploded.repartition("pair").withColumn("c", F.sum("times").over(Window.partitionBy("pair")))
-
-    # number, count and continuation count of each known word: at most vocabulary + 2 rows
-    texts = documents(docs).where(F.col("text").rlike(r"[^\x09-\x0D\x20]")).count()
-    table[START] = START, 0, texts
-    counts = spark.createDataFrame(pa.table({"number": table[:, 0], "n": table[:, 1], "followed": table[:, 2]}))
-    context = F.broadcast(counts.select(F.col("number").alias("v"), F.ln(F.col("followed").cast("double")).alias("ln_v")))
-    word = F.broadcast(counts.select(F.col("number").alias("w"), F.ln(F.col("n").cast("double")).alias("ln_w")))
-    met = met.withColumn("v", F.when(F.col("pair") >= 0, F.shiftright("pair", _BITS))).withColumn("w", F.when(F.col("pair") >= 0, F.col("pair").bitwiseAND(F.lit((1 << _BITS) - 1))))
-    met = met.join(context, "v", "left").join(word, "w", "left")
-    enough = F.col("c") >= min_count
-    # the start mark precedes each text with words once; texts without words only matter for rows
-    ln_s = F.when(enough, F.ln(F.col("c").cast("double")) - F.col("ln_v")).otherwise(F.lit(float(np.log(backoff))) + F.col("ln_w") - F.lit(float(np.log(max(total, 1)))))
-    real = F.col("pair") >= 0
-    summed = met.groupBy("doc_id", "key").agg(
-        F.sum(F.when(real, F.col("times")).otherwise(0)).alias("n"),
-        F.sum(F.when(real & ~enough, F.col("times")).otherwise(0)).alias("backed"),
-        F.sum(F.when(real, F.col("times") * ln_s).otherwise(0.0)).alias("log"),
-        F.sum(F.when(~real | (F.col("v") == START), F.col("times")).otherwise(0)).alias("copies"),
-    )
-    each = summed.select("doc_id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "backed", "log")], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
+    ln = lambda c: F.ln(F.col(c).cast("double"))
+    known = _known(docs, vocabulary)
+    counts = written(word_counts(docs, known), "words")
+    pairs = pair_counts(docs, known, words=min_count > 1).where(F.col("n") >= max(min_count, 2))
+    if min_count > 1:  # what a pair outside the table has is the backoff
+        total = counts.agg(F.sum("n")).first()[0] or 1
+        unseen = math.log(backoff) - math.log(total)
+        kind, words = "word", counts.where("n > 0").select("gram", (ln("n") + unseen).alias("value"))
+        before = counts.where("followed > 0").select(F.col("gram").alias("v"), ln("followed").alias("ln_v"))
+        after = words.select(F.col("gram").alias("w"), F.col("value").alias("instead"))
+        seen = pairs.join(before, "v").join(after, "w").select("gram", (ln("n") - F.col("ln_v") - F.col("instead")).alias("value"))
+    else:  # it occurs once
+        kind, words = "before", counts.where("followed > 0").select("gram", (-ln("followed")).alias("value"))
+        seen = pairs.select("gram", ln("n").alias("value"))
+    seen = written(seen, "pairs")
+    release(docs.sparkSession)
+    long = lambda c, name: F.lit(c).cast("long").alias(name) if c in (0, 1) else F.col(c).cast("long").alias(name)
+    log = (F.col("times") * F.col("value")).alias("log")
+    part = _exploded(docs, kind, known).join(words, "gram").select("doc_id", "key", "times", log)
+    part = written(part.groupBy("doc_id", "key").agg(F.sum("times").alias("n"), F.sum("log").alias("log")), "word-sums")
+    release(docs.sparkSession)
+
+    rows = _keyed(docs).select("doc_id", "key", long(1, "copies"), long(0, "n"), long(0, "held"), F.lit(0.0).alias("log"))
+    base = part.select("doc_id", "key", long(0, "copies"), long("n", "n"), long(0, "held"), "log")
+    more = _exploded(docs, "pair", known).join(seen, "gram").select("doc_id", "key", long(0, "copies"), long(0, "n"), long("times", "held"), log)
+    summed = rows.union(base).union(more).groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "held", "log")])
+    backed = F.col("n") - F.col("held") if min_count > 1 else F.lit(0)
+    each = summed.withColumn("backed", backed).select("doc_id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "backed", "log")], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
     return each.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
