@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from voicegrain.llm import lm_scoring
+from voicegrain.llm.queries import queries
 
 
 def brute(rows, vocabulary=lm_scoring.VOCABULARY, backoff=0.4, least=2):
@@ -59,3 +60,10 @@ def test_rare_words_are_not_pooled(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(i * 1000, i * 1000 + 1000))) for i in range(270)]  # more words than 2 ** 18
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     same(run(docs), brute(rows, vocabulary=math.inf))
+
+
+def test_query_uses_every_observed_pair(spark, tmp_path):
+    rows = [(1, None), (2, "a b A B a"), (3, "a b c"), (3, "a b c"), (None, "z c"), (5, "once only"), (6, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op1_lm_scoring"](spark, str(tmp_path)).collect()
+    same(sorted(((r.doc_id, r.n_words, r.n_backed_off, r.log_score) for r in got), key=str), brute(rows, least=1))

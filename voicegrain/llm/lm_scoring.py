@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import documents, release, written
+from .common import documents, drop_written, release, written
 
 #: All words are counted as themselves; a caller may ask for a limit, which pools the other words.
 VOCABULARY = math.inf
@@ -141,6 +141,7 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     log = (F.col("times") * F.col("value")).alias("log")
     part = _exploded(docs, kind, known).join(words, "gram").select("doc_id", "key", "times", log)
     part = written(part.groupBy("doc_id", "key").agg(F.sum("times").alias("n"), F.sum("log").alias("log")), "word-sums")
+    drop_written(counts)
     release(docs.sparkSession)
 
     rows = _keyed(docs).select("doc_id", "key", long(1, "copies"), long(0, "n"), long(0, "held"), F.lit(0.0).alias("log"))
