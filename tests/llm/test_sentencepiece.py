@@ -76,3 +76,31 @@ def test_texts_are_their_words(spark, sf):
         ids, sizes = encoder(texts)
         got = np.split(ids, np.cumsum(sizes)[:-1])
         assert [g.tolist() for g in got] == [brute(codec.BLANK + t.replace(" ", codec.BLANK)) if t else [] for t in texts]
+
+
+def test_runs_of_blanks_match_the_full_piece_list():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    score = {p: sp.get_score(i) for p, i in pieces.items()}
+    longest = max(map(len, pieces))
+
+    def best(text):
+        text = codec.BLANK + text.replace(" ", codec.BLANK)
+        total, last = [0.0], [0]
+        for end in range(1, len(text) + 1):
+            found = [(total[k] + score[text[k:end]], k) for k in range(max(0, end - longest), end) if text[k:end] in score]
+            found += [(total[end - 1] + MODEL.unknown, end - 1)] if text[end - 1] not in score else []
+            value, k = max(found, key=lambda x: (x[0], -x[1]))
+            total.append(value), last.append(k)
+        out, end = [], len(text)
+        while end:
+            part = text[last[end] : end]
+            out[:0] = [pieces[part]] if part in pieces else MODEL.byte_ids[list(part.encode())].tolist()
+            end = last[end]
+        return out
+
+    texts = [f"{a}{' ' * n}{b}" for n in range(1, 41) for a in ("a", "", "x\n") for b in ("b", "", "\ny")] + ["a \u2581 b\u2581 c", "\u2581a"]
+    ids, sizes = codec.Encoder(MODEL)(texts)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [best(t) for t in texts]
+    assert codec.decode_texts(MODEL, ids, sizes) == [t.replace(codec.BLANK, " ") for t in texts]

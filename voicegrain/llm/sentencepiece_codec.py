@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi (operator 7).
 
 The pieces and scores of a model file are used as a unigram lattice: the encoding
-is the segmentation of the highest total score.  No piece goes over a blank (it
-can only begin with one) or over a line feed, so each distinct word of a batch is
+is the segmentation of the highest total score.  A piece may begin with a blank or
+be a run of blanks, but none goes from a word over the blank behind it or over a
+line feed, so each distinct word of a batch, with all blanks before it, is
 segmented once.  Words of equal length advance together: hashes of all substrings
 of a length probe the sorted keys of the pieces of that length, and for every end
 position the best last piece of all words is one vectorised maximum, kept as a
@@ -15,6 +16,7 @@ the model in /opt/tokenizers is.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,8 @@ from .common import documents
 #: The default model; any path that the driver can read may be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+#: Line feeds, and words with all blanks before them.
+_UNITS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _CELLS = 150_000
 _CHUNK = 3 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +66,7 @@ def load(path: str = MODEL) -> Model:
             out.append(b"")
         else:
             out.append(piece.replace(BLANK, " ").encode())
-            if BLANK not in piece[1:] and "\n" not in piece:  # runs of blanks only; their scores exclude them
+            if (BLANK not in piece[1:] or not piece.strip(BLANK)) and "\n" not in piece:
                 by_length.setdefault(len(piece), []).append((i, piece, sp.get_score(i)))
     keys, ids, scores = {}, {}, {}
     for n, rows in by_length.items():
@@ -191,7 +195,10 @@ class Encoder:
         sizes = []
         for text in texts:
             before = len(rows)
-            if text:
+            if "  " in text or text[:1] == " " or BLANK in text:  # more than one blank before a word
+                units = _UNITS.findall(" " + text.replace(BLANK, " "))
+                rows.extend(find(u[1:] if u[0] == " " else u if u == "\n" else "\n" + u) for u in units)
+            elif text:
                 lines = text.split("\n")
                 rows.extend(map(find, lines[0].split(" ")))
                 for line in lines[1:]:
@@ -202,7 +209,7 @@ class Encoder:
                     rows.extend(map(find, rest))
             sizes.append(len(rows) - before)
         new = list(self.number)[known:]
-        flat, begin = segment(self.model, [w if w == "\n" else w[1:] if w[:1] == "\n" else BLANK + w for w in new])
+        flat, begin = segment(self.model, [w if w == "\n" else w[1:] if w[:1] == "\n" else BLANK + w.replace(" ", BLANK) for w in new])
         self.begin = np.concatenate([self.begin, begin[1:] + self.begin[-1]])
         self.flat = np.concatenate([self.flat, flat])
         at = np.array(rows, dtype=np.int64)
