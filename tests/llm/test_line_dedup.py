@@ -55,3 +55,29 @@ def test_lines_about_the_threshold_of_one_another(spark):
     rows = [(i, " ".join(rng.sample(core, 26) + [f"u{rng.randrange(12)}" for _ in range(rng.randrange(6))])) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(docs) == brute(rows)
+
+
+def test_texts_of_null_ids_and_of_one_id_are_told_apart(spark):
+    rows = [(None, "shared line here\none two three"), (None, "shared line here\nfour five six"), (7, "same again now\nx y z"), (7, "same again now\nq r s"), (7, "same again now\nq r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0, 1]
+    of_seven = sorted((r.text, r.n_removed) for r in got if r.doc_id == 7)
+    assert len(of_seven) == 3 and of_seven.count(("q r s", 1)) in (0, 2) and sum(n for _, n in of_seven) in (1, 2)
+
+
+def test_words_of_many_lines_are_dealt_in_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, f"always {rng.randrange(30)} w{rng.randrange(4)} w{rng.randrange(4)} end") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "BLOCK", 10)  # in this process: the steps of the tasks are run here
+    base = line_dedup._keyed(docs, "doc_id", "text")
+    count = type("Held", (), {"value": line_dedup.rarity(line_dedup._survey(base, 1 << 12).where("chunk is not null").select("chunk", "counts"), 1 << 12)})
+    arrow = base.select("z", "i", "h", "text").toArrow().combine_chunks().to_batches()
+    packs = []
+    class Frame:
+        def select(self, *_): return self
+        def mapInArrow(self, run, _): packs.extend(run(iter(arrow)))
+    line_dedup._packs(Frame(), count, 1 << 12, 0.8, 4)
+    rows_out = sum(sum(b.column(1).to_pylist()) for b in packs)
+    assert rows_out > 2 * 150  # words above the block size travel several times

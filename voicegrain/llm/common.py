@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset (as
-    in tests on one machine) a temporary folder is made and kept for the session.
+    It is ``spark.checkpoint.dir`` of the session.  Where that is unset, a local
+    master gets a temporary folder for the session; on a cluster it is an error,
+    as executors would write to folders that others cannot see.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="voicegrain-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,23 +36,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks at hand, not the work
-    before, and several readers do not compute the same rows again.
+    before, and several readers do not compute the same rows again.  The table
+    remembers its path, for ``drop_written``.
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
 
 
-def drop_written(df: DataFrame) -> None:
+def drop_written(table: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    base = work_dir(spark).split(":", 1)[-1]
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if base in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,14 +3,19 @@
 A line is the set of its words.  Words are put in one global order, rarest first,
 by a table of hashed counts over all lines.  Two sets of a Jaccard similarity of at
 least ``threshold`` share a word among the first ``s - ceil(threshold * s) + 1`` of
-each, so those prefix words are dealt by hash.  Sets that meet are held against the
-length bound, the positional bound, and a bitmap bound on what they cannot share;
-of the earlier lines that pass, each line first names the most alike.  The words of
-that pair are fetched and the similarity verified.  Lines whose first candidate
-fails are joined again with all of their candidates, so the result is exact, while
-a large group of near copies costs one candidate a line and not all of its pairs.
-
-Equal sets are reduced to their first line before the join.
+each, so each line is dealt to the cells of those prefix words.  Where lines meet,
+the length bound, the positional bound and a bitmap bound on what they cannot share
+decide whether they may be alike.
+
+Lines that may be alike meet once more with their whole word sets, in the cells in
+which they met before; there the similarity is verified, and what leaves a cell is
+one row for a later line with a match, never a pair.  They first meet in the few
+rarest of their cells; lines that found no match there are tried in all of them.
+
+Lines of equal sets are one class.  A task sends a class once, and a cell keeps its
+first line, so a line that fills a third of the corpus costs a row a task.  A word
+whose lines overfill a cell is dealt as pairs of blocks.  Rows of the first meeting
+travel packed, one binary for each task and bucket of cells.
 """
 
 from __future__ import annotations
@@ -25,303 +30,469 @@ from .common import drop_written, release, written
 
 THRESHOLD = 0.8
 #: Cells of the table of hashed counts; the broadcast table has 4 bytes a cell whatever the input.
-CELLS = 1 << 20
-#: Rows of a word that meet in one block; the words of overfull cells are dealt as pairs of blocks.
+CELLS = 1 << 21
+#: Lines of a word that meet in one block; the words of overfull cells are dealt as pairs of blocks.
 BLOCK = 4096
-_BLOOM = 1 << 23
-_NULL_ID = (1 << 63) - 1
-_INDEX = "word long, i long, v int, line int, size int, pos int, bits long, more int, asked boolean, lo int, hi int"
+#: In so many of its cells, the rarest first, a line's whole set is tried before all of them are.
+FIRST_CELLS = 2
+#: Buckets of cells for each shuffle partition, and how many packed rows a task holds before it sends them.
+_BUCKETS = 8
+_HELD = 1 << 20
+_CHUNK = 1 << 12
+_ORDER = ("z", "i", "u", "line")
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
-    """Begin, end, row and number within the row of each line of the texts (a text has line feeds plus one lines)."""
+    """Begin of each line of the texts, its row and its number within the row (a text has line feeds plus one lines)."""
     feed = np.flatnonzero(data == 10)
     row = np.searchsorted(offsets[1:], feed, side="right")
     begin = np.concatenate([offsets[:-1], feed + 1])
     order = np.argsort(np.concatenate([offsets[:-1] * 2, feed * 2 + 1]), kind="stable")  # a row begins before its first feed
     owner = np.concatenate([np.arange(len(offsets) - 1), row])[order]
-    begin = begin[order]
-    stop = np.append(begin[1:] - 1, offsets[-1])
-    last = np.append(owner[1:] != owner[:-1], True)
-    stop[last] = offsets[1:][owner[last]]
-    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    return begin, stop, owner, number
-
-
-def _sets(data: np.ndarray, offsets: np.ndarray):
-    """Distinct word hashes of each line: (line of each word, hash), sorted by line; and the lines."""
-    begin, stop, owner, number = _lines(data, offsets)
-    lowered = tv.LOWER[data]
-    starts, ends = tv.spans(lowered, offsets)
-    word = tv.hashes(lowered, starts, ends)
-    line = np.searchsorted(begin, starts, side="right") - 1
-    order = np.lexsort((word, line))
-    line, word = line[order], word[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))[: len(line)]
-    return line[new], word[new], owner, number, begin, stop
+    return begin[order], owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
+
+
+class _Sets:
+    """The word sets of the lines of some texts that have words, each set in the order of ``often`` (hashed counts), then of hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, often: np.ndarray | None = None):
+        begin, owner, number = _lines(data, offsets)
+        lowered = tv.LOWER[data]
+        starts, ends = tv.spans(lowered, offsets)
+        self.every = word = tv.hashes(lowered, starts, ends)
+        line = np.searchsorted(begin, starts, side="right") - 1
+        keys = (word, line) if often is None else (word, often[(word & np.uint64(len(often) - 1)).astype(np.int64)], line)
+        order = np.lexsort(keys)
+        line, word = line[order], word[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))[: len(line)]
+        line, self.word = line[new], word[new]
+        self.at = np.flatnonzero(np.append(True, line[1:] != line[:-1]))[: len(line)]
+        self.size = np.diff(np.append(self.at, len(line)))
+        used = line[self.at]
+        self.row, self.number = owner[used], number[used].astype(np.int32)
+
+    def sums(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each set."""
+        return np.add.reduceat(tv.mix(self.word ^ np.uint64(seed)), self.at) if len(self.at) else np.zeros(0, np.uint64)
+
+
+_SIG, _SIG2 = 0x5DEECE66D, 0x2545F4914F6CDD1D
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes of the ranges that begin at ``begin`` and have ``size`` elements, one after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
-    """``(i, v, text)`` and, if columns are to be kept, the struct ``_rest`` of them."""
+    """``(z, i, h, g, text)``: whether the id is null, the id, two 64-bit hashes of the text; and the struct ``_rest`` of ``keep``."""
     rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
-    return base.select("i", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("v"), "text", *["_rest"] * bool(keep))
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), text.alias("text"), *rest)
+    return base.select("z", "i", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g"), "text", *["_rest"] * bool(keep))
 
 
-def _line_keys(base: DataFrame) -> DataFrame:
-    """``(i, v, line, sig, size)`` of every line that has words; equal sets have equal sig and size."""
+_SURVEY = "z int, i long, h long, g long, line int, sig long, sig2 long, size int, chunk int, counts binary"
+
+
+def _survey(base: DataFrame, cells: int) -> DataFrame:
+    """A row for each line that has words, equal sets having equal ``sig``, ``sig2`` and ``size``; and rows of hashed word counts in chunks."""
 
     def run(batches):
+        count = np.zeros(cells, np.int64)
         for b in batches:
-            for lo, hi, data, offsets in tv.pieces(b.column(2)):
-                line, word, owner, number, _, _ = _sets(data, offsets)
-                if not len(line):
-                    continue
-                at = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-                sig = np.add.reduceat(tv.mix(word ^ np.uint64(0x5DEECE66D)), at)
-                used = line[at]
-                rows = pa.array(lo + owner[used])
-                size = np.diff(np.append(at, len(line))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(number[used].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(size)], ["i", "v", "line", "sig", "size"])
+            for lo, hi, data, offsets in tv.pieces(b.column(4)):
+                sets = _Sets(data, offsets)
+                count += np.bincount((sets.every & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+                n = len(sets.at)
+                if n:
+                    rows = pa.array(lo + sets.row)
+                    mine = [pa.array(x) for x in (sets.number, sets.sums(_SIG).view(np.int64), sets.sums(_SIG2).view(np.int64), sets.size.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([b.column(k).take(rows) for k in range(4)] + mine + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _names(_SURVEY))
+        step = min(_CHUNK, cells)
+        used = [k for k in range(cells // step) if count[k * step : (k + 1) * step].any()]
+        data = [_pressed(count[k * step : (k + 1) * step]) for k in used]
+        none = [pa.nulls(len(used), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays(none + [pa.array(used, pa.int32()), pa.array(data, pa.binary())], _names(_SURVEY))
 
-    return base.select("i", "v", "text").mapInArrow(run, "i long, v int, line int, sig long, size int")
+    return base.select("z", "i", "h", "g", "text").mapInArrow(run, _SURVEY)
 
 
-def rarity(base: DataFrame, cells: int = CELLS) -> np.ndarray:
-    """How often the words of each cell of the hash table occur in all texts; at most ``cells`` rows come to the driver."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches):
-        count = np.zeros(cells, np.int64)
+
+def _pressed(array: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(array).view(np.uint8), asbytes=True)
+
+
+def _unpressed(data, kind, n: int) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.Codec("zstd").decompress(data, size, asbytes=True), kind)
+
+
+def rarity(chunks: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """How often the words of each cell of the hash table occur in all texts; ``cells`` numbers come to the driver.
+
+    ``chunks`` has ``chunk`` and ``counts``, added up in two steps so that a chunk of
+    very many tasks is not summed in one.
+    """
+    step = min(_CHUNK, cells)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for _, _, data, offsets in tv.pieces(b.column(0)):
-                data = tv.LOWER[data]
-                word = tv.hashes(data, *tv.spans(data, offsets))
-                count += np.bincount((word & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], ["cell", "n"])
-
-    rows = base.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1)):
+                part = _unpressed(counts.as_buffer(), np.int64, step)
+                total[chunk] = total[chunk] + part if chunk in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_pressed(x) for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    salted = chunks.select("chunk", "counts", (F.spark_partition_id() % 16).alias("salt")).repartition("chunk", "salt")
+    once = salted.select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
+    rows = once.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
     table = np.zeros(cells, np.int64)
-    table[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    for chunk, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        table[chunk * step : (chunk + 1) * step] = _unpressed(counts, np.int64, step)
     return np.minimum(table, (1 << 31) - 1).astype(np.int32)
 
 
-def _index(texts: DataFrame, count, cells: int, threshold: float, bloom=None) -> DataFrame:
-    """Prefix rows of the chosen ``lines`` of ``texts (i, v, text, lines, asked)``; only of words in ``bloom`` if it is given."""
+# --- bounds -----------------------------------------------------------------------------------------------------------------
 
-    def run(batches):
-        table = count.value
-        block = max(BLOCK, 8 * int(table.mean()))
-        for b in batches:
-            for lo, hi, data, offsets in tv.pieces(b.column(2)):
-                line, word, owner, number, _, _ = _sets(data, offsets)
-                picked, asked = (_flags(b.column(k)[lo:hi], owner, number) for k in (3, 4))
-                keep = picked[line]
-                line, word = line[keep], word[keep]
-                if not len(line):
-                    continue
-                often = table[(word & np.uint64(cells - 1)).astype(np.int64)]
-                order = np.lexsort((word, often, line))
-                line, word, often = line[order], word[order], often[order]
-                at = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-                size = np.diff(np.append(at, len(line)))
-                bit = tv.mix(word + np.uint64(7)) % np.uint64(96)
-                low = np.bitwise_or.reduceat(np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), at)
-                high = np.bitwise_or.reduceat(np.where(bit >= 64, np.uint64(1) << (bit & np.uint64(31)), np.uint64(0)), at)
-                each = np.repeat(np.arange(len(at)), size)
-                pos = np.arange(len(line)) - at[each]
-                need = np.ceil(threshold * size - 1e-9).astype(np.int64)
-                use = pos < (size - need + 1)[each]
-                if bloom is not None:
-                    use &= _in_bloom(bloom.value, word)
-                word, each, pos, often = word[use], each[use], pos[use], often[use]
-                blocks = np.maximum(1, -(-often.astype(np.int64) // block))
-                blocks[often <= block] = 1
-                used = line[at][each]
-                mine = (tv.mix(((owner[used].astype(np.uint64) + np.uint64(lo)) << np.uint64(24)) + number[used].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                copy = np.repeat(np.arange(len(word)), blocks)
-                other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                first, second = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
-                rows = pa.array(lo + owner[used][copy])
-                arrays = [word.view(np.int64)[copy], None, None, number[used][copy].astype(np.int32), size[each][copy].astype(np.int32), pos[copy].astype(np.int32),
-                          low.view(np.int64)[each][copy], high.astype(np.uint32).view(np.int32)[each][copy], asked[used][copy], first.astype(np.int32), second.astype(np.int32)]
-                columns = [pa.array(a) if a is not None else b.column(k - 1).take(rows) for k, a in enumerate(arrays)]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _INDEX.split(", ")])
-
-    return texts.mapInArrow(run, _INDEX)
-
-
-def _flags(lists: pa.Array, owner: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Which lines are in the list of line numbers of their row (null: none)."""
-    first = np.searchsorted(owner, np.arange(len(lists)))
-    out = np.zeros(len(owner), bool)
-    sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
-    flat = lists.flatten().to_numpy()
-    if len(flat):
-        out[np.repeat(first, sizes) + flat] = True
-    return out
 
+def _bitmap_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's bitmap: a power of two, with at least 1.5 bits for each word of the set."""
+    return (1 << np.ceil(np.log2(np.maximum(1.5 * size / 64, 1))).astype(np.int64)).astype(np.int64)
+
+
+def _bitmaps(word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the sets, one after the other, and how many 64-bit words each has."""
+    words = _bitmap_words(size)
+    begin = np.cumsum(words) - words
+    bits = np.zeros(int(words.sum()) * 64, bool)
+    each = np.repeat(np.arange(len(size)), size)
+    bits[begin[each] * 64 + (tv.mix(word + np.uint64(7)) & (64 * words[each] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64), words
+
+
+class _Bound:
+    """Which pairs of sets may reach the threshold, by their sizes and bitmaps."""
+
+    def __init__(self, threshold: float, size: np.ndarray, bits: np.ndarray, words: np.ndarray):
+        self.threshold, self.size, self.bits, self.words = threshold, size.astype(np.int64), bits, words
+        self.begin = np.cumsum(words) - words
 
-def _in_bloom(bits: np.ndarray, word: np.ndarray) -> np.ndarray:
-    at = (word >> np.uint64(20)) & np.uint64(_BLOOM - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.ceil(self.threshold / (1 + self.threshold) * (self.size[a] + self.size[b]) - 1e-9)
 
+    def lengths(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(self.size[a], self.size[b]) >= self.threshold * np.maximum(self.size[a], self.size[b]) - 1e-9
 
-def _candidates(threshold: float, every: bool):
-    """Of the lines that share a prefix word, those that may be alike: the best earlier one of each, or all for those asked."""
+    def _at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of ``rows`` folded to ``width`` words."""
+        out = np.zeros((len(rows), width), np.uint64)
+        for w in np.unique(self.words[rows]):
+            mine = np.flatnonzero(self.words[rows] == w)
+            full = self.bits[self.begin[rows[mine]][:, None] + np.arange(w)]
+            out[mine] = np.bitwise_or.reduce(full.reshape(len(mine), -1, width), axis=1)
+        return out
 
-    def pairs_of(c: dict, head: np.ndarray) -> pa.RecordBatch:
-        n = len(c["i"])
-        group = np.cumsum(head) - 1
-        rank = np.arange(n) - np.flatnonzero(head)[group]
-        best, best_at, many = np.full(n, 1 << 30), np.full(n, -1), np.zeros(n, np.int64)
-        found: list = []
-        low, high = c["bits"].view(np.uint64), c["more"].view(np.uint32)
-        rows = np.flatnonzero((rank > 0) & c["asked"]) if every else np.flatnonzero(rank > 0)
-        lag = 1
+    def bitmaps(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Whether so few words of each can be missing in the other that ``need`` can be common."""
+        ok = np.zeros(len(a), bool)
+        width = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(width):
+            k = np.flatnonzero(width == w)
+            x, y = self._at(a[k], int(w)), self._at(b[k], int(w))
+            apart = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+            ok[k] = (self.size[a[k]] - apart(x, y) >= need[k]) & (self.size[b[k]] - apart(y, x) >= need[k])
+        return ok
+
+
+def _later(c: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether line ``a`` comes after line ``b``: by null id last, id, half of the text's hash, line, then class."""
+    out = c["sig"][a] > c["sig"][b]
+    for k in reversed(_ORDER):
+        x, y = c[k][a], c[k][b]
+        out = np.where(x != y, x > y, out)
+    return out
+
+
+# --- first meeting ----------------------------------------------------------------------------------------------------------
+
+#: What a packed row has besides the words of its bitmap; ``u`` is half of the hash of the text.
+_PACKED = {"cell": "<u8", "z": "u1", "i": "<i8", "u": "<i4", "line": "<i4", "sig": "<u8", "size": "<u4", "pos": "<u4"}
+_PACK = "bucket int, n int, words int, data binary"
+
+
+def _packs(base: DataFrame, count, cells: int, threshold: float, buckets: int) -> DataFrame:
+    """Prefix rows of every line, packed: a row for each bucket of cells that a task has lines for."""
+
+    def send(held: list):
+        c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        at, first = np.cumsum(c["prefix"]) - c["prefix"], np.cumsum(c["words"]) - c["words"]
+        order = np.lexsort([c[k] for k in reversed(("sig", *_ORDER))])
+        keep = order[np.append(True, c["sig"][order][1:] != c["sig"][order][:-1])]  # the first line of each set
+        each = np.repeat(keep, c["prefix"][keep])
+        word = c["word"][_ragged(at[keep], c["prefix"][keep])]
+        pos = np.arange(len(each)) - np.repeat(np.cumsum(c["prefix"][keep]) - c["prefix"][keep], c["prefix"][keep])
+        often = count.value[(word & np.uint64(cells - 1)).astype(np.int64)].astype(np.int64)
+        room = max(BLOCK, 8 * int(count.value.mean()))
+        blocks = np.where(often <= room, 1, -(-often // room))
+        copy = np.repeat(np.arange(len(word)), blocks)
+        mine = (tv.mix(c["sig"][each]) % blocks.astype(np.uint64)).astype(np.int64)[copy]
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
+        cell = np.where(blocks[copy] == 1, word[copy], tv.mix(word[copy] ^ tv.mix(pair + np.uint64(1))))
+        bucket = (tv.mix(cell) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((cell, bucket))
+        cell, bucket, copy = cell[order], bucket[order], copy[order]
+        each, pos = each[copy], pos[copy]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        columns = {"cell": cell, "pos": pos} | {k: c[k][each] for k in _PACKED if k in c}
+        columns = {k: columns[k].astype(t) for k, t in _PACKED.items()}
+        words = c["words"][each]
+        upto = np.append(0, np.cumsum(words))
+        bits = c["bits"][_ragged(first[each], words)]
+        rows: list[list] = [[], [], [], []]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            parts = [x[a:z].tobytes() for x in columns.values()] + [bits[upto[a] : upto[z]].tobytes()]
+            for out, x in zip(rows, (bucket[a], z - a, upto[z] - upto[a], _pressed(np.frombuffer(b"".join(parts), np.uint8)))):
+                out.append(x)
+        for k in range(0, len(rows[0]), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(r[k : k + 64], t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], _names(_PACK))
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            z, i, h = (b.column(k).to_numpy() for k in range(3))
+            for lo, hi, data, offsets in tv.pieces(b.column(3)):
+                sets = _Sets(data, offsets, count.value)
+                if not len(sets.at):
+                    continue
+                prefix = sets.size - np.ceil(threshold * sets.size - 1e-9).astype(np.int64) + 1
+                bits, words = _bitmaps(sets.word, sets.size)
+                row = lo + sets.row
+                held.append({"z": z[row], "i": i[row], "u": (h[row] >> 32).astype(np.int32), "line": sets.number, "sig": sets.sums(_SIG), "size": sets.size, "prefix": prefix, "word": sets.word[_ragged(sets.at, prefix)], "bits": bits, "words": words})
+                n += int(prefix.sum())
+                if n >= _HELD:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
+
+    return base.select("z", "i", "h", "text").mapInArrow(run, _PACK)
+
+
+_MET = "cell long, z int, i long, u int, line int, sig long, pos int, later boolean"
+
+
+def _meet(threshold: float):
+    """Of the lines of each cell, those that may be alike with another, and whether with an earlier one."""
+
+    def unpacked(parts: list) -> tuple[dict, np.ndarray, np.ndarray]:
+        c: dict = {k: [] for k in _PACKED}
+        bits = []
+        for n, words, data in parts:
+            raw = pa.Codec("zstd").decompress(data, n * sum(np.dtype(t).itemsize for t in _PACKED.values()) + 8 * words, asbytes=True)
+            at = 0
+            for k, t in _PACKED.items():
+                c[k].append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+            bits.append(np.frombuffer(raw, "<u8", words, at))
+        c = {k: np.concatenate(x) for k, x in c.items()}
+        words = _bitmap_words(c["size"].astype(np.int64))
+        return c, np.concatenate(bits), words
+
+    def met(parts: list) -> pa.RecordBatch:
+        c, bits, words = unpacked(parts)
+        begin = np.cumsum(words) - words
+        order = np.lexsort([c[k] for k in reversed(("cell", "sig", *_ORDER))])
+        cell, sig = c["cell"][order], c["sig"][order]
+        order = order[np.append(True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1]))]  # a class comes once to a cell
+        cell = c["cell"][order]
+        head = np.append(True, cell[1:] != cell[:-1])
+        several = ~(head & np.append(head[1:], True))
+        order, head = order[several], head[several]
+        c = {k: x[order] for k, x in c.items()}
+        bits, words = bits[_ragged(begin[order], words[order])], words[order]
+        bound = _Bound(threshold, c["size"], bits, words)
+        pos = c["pos"].astype(np.int64)
+        rank = np.arange(len(head)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
+        some, later = np.zeros(len(head), bool), np.zeros(len(head), bool)
+        rows, lag = np.flatnonzero(rank > 0), 1
         while len(rows):
-            other = rows - lag
-            a, b = c["size"][other].astype(np.int64), c["size"][rows].astype(np.int64)
-            need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-            pa_, pb = c["pos"][other], c["pos"][rows]
-            ok = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.minimum(pa_, pb) + 1 + np.minimum(a - pa_ - 1, b - pb - 1) >= need)
-            ok &= (c["i"][other] != c["i"][rows]) | (c["v"][other] != c["v"][rows]) | (c["line"][other] != c["line"][rows])
-            r, o = rows[ok], other[ok]
-            only_a = np.bitwise_count(low[o] & ~low[r]).astype(np.int64) + np.bitwise_count(high[o] & ~high[r])
-            only_b = np.bitwise_count(low[r] & ~low[o]).astype(np.int64) + np.bitwise_count(high[r] & ~high[o])
-            fits = (a[ok] - only_a >= need[ok]) & (b[ok] - only_b >= need[ok])
-            r, o, apart = r[fits], o[fits], (only_a + only_b)[fits]
-            if every:
-                found.append((r, o))
-            else:
-                many[r] += 1
-                better = apart < best[r]
-                best[r[better]], best_at[r[better]] = apart[better], o[better]
+            a, b = rows, rows - lag
+            ok = bound.lengths(a, b)
+            a, b = a[ok], b[ok]
+            need = bound.need(a, b)
+            rest = np.minimum(bound.size[a] - pos[a], bound.size[b] - pos[b])
+            ok = np.minimum(pos[a], pos[b]) + rest >= need
+            a, b, need = a[ok], b[ok], need[ok]
+            ok = bound.bitmaps(a, b, need)
+            a, b = a[ok], b[ok]
+            some[a] = some[b] = True
+            after = _later(c, a, b)
+            later[np.where(after, a, b)] = True
             lag += 1
             rows = rows[rank[rows] >= lag]
-        if every:
-            r = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-            o = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-            apart, count = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
-        else:
-            r = np.flatnonzero(best_at >= 0)
-            o, apart, count = best_at[r], best[r], many[r]
-        cols = [c["i"][r], c["v"][r], c["line"][r], c["i"][o], c["v"][o], c["line"][o], apart, count]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["i", "v", "line", "ci", "cv", "cline", "apart", "many"])
+        k = np.flatnonzero(some)
+        cols = [c["cell"].view(np.int64)[k], c["z"][k].astype(np.int32), c["i"][k], c["u"][k], c["line"][k], c["sig"].view(np.int64)[k], c["pos"][k].astype(np.int32), later[k]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _names(_MET))
 
     def run(batches):
-        held = None
+        now, parts = None, []
         for b in batches:
-            part = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(b.schema.names)}
-            held = part if held is None else {n: np.concatenate([held[n], part[n]]) for n in part}
-            head = _heads(held)
-            starts = np.flatnonzero(head)
-            if len(starts) > 1 and len(head) > 20_000:
-                cut = starts[-1]
-                yield pairs_of({n: x[:cut] for n, x in held.items()}, head[:cut])
-                held = {n: x[cut:] for n, x in held.items()}
-        if held is not None and len(held["i"]):
-            yield pairs_of(held, _heads(held))
+            for bucket, n, words, data in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+                if bucket != now and parts:
+                    yield met(parts)
+                    parts = []
+                now = bucket
+                parts.append((n, words, data.as_py()))
+        if parts:
+            yield met(parts)
 
     return run
 
 
-def _heads(c: dict) -> np.ndarray:
-    head = np.ones(len(c["i"]), bool)
-    head[1:] = (c["word"][1:] != c["word"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])
-    return head
-
-
-_PAIRS = "i long, v int, line int, ci long, cv int, cline int, apart long, many long"
-
+# --- second meeting: whole sets ---------------------------------------------------------------------------------------------
 
-def _met(index: DataFrame, threshold: float, every: bool) -> DataFrame:
-    dealt = index.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "i", "v", "line")
-    return dealt.mapInArrow(_candidates(threshold, every), _PAIRS)
+_SETS = "z int, i long, u int, line int, sig long, words binary, cells array<long>, asked boolean"
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of ``pairs``, the lines ``(i, v, line)`` with a candidate whose word set is alike enough."""
-    wanted = pairs.select("i", "v", "line").union(pairs.select("ci", "cv", "cline")).distinct().groupBy("i", "v").agg(F.collect_list("line").alias("lines"))
+def _whole_sets(base: DataFrame, met: DataFrame) -> DataFrame:
+    """Each line of ``met`` with its sorted word hashes and the cells it met others in, rarest first."""
+    wanted = met.groupBy("z", "i", "u").agg(F.collect_list(F.struct("line", "sig", "pos", "cell", "later")).alias("lines"))
+    u = F.shiftright("h", 32).cast("int").alias("u")
+    both = base.select("z", "i", u, "text").join(wanted, ["z", "i", "u"]).select("z", "i", "u", "text", "lines")
 
-    def fetch(batches):
+    def run(batches):
         for b in batches:
-            for i, v, text, lines in zip(*(b.column(k).to_pylist() for k in range(4))):
-                parts = text.split("\n")
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(lines), pa.int64()), pa.array([v] * len(lines), pa.int32()), pa.array(lines, pa.int32()), pa.array([parts[k] for k in lines])], ["i", "v", "line", "words"])
-
-    lines = texts.select("i", "v", "text").join(wanted, ["i", "v"]).select("i", "v", "text", "lines").mapInArrow(_packed(fetch), "i long, v int, line int, words string")
-    other = lines.select(F.col("i").alias("ci"), F.col("v").alias("cv"), F.col("line").alias("cline"), F.col("words").alias("cwords"))
-    both = pairs.select("i", "v", "line", "ci", "cv", "cline").join(other, ["ci", "cv", "cline"]).join(lines, ["i", "v", "line"])
+            lists = b.column(4).combine_chunks() if isinstance(b.column(4), pa.ChunkedArray) else b.column(4)
+            for lo, hi, data, offsets in tv.pieces(b.column(3)):
+                sets = _Sets(data, offsets)
+                part = lists.slice(lo, hi - lo)
+                sizes = np.diff(part.offsets.to_numpy())
+                flat = part.flatten()
+                owner = np.repeat(np.arange(hi - lo), sizes)
+                line, sig, pos, cell, later = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                order = np.lexsort((cell, pos, sig, line, owner))
+                owner, line, sig, cell, later = (x[order] for x in (owner, line, sig, cell, later))
+                new = np.append(True, (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]) | (sig[1:] != sig[:-1]))[: len(owner)]
+                at = np.flatnonzero(new)
+                # the set of each: same row, same line, and the same class (else the line is another text's of this id)
+                place = np.searchsorted(sets.row * (1 << 32) + sets.number, owner[at].astype(np.int64) * (1 << 32) + line[at])
+                place = np.minimum(place, max(len(sets.at) - 1, 0))
+                if not len(sets.at):
+                    continue
+                good = (sets.row[place] == owner[at]) & (sets.number[place] == line[at]) & (sets.sums(_SIG).view(np.int64)[place] == sig[at])
+                stop = np.append(at[1:], len(owner))
+                asked = np.logical_or.reduceat(later, at)
+                at, stop, place, asked = at[good], stop[good], place[good], asked[good]
+                n = stop - at
+                cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(cell[_ragged(at, n)]))
+                size = sets.size[place]
+                words = sets.word[_ragged(sets.at[place], size)]
+                binary = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.append(0, np.cumsum(8 * size)).astype(np.int32)), pa.py_buffer(words)])
+                rows = pa.array(lo + owner[at])
+                yield pa.RecordBatch.from_arrays([b.column(k).take(rows) for k in range(3)] + [pa.array(line[at]), pa.array(sig[at]), binary, cells, pa.array(asked)], _names(_SETS))
+
+    return both.mapInArrow(run, _SETS)
+
+
+_LINE = "z int, i long, u int, line int, sig long"
+
+
+def _verify(threshold: float):
+    """The lines of each cell that are asked for and have an earlier line whose similarity reaches the threshold."""
+
+    def matched(c: dict, words: list) -> pa.RecordBatch:
+        order = np.lexsort([c[k] for k in reversed(("cell", *_ORDER, "sig"))])
+        c = {k: x[order] for k, x in c.items()}
+        size = np.array([len(words[k]) for k in order], np.int64) // 8
+        word = np.frombuffer(b"".join(words[k] for k in order), np.uint64)
+        bound = _Bound(threshold, size, *_bitmaps(word, size))
+        # words are sorted within a line, so (line, word number) is sorted as a whole
+        distinct, number = np.unique(word, return_inverse=True)
+        begin = np.cumsum(size) - size
+        key = np.repeat(np.arange(len(size)), size) * len(distinct) + number
+        head = np.append(True, c["cell"][1:] != c["cell"][:-1])
+        rank = np.arange(len(head)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        found = np.zeros(len(head), bool)
+        rows, lag = np.flatnonzero((rank > 0) & c["asked"]), 1
+        while len(rows):
+            a, b = rows, rows - lag
+            ok = bound.lengths(a, b)
+            a, b = a[ok], b[ok]
+            need = bound.need(a, b)
+            ok = bound.bitmaps(a, b, need)
+            a, b, need = a[ok], b[ok], need[ok]
+            if len(a):
+                each = np.repeat(np.arange(len(a)), size[a])
+                wanted = b[each] * len(distinct) + number[_ragged(begin[a], size[a])]
+                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                common = np.bincount(each, key[at] == wanted, len(a))
+                found[a[common >= need]] = True
+            lag += 1
+            rows = rows[(rank[rows] >= lag) & ~found[rows]]
+        k = np.flatnonzero(found)
+        return pa.RecordBatch.from_arrays([pa.array(c[n][k]) for n in _names(_LINE)], _names(_LINE))
 
-    def alike(batches):
-        lower = bytes(tv.LOWER)
+    def run(batches):
+        held, words = None, []
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                p, q = set(x.encode().translate(lower).split()), set(y.encode().translate(lower).split())
-                common = len(p & q)
-                keep.append(common >= threshold * (len(p) + len(q) - common) - 1e-9)
-            yield b.select(["i", "v", "line"]).filter(pa.array(keep, pa.bool_()))
+            part = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(b.schema.names) if n != "words"}
+            held = part if held is None else {n: np.concatenate([held[n], part[n]]) for n in part}
+            words += b.column(b.schema.get_field_index("words")).to_pylist()
+            starts = np.flatnonzero(np.append(True, held["cell"][1:] != held["cell"][:-1]))
+            if len(starts) > 1 and len(words) > 10_000:
+                cut = starts[-1]
+                yield matched({n: x[:cut] for n, x in held.items()}, words[:cut])
+                held, words = {n: x[cut:] for n, x in held.items()}, words[cut:]
+        if held is not None and words:
+            yield matched(held, words)
 
-    return both.select("i", "v", "line", "words", "cwords").mapInArrow(alike, "i long, v int, line int").distinct()
+    return run
 
 
-def _packed(run, rows: int = 5_000):
-    def gather(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _matches(sets: DataFrame, threshold: float) -> DataFrame:
+    """The asked lines with an earlier match among the lines that share a cell of their ``cells``."""
+    dealt = sets.select(*_names(_LINE), "words", "asked", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_verify(threshold), _LINE).distinct()
+
 
-    return gather
+# --- the operator -----------------------------------------------------------------------------------------------------------
 
 
-def later_matches(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """``texts (i, v, text, ...)`` and the lines ``(i, v, line)`` that an earlier line of the corpus matches.
+def later_matches(base: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """The lines of ``base (z, i, h, g, text)`` and, of the first lines of each class, those with an earlier match.
 
-    Lines are ordered by id, then a 31-bit hash of the text (v), then position.
+    Lines are ordered by id (null last), the high half of the text's hash, and position.
     """
-    spark = docs.sparkSession
-    base = _keyed(docs, id_col, text_col, keep)
-    count = spark.sparkContext.broadcast(rarity(base, cells))
-    keys = written(_line_keys(base), "lines")
-    first = keys.groupBy("sig", "size").agg(F.min(F.struct("i", "v", "line")).alias("first"))
-    is_first = (F.col("first.i") == F.col("i")) & (F.col("first.v") == F.col("v")) & (F.col("first.line") == F.col("line"))
-    marked = keys.join(first, ["sig", "size"]).select("i", "v", "line", is_first.alias("is_first"))
-    plans = marked.groupBy("i", "v").agg(F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("lines"), F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("equal"))
-    plans = written(plans, "line-plans")
-    drop_written(keys)
+    spark = base.sparkSession
+    survey = written(_survey(base, cells), "lines")
+    count = spark.sparkContext.broadcast(rarity(survey.where("chunk is not null").select("chunk", "counts"), cells))
+    buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs = _packs(base, count, cells, threshold, buckets)
+    met = written(packs.repartition("bucket").sortWithinPartitions("bucket").select(*_names(_PACK)).mapInArrow(_meet(threshold), _MET), "met")
     release(spark)
-    texts = base.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "v").join(plans, ["i", "v"], "left")
-    none = F.array().cast("array<int>")
-    index = _index(texts.select("i", "v", "text", "lines", none.alias("asked")), count, cells, threshold)
-    named = written(_met(index, threshold, False).groupBy("i", "v", "line").agg(F.min(F.struct("apart", "ci", "cv", "cline")).alias("c"), F.max("many").alias("many"), F.min(F.struct("ci", "cv", "cline")).alias("a"), F.max(F.struct("ci", "cv", "cline")).alias("z")), "named")
-    pairs = named.select("i", "v", "line", "c.ci", "c.cv", "c.cline")
+    sets = written(_whole_sets(base, met), "sets")
+    drop_written(met)
     release(spark)
-    near = written(_verified(texts, pairs, threshold), "near")
+    near = written(_matches(sets.withColumn("cells", F.slice("cells", 1, FIRST_CELLS)), threshold), "near")
     release(spark)
-    rest = written(named.where((F.col("many") > 1) | (F.col("a") != F.col("z"))).select("i", "v", "line").join(near, ["i", "v", "line"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        asked = rest.groupBy("i", "v").agg(F.collect_list("line").alias("asked"))
-        asking = texts.select("i", "v", "text").join(asked, ["i", "v"])
-        words = _index(asking.select("i", "v", "text", F.col("asked").alias("lines"), none.alias("asked")), count, cells, threshold).select("word")
-        place = F.shiftrightunsigned("word", 20).bitwiseAND(F.lit(_BLOOM - 1))
-        got = words.select(place.alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        bits = np.zeros(_BLOOM // 64, np.uint64)
-        bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-        again = texts.join(asked, ["i", "v"], "left").select("i", "v", "text", "lines", "asked")
-        index = _index(again, count, cells, threshold, spark.sparkContext.broadcast(bits))
-        more = written(_met(index, threshold, True).select("i", "v", "line", "ci", "cv", "cline").distinct(), "more")
-        release(spark)
-        near = near.union(written(_verified(texts, more, threshold), "near"))
+    line = _names(_LINE)
+    asked = sets.where(F.col("asked")).select(*line, "cells").join(near, line, "left_anti")
+    again = written(asked.select(F.explode("cells").alias("cell"), *line), "asked")
+    if not again.isEmpty():
+        open_cells = again.select("cell").distinct()
+        rows = sets.select(*line, "words", F.explode("cells").alias("cell")).join(open_cells, "cell", "left_semi")
+        rows = rows.groupBy(*line).agg(F.first("words").alias("words"), F.collect_list("cell").alias("cells"))
+        rows = rows.join(again.select(*line).distinct().withColumn("_asked", F.lit(True)), line, "left").withColumn("asked", F.col("_asked").isNotNull())
+        near = near.union(written(_matches(rows, threshold), "near"))
         release(spark)
-    return texts, near
+    drop_written(sets)
+    drop_written(again)
+    return survey.where("chunk is null"), near
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -331,18 +502,30 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELL
     feeds), ``n_lines`` and ``n_removed``.  Lines end at line feeds; words are runs
     of non-blank bytes, A-Z lower-cased; a line without words matches nothing and
     stays; matches are judged on the input, so a removed line can remove others.
-    A null text is empty, with one empty line.  Rows equal in id and text are one
-    text: they lose the same lines and keep a row each.  Null ids come last and
-    stay null; an empty table gives no rows; of the other columns only those named in
-    ``keep`` are read, and they follow.
+    Earlier is what has the smaller id (null ids are last), under one id the smaller
+    hash of the text, in one text the smaller line number.  A null text is empty,
+    with one empty line.  Rows equal in id and text are one text: they lose the same
+    lines and keep a row each.  Null ids stay null, and their texts are told apart
+    by 128 bits of hash, as are several texts of one id; an empty table gives no
+    rows; of the other columns only those named in ``keep`` are read, and they
+    follow.  A task holds two blocks of the lines of a word with their word sets, so
+    its memory grows with the length of a line, not with the corpus.
     """
-    texts, near = later_matches(docs, threshold, cells, id_col, text_col, keep)
-    gone = near.distinct().groupBy("i", "v").agg(F.collect_list("line").alias("near"))
-    none = F.array().cast("array<int>")
-    found = texts.join(gone, ["i", "v"], "left").select("i", "text", *["_rest"] * bool(keep), F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias("gone"))
-    lines = F.split("text", "\n")
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n"))
+    base = _keyed(docs, id_col, text_col, keep)
+    lines, near = later_matches(base, threshold, cells)
+    u = F.shiftright("h", 32).cast("int")
+    lines = lines.select("z", "i", "h", "g", u.alias("u"), "line", "sig", "sig2", "size")
+    first = lines.groupBy("sig", "sig2", "size").agg(F.min(F.struct("z", "i", "u", "line", "h", "g")).alias("f"))
+    named = [F.col(f"f.{k}") for k in ("z", "i", "u", "line")]
+    hit = near.distinct().select(*[F.col(k).alias(f"n{k}") for k in _names(_LINE)])
+    same = [F.col(f"n{k}") == c for k, c in zip(("z", "i", "u", "line"), named)]
+    first = first.join(hit, [F.col("nsig") == F.col("sig"), *same], "left").select("sig", "sig2", "size", "f", F.col("nsig").isNotNull().alias("near"))
+    is_first = F.col("f") == F.struct("z", "i", "u", "line", "h", "g")
+    gone = lines.join(first, ["sig", "sig2", "size"]).where(F.col("near") | ~is_first).groupBy("z", "i", "h", "g").agg(F.collect_set("line").alias("gone"))
+    found = base.join(gone, ["z", "i", "h", "g"], "left").select("z", "i", F.split("text", "\n").alias("lines"), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), *["_rest"] * bool(keep))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
     return found.select(
-        F.when(F.col("i") != _NULL_ID, F.col("i")).alias("doc_id"), kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
+        F.when(F.col("z") == 0, F.col("i")).alias("doc_id"), kept.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
         *["_rest.*"] * bool(keep),
     )
