@@ -61,8 +61,7 @@ class _Sets:
         starts, ends = tv.spans(lowered, offsets)
         self.every = word = tv.hashes(lowered, starts, ends)
         line = np.searchsorted(begin, starts, side="right") - 1
-        keys = (word, line) if often is None else (word, often[(word & np.uint64(len(often) - 1)).astype(np.int64)], line)
-        order = np.lexsort(keys)
+        order = _by_line(line, word, None if often is None else often[(word & np.uint64(len(often) - 1)).astype(np.int64)])
         line, word = line[order], word[order]
         new = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))[: len(line)]
         line, self.word = line[new], word[new]
@@ -76,6 +75,23 @@ class _Sets:
         return np.add.reduceat(tv.mix(self.word ^ np.uint64(seed)), self.at) if len(self.at) else np.zeros(0, np.uint64)
 
 
+def _by_line(line: np.ndarray, word: np.ndarray, often: np.ndarray | None) -> np.ndarray:
+    """The order by line (they ascend already), then ``often`` if given, then word."""
+    if often is None:
+        key = word
+    else:  # one number for both, which two words of a line practically never share
+        key = np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | word >> np.uint64(24)
+    order = np.argsort(key)
+    number = line - line[0] if len(line) else line
+    small = len(line) and number[-1] < 1 << 16
+    order = order[np.argsort(number[order].astype(np.uint16) if small else number[order], kind="stable")]
+    if often is not None:
+        tied = (line[order][1:] == line[order][:-1]) & (key[order][1:] == key[order][:-1]) & (word[order][1:] != word[order][:-1])
+        if tied.any():
+            order = np.lexsort((word, key, line))
+    return order
+
+
 _SIG, _SIG2 = 0x5DEECE66D, 0x2545F4914F6CDD1D
 
 
@@ -242,10 +258,11 @@ def _packs(base: DataFrame, count, cells: int, threshold: float, buckets: int) -
         mine = (tv.mix(c["sig"][each]) % blocks.astype(np.uint64)).astype(np.int64)[copy]
         other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
-        cell = np.where(blocks[copy] == 1, word[copy], tv.mix(word[copy] ^ tv.mix(pair + np.uint64(1))))
-        bucket = (tv.mix(cell) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((cell, bucket))
-        cell, bucket, copy = cell[order], bucket[order], copy[order]
+        # a mixed number for each cell; buckets are ranges of it, so one sort serves both
+        cell = tv.mix(np.where(blocks[copy] == 1, word[copy], word[copy] ^ tv.mix(pair + np.uint64(1))))
+        order = np.argsort(cell)
+        cell, copy = cell[order], copy[order]
+        bucket = ((cell >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         each, pos = each[copy], pos[copy]
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         columns = {"cell": cell, "pos": pos} | {k: c[k][each] for k in _PACKED if k in c}
@@ -306,35 +323,56 @@ def _meet(threshold: float):
     def met(parts: list) -> pa.RecordBatch:
         c, bits, words = unpacked(parts)
         begin = np.cumsum(words) - words
-        order = np.lexsort([c[k] for k in reversed(("cell", "sig", *_ORDER))])
-        cell, sig = c["cell"][order], c["sig"][order]
-        order = order[np.append(True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1]))]  # a class comes once to a cell
+        order = np.argsort(c["cell"], kind="stable")
         cell = c["cell"][order]
         head = np.append(True, cell[1:] != cell[:-1])
         several = ~(head & np.append(head[1:], True))
-        order, head = order[several], head[several]
+        order, group = order[several], np.cumsum(head[several]) - 1
+        # in a cell by size, then class: of each class the first line stays
+        size, sig = c["size"][order].astype(np.uint64), c["sig"][order]
+        if len(order) < 1 << 20 and (not len(order) or size.max() < 1 << 16):
+            by = np.argsort(group.astype(np.uint64) << np.uint64(44) | size << np.uint64(28) | sig >> np.uint64(36))
+        else:
+            by = np.lexsort((sig, size, group))
+        order, group, sig = order[by], group[by], sig[by]
+        again = np.append(False, (group[1:] == group[:-1]) & (sig[1:] == sig[:-1]))
+        if again.any():
+            run = np.cumsum(~again) - 1
+            twice = np.flatnonzero(again | np.append(again[1:], False))
+            best = twice[np.lexsort([c[k][order[twice]] for k in reversed(_ORDER)] + [run[twice]])]
+            drop = np.ones(len(order), bool)
+            drop[np.setdiff1d(np.arange(len(order)), twice, assume_unique=True)] = False
+            drop[best[np.append(True, run[best][1:] != run[best][:-1])]] = False
+            order, group = order[~drop], group[~drop]
         c = {k: x[order] for k, x in c.items()}
         bits, words = bits[_ragged(begin[order], words[order])], words[order]
         bound = _Bound(threshold, c["size"], bits, words)
-        pos = c["pos"].astype(np.int64)
-        rank = np.arange(len(head)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
-        some, later = np.zeros(len(head), bool), np.zeros(len(head), bool)
-        rows, lag = np.flatnonzero(rank > 0), 1
-        while len(rows):
-            a, b = rows, rows - lag
-            ok = bound.lengths(a, b)
-            a, b = a[ok], b[ok]
-            need = bound.need(a, b)
-            rest = np.minimum(bound.size[a] - pos[a], bound.size[b] - pos[b])
-            ok = np.minimum(pos[a], pos[b]) + rest >= need
-            a, b, need = a[ok], b[ok], need[ok]
-            ok = bound.bitmaps(a, b, need)
+        size, pos = bound.size, c["pos"].astype(np.int64)
+        some, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        held, n = [], 0
+
+        def settle():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            ok = bound.bitmaps(a, b, bound.need(a, b))
             a, b = a[ok], b[ok]
             some[a] = some[b] = True
             after = _later(c, a, b)
             later[np.where(after, a, b)] = True
+
+        rows, lag = np.arange(1, len(order)), 1
+        while len(rows):
+            rows = rows[(group[rows] == group[rows - lag]) & (size[rows - lag] >= threshold * size[rows] - 1e-9)]
+            a, b = rows, rows - lag
+            fits = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= bound.need(a, b)
+            held.append((a[fits], b[fits]))
+            n += len(held[-1][0])
+            if n > 1 << 17:
+                settle()
+                held, n = [], 0
             lag += 1
-            rows = rows[rank[rows] >= lag]
+            rows = rows[rows >= lag]
+        if n:
+            settle()
         k = np.flatnonzero(some)
         cols = [c["cell"].view(np.int64)[k], c["z"][k].astype(np.int32), c["i"][k], c["u"][k], c["line"][k], c["sig"].view(np.int64)[k], c["pos"][k].astype(np.int32), later[k]]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _names(_MET))

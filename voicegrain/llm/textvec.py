@@ -53,11 +53,26 @@ def spans(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE) -> tuple[
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the byte ranges, which must be in order and must not overlap."""
+    """A 64-bit hash of each of the byte ranges, by differences of one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()) + 1, _BASE, np.uint64))
-    terms = (data[at + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)) * powers[at]
-    return mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    up, down = _powers(len(data))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+_held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier, and of its inverse modulo 2^64, for positions up to ``n``; kept for the next call unless very long."""
+    global _held
+    if len(_held[0]) > n:
+        return _held
+    size = max(n + 1, 2 * CHUNK_BYTES)
+    made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b))])) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+    if size <= 4 * CHUNK_BYTES:
+        _held = made
+    return made
