@@ -71,7 +71,7 @@ def test_words_of_many_lines_are_dealt_in_blocks(spark, monkeypatch):
     rows = [(i, f"always {rng.randrange(30)} w{rng.randrange(4)} w{rng.randrange(4)} end") for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(line_dedup, "BLOCK", 10)  # in this process: the steps of the tasks are run here
-    base = line_dedup._keyed(docs, "doc_id", "text")
+    base = line_dedup.keyed(docs)
     count = type("Held", (), {"value": line_dedup.rarity(line_dedup._survey(base, 1 << 12).where("chunk is not null").select("chunk", "counts"), 1 << 12)})
     arrow = base.select("z", "i", "h", "text").toArrow().combine_chunks().to_batches()
     packs = []

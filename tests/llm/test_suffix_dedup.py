@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from voicegrain.llm import suffix_dedup
 
 
@@ -45,16 +47,33 @@ def test_small_random_texts(spark, monkeypatch):
     assert run(docs.limit(0), 16) == []
 
 
-def test_texts_longer_than_a_piece(spark, monkeypatch):
+def test_long_texts_are_taken_in_pieces():
     rng = random.Random(4)
-    long = "".join(rng.choice("abcdefgh") for _ in range(3_000))
-    rows = [(1, long), (2, long[700:1500] + "Z" + long[1400:2600]), (3, "y" * 900)]
-    monkeypatch.setattr(suffix_dedup, "_PIECE", 256)
+    data = np.array([rng.randrange(97, 100) for _ in range(3_000)], np.uint8)
+    data[700:1000] = 97
+    for length in (16, 21, 40):
+        span = suffix_dedup.spans(length)[0]
+        whole = suffix_dedup.runs(data, length, span)
+        cut = suffix_dedup.runs(data, length, span, piece=100)
+        assert all((a == b).all() for a, b in zip(whole, cut))
+        at, first, last = whole
+        assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and last[-1] == len(data) - length  # every start names one position
+        assert all((a == b).all() for a, b in zip(suffix_dedup.ranks(data, *whole, length, 1), suffix_dedup.ranks(data, *whole, length, 1, piece=64)))
+
+
+def test_passages_of_every_length_about_the_limit(spark):
+    rng = random.Random(9)
+    letters = "abcdefgh"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    shared = text(200)
+    rows = [(i, text(rng.randrange(60)) + shared[a : a + 36 + i] + text(rng.randrange(60))) for i in range(30) for a in [rng.randrange(100)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 40)
-    # the limit holds in this process: run the same steps as the tasks do
-    for _, text in rows:
-        named = [(lo + int(a), lo + int(s), lo + int(z)) for lo, at, st, sp, _, _ in suffix_dedup._runs(text, 40) for a, s, z in zip(at, st, sp)]
-        starts = [s for _, a, z in named for s in range(a, z + 1)]
-        assert starts == list(range(len(text) - 39))
     assert run(docs, 40) == want
+    assert 0 < sum(x[2] > 0 for x in want) < len(rows)
+
+
+def test_texts_of_null_ids_are_told_apart(spark):
+    rows = [(None, "abcdefghijklmnopqrstuvwxyz"), (None, "0123456789abcdefghijklmnop"), (None, "zyxw" * 3), (None, "0123456789abcdefghijklmnop")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs, 16) == brute(rows, 16)

@@ -58,6 +58,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """``(z, i, h, g, text)``: whether the id is null, the id, two 64-bit hashes of the text; and the struct ``_rest`` of ``keep``."""
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), text.alias("text"), *rest)
+    return base.select("z", "i", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g"), "text", *["_rest"] * bool(keep))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges (a, b)``; root is the smallest node reachable.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import drop_written, release, written
+from .common import drop_written, keyed, release, written
 
 THRESHOLD = 0.8
 #: Cells of the table of hashed counts; the broadcast table has 4 bytes a cell whatever the input.
@@ -100,14 +100,6 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
-    """``(z, i, h, g, text)``: whether the id is null, the id, two 64-bit hashes of the text; and the struct ``_rest`` of ``keep``."""
-    rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
-    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), text.alias("text"), *rest)
-    return base.select("z", "i", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g"), "text", *["_rest"] * bool(keep))
-
-
 _SURVEY = "z int, i long, h long, g long, line int, sig long, sig2 long, size int, chunk int, counts binary"
 
 
@@ -549,7 +541,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELL
     follow.  A task holds two blocks of the lines of a word with their word sets, so
     its memory grows with the length of a line, not with the corpus.
     """
-    base = _keyed(docs, id_col, text_col, keep)
+    base = keyed(docs, id_col, text_col, keep)
     lines, near = later_matches(base, threshold, cells)
     u = F.shiftright("h", 32).cast("int")
     lines = lines.select("z", "i", "h", "g", u.alias("u"), "line", "sig", "sig2", "size")

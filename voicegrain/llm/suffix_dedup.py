@@ -1,41 +1,48 @@
 """Repeated byte strings by prefix doubling over sampled positions (operator 4).
 
-A string of ``length`` bytes repeats only if its parts do, so ranks grow from short
-strings to long ones and positions drop out as soon as their rank is unique.  The
-first rank is that of three quarters of the length, at sampled positions: every
-window of ``length`` bytes names the position in it of the smallest hash of such a
-string (the rightmost of equals), so equal strings name equal positions and about
-one position in fifty is sorted.  Positions of a unique rank drop out, and with them
-all starts that named them.  The next offset takes blocks of 16 starts at a fixed
-distance from what they name: a string that holds all of a block's strings and
-occurs twice settles the block.  The starts of the blocks left over are ranked one
-by one by the pair of ranks of their halves; pairs that occur twice are strings that
-repeat.
-
-A rank is a 64-bit hash (96 bits for the last pair).  All sorting, counting and
-joining is Spark's; tasks only hash.
+A string of ``length`` bytes repeats only if what it holds does, so ranks grow from
+short strings to the whole length, and positions drop out as soon as their rank is
+unique.  Sorting every position of the corpus would take many times its size, so the
+positions are sampled by content: every string names the position in it where the
+smallest hash of a ``length - span + 1`` byte string stands (the rightmost of
+equals).  Equal strings name equal positions, and about one position in
+``span / 2`` is named.
+
+A row stands for a named position and a block of the starts that name it.  It is
+ranked by a pair: its core, the bytes that all strings of the block have in common,
+and its hull, the bytes that they cover together.  Spark groups the pairs:
+
+* a core that is unique: no string of the block repeats; the row drops out
+* a hull that occurs again: all strings of the block repeat; the row is settled
+* otherwise the block is cut into smaller ones, whose cores are longer and hulls
+  shorter, and these are ranked anew.  Of settled rows with such a core one goes on
+  for all, since the strings of an open row may be among theirs.
+
+Blocks of one start have a core and a hull of the whole length: what they say is
+exact.  A rank is a 64-bit hash and core and hull are hashed differently, so a pair
+has 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import drop_written, release, written
+from .common import drop_written, keyed, release, written
 
 LENGTH = 400
-_BLOCK = 16
 _PIECE = 1 << 20
-_POS = np.uint64((1 << 24) - 1)
-_NULL_ID = -(1 << 63)
+_KEY = ("z", "i", "h", "g")
+_ROWS = "core long, hull long, z int, i long, h long, g long, at long, first long, last long"
 
 
-def _first(length: int) -> int:
-    """The length of the first rank: three quarters."""
-    return length - length // 4
+def spans(length: int) -> list[int]:
+    """How many starts a block has at each step: a power of two below two thirds of the length, an eighth of it, one."""
+    first = 1 << max((2 * length // 3).bit_length() - 1, 0)
+    return sorted({first, max(first // 8, 1), 1}, reverse=True)
 
 
 class _Hasher:
@@ -54,232 +61,181 @@ class _Hasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self.grow(len(data))
-        return np.concatenate([[np.uint64(0)], np.cumsum(self.table[data] * self.up[: len(data)])])
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        return out
 
     def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return tv.mix((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
 _ONE, _TWO = _Hasher(0x9E3779B97F4A7C15, 1), _Hasher(0xD1342543DE82EF95, 1 << 32)
+_POS = np.uint64((1 << 24) - 1)
+
 
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
-def _rank(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Ranks of substrings, from the sums that ``_runs`` gives."""
-    return _ONE.of(sums, begin, end)
 
+def _named(data: np.ndarray, length: int, span: int) -> np.ndarray:
+    """For each start of a ``length``-byte string in ``data`` (under 2^24 bytes), the position it names."""
+    core = length - span + 1
+    sums = _ONE.sums(data)
+    at = np.arange(len(data) - core + 1)
+    least = (_ONE.of(sums, at, at + core) & ~_POS) | (_POS - at.astype(np.uint64))
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    return (_POS - (least & _POS)).astype(np.int64)
 
-def _paired_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ranks of the two halves of the strings at ``at`` as one long, and 31 bits of a second hash of the whole."""
-    half, one, two = length // 2, _ONE.sums(data), _TWO.sums(data)
-    key = tv.mix(_ONE.of(one, at, at + half) + np.uint64(3) * _ONE.of(one, at + half, at + length))
-    return key.view(np.int64), (_TWO.of(two, at, at + length) >> np.uint64(33)).astype(np.int32)
 
+def runs(data: np.ndarray, length: int, span: int, piece: int = _PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The named positions of a text, and for each the first and the last start that name it.
 
-def _named(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a ``length``-byte string in ``data``, the position it names; and the sums of the first hasher."""
-    first = _first(length)
-    sums = _ONE.sums(data)
-    at = np.arange(len(data) - first + 1)
-    value = (_ONE.of(sums, at, at + first) & ~_POS) | (_POS - at.astype(np.uint64))
-    width, done = length - first + 1, 1
-    least = value
-    while 2 * done <= width:
-        least = np.minimum(least[:-done], least[done:])
-        done *= 2
-    if done < width:
-        least = np.minimum(least[: len(value) - width + 1], least[width - done :])
-    return (_POS - (least & _POS)).astype(np.int64), sums
-
-
-def _pieces_of(text: str, length: int):
-    """A long text in overlapping parts, so that each start of a string lies in one: (offset, bytes)."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    for lo in range(0, max(len(data) - length + 1, 0), _PIECE):
-        yield lo, data[max(lo - length, 0) : lo + _PIECE + 2 * length], lo - max(lo - length, 0), len(data)
-
-
-def _runs(text: str, length: int):
-    """Of each named position: (position, first and last start that name it), and the part it was found in."""
-    for lo, data, skip, size in _pieces_of(text, length):
-        named, sums = _named(data, length)
-        named = named[skip : skip + _PIECE]
+    A long text is taken in pieces; the next begins with the last run of the one
+    before, so no run is cut.
+    """
+    out, lo, total = [], 0, len(data) - length + 1
+    while lo < total:
+        n = min(max(piece, 2 * span), total - lo)
+        named = lo + _named(data[lo : lo + n + length - 1], length, span)
         edge = np.flatnonzero(np.diff(named)) + 1
-        first = np.concatenate([[0], edge])
-        last = np.concatenate([edge, [len(named)]]) - 1
-        yield lo - skip, named[first], first + skip, last + skip, data, sums
+        first, last = np.append(0, edge), np.append(edge, n) - 1
+        whole = len(first) if lo + n == total else len(first) - 1
+        out.append((named[first[:whole]], lo + first[:whole], lo + last[:whole]))
+        lo = total if lo + n == total else lo + int(first[-1])
+    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
 
 
-def _anchors(searched: DataFrame, length: int) -> DataFrame:
-    """``(rank, i, v, at)``: the named positions of every text, ranked by the string there."""
+def ranks(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, span: int, piece: int = _PIECE):
+    """Cuts the starts ``first`` to ``last`` that name ``at`` into blocks at fixed distances from it, and ranks them.
+
+    Returns core, hull, at, first, last of each block.  A hull ends where the text
+    does; how far it reaches is a part of its rank.
+    """
+    low, high = (at - last) // span, (at - first) // span
+    n = high - low + 1
+    k = np.repeat(np.arange(len(at)), n)
+    j = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + low[k]
+    at, near, far = at[k], at[k] - j * span, at[k] - j * span - span + 1
+    first, last = np.maximum(first[k], far), np.minimum(last[k], near)
+    begin, end = np.maximum(far, 0), np.minimum(near + length, len(data))
+    mark = tv.mix(j.astype(np.uint64) + np.uint64(11))
+    core, hull = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for c in np.unique(begin // piece):
+        mine = np.flatnonzero(begin // piece == c)
+        off = int(c) * piece
+        part = data[off : off + piece + length + 2 * span]
+        one, two = _ONE.sums(part), _TWO.sums(part)
+        core[mine] = _ONE.of(one, near[mine] - off, far[mine] + length - off)
+        hull[mine] = _TWO.of(two, begin[mine] - off, end[mine] - off) + np.uint64(3) * (at[mine] - begin[mine]).astype(np.uint64)
+    return tv.mix(core + mark), tv.mix(hull ^ mark), at, first, last
+
+
+def _batch(b: pa.RecordBatch, row: list, parts: list) -> pa.RecordBatch:
+    """Ranked blocks as rows; ``row`` tells for each of ``parts`` which row of ``b`` it is of."""
+    rows = pa.array(np.repeat(np.array(row), [len(p[0]) for p in parts]))
+    core, hull, at, first, last = (np.concatenate(x) for x in zip(*parts))
+    columns = [pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), *[b.column(k).take(rows) for k in range(4)], *[pa.array(x.astype(np.int64)) for x in (at, first, last)]]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ROWS.split(", ")])
+
+
+def _gathered(b: pa.RecordBatch, found, size: int = 50_000):
+    """Batches of about ``size`` rows of what ``found`` yields: (row of ``b``, ranked blocks)."""
+    row, parts, n = [], [], 0
+    for k, part in found:
+        row.append(k), parts.append(part)
+        n += len(part[0])
+        if n >= size:
+            yield _batch(b, row, parts)
+            row, parts, n = [], [], 0
+    if parts:
+        yield _batch(b, row, parts)
+
+
+def _first_rows(base: DataFrame, length: int, span: int) -> DataFrame:
+    """A ranked row for every named position of every text."""
 
     def run(batches):
         for b in batches:
-            for i, v, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for lo, at, _, _, _, sums in _runs(text, length):
-                    rank = _rank(sums, at, at + _first(length))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, v, np.int32)), pa.array(lo + at)], ["rank", "i", "v", "at"])
 
-    return searched.select("i", "v", "text").mapInArrow(_gathered(run), "rank long, i long, v int, at long")
+            def found(texts=b.column(4)):
+                for k, text in enumerate(texts):
+                    data = _bytes(text.as_py())
+                    if len(data) >= length:
+                        yield k, ranks(data, *runs(data, length, span), length, span)
 
+            yield from _gathered(b, found())
 
-def _blocks(searched: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """``(rank, near, i, v, start, stop)``: the strings that hold all strings of a block of starts.
+    return base.select(*_KEY, "text").where(F.octet_length("text") >= length).mapInArrow(run, _ROWS)
 
-    A block is up to ``_BLOCK`` starts at fixed distances from the position they
-    name; ``near`` is that position's rank and the distance, so equal strings can
-    only begin in blocks of one ``near``.
-    """
 
-    def run(batches):
-        for b in batches:
-            for i, v, text, ats in zip(*(b.column(k).to_pylist() for k in range(4))):
-                ats = np.unique(np.array(ats))
-                for lo, at, start, stop, data, sums in _runs(text, length):
-                    mine = np.isin(lo + at, ats)
-                    at, start, stop = at[mine], start[mine], stop[mine]
-                    first, last = (at - stop) // _BLOCK, (at - start) // _BLOCK
-                    k = np.repeat(np.arange(len(at)), last - first + 1)
-                    j = np.arange(len(k)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[k]
-                    begin, end = np.maximum(start[k], at[k] - j * _BLOCK - _BLOCK + 1), np.minimum(stop[k], at[k] - j * _BLOCK)
-                    near = tv.mix(_rank(sums, at, at + _first(length))[k] + np.uint64(5) * j.astype(np.uint64))
-                    # where a block is cut short, its first start is a part of what it is
-                    rank = tv.mix(_rank(sums, begin, end + length) + near + np.uint64(7) * (at[k] - begin).astype(np.uint64))
-                    cols = [rank.view(np.int64), near.view(np.int64), np.full(len(k), i), np.full(len(k), v, np.int32), lo + begin, lo + end]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "near", "i", "v", "start", "stop"])
-
-    met = searched.join(kept, ["i", "v"]).select("i", "v", "text", "ats")
-    return met.mapInArrow(_gathered(run), "rank long, near long, i long, v int, start long, stop long")
-
-
-def _pairs(searched: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """``(key, check, i, v, start)``: the ranks of both halves of the strings at the starts that are still open."""
+def _lists(column: pa.Array):
+    """For each row of a list-of-structs column, the numpy arrays of the struct's fields."""
+    flat, offsets = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    fields = [flat.field(k).to_numpy() for k in range(flat.type.num_fields)]
+    return [[f[a:z] for f in fields] for a, z in zip(offsets[:-1], offsets[1:])]
+
+
+def _next_rows(base: DataFrame, going: DataFrame, length: int, span: int) -> DataFrame:
+    """The blocks of ``going`` cut to ``span`` starts and ranked anew."""
+    by_text = going.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "first", "last")).alias("blocks"))
 
     def run(batches):
         for b in batches:
-            for i, v, text, runs in zip(*(b.column(k).to_pylist() for k in range(4))):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                for lo in range(0, len(data), _PIECE):
-                    near = [(max(r["start"], lo), min(r["stop"], lo + _PIECE - 1)) for r in runs]
-                    starts = [np.arange(a, z + 1) for a, z in near if a <= z]
-                    if not starts:
-                        continue
-                    s = np.unique(np.concatenate(starts))
-                    key, check = _paired_ranks(data[lo : lo + _PIECE + length], s - lo, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(np.full(len(s), i)), pa.array(np.full(len(s), v, np.int32)), pa.array(s)], ["key", "check", "i", "v", "start"])
-
-    met = searched.join(open_runs, ["i", "v"]).select("i", "v", "text", "runs")
-    return met.mapInArrow(_gathered(run), "key long, check int, i long, v int, start long")
-
-
-def _kept(searched: DataFrame, length: int) -> DataFrame:
-    """``(i, v, ats)``: the named positions whose rank is not unique, written.
-
-    The ranks are written before the join, so that both of its sides are plain
-    exchanges and the tasks of a very common string can be split.
-    """
-    first = written(_anchors(searched, length), "anchors")
-    release(first.sparkSession)
-    shared = written(first.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "shared")
-    release(first.sparkSession)
-    kept = written(first.join(shared, "rank").groupBy("i", "v").agg(F.collect_set("at").alias("ats")), "kept")
-    drop_written(first)
-    drop_written(shared)
-    return kept
-
-
-def _resolved(searched: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """``(i, v, start, stop, repeats, speaks)``, written: blocks of starts that all repeat, and those still to be ranked one by one.
-
-    A block that repeats speaks too if a unique block could hold some of its strings;
-    of equal blocks one speaks for all.  Equal blocks are one class; a class is
-    counted and judged by its position's rank and distance (``near``), and only the
-    classes of several blocks are joined back to their blocks.
+
+            def found(texts=b.column(4), lists=_lists(b.column(5))):
+                for k, (text, (at, first, last)) in enumerate(zip(texts, lists)):
+                    yield k, ranks(_bytes(text.as_py()), at, first, last, length, span)
+
+            yield from _gathered(b, found())
+
+    return base.select(*_KEY, "text").join(by_text, list(_KEY)).select(*_KEY, "text", "blocks").mapInArrow(run, _ROWS)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """The rows whose core is not unique, with ``repeats`` (the hull occurs again) and ``lone`` (a hull of this core does not).
+
+    Ranks are counted with partial aggregation, and only the counts are joined back,
+    so both sides of each join are plain exchanges and a very common rank can be split.
     """
-    spark = searched.sparkSession
-    blocks = written(_blocks(searched, kept, length), "blocks")
-    drop_written(kept)
-    release(spark)
-    place = F.struct("i", "v", "start", "stop")
-    classes = written(blocks.groupBy("rank", "near").agg(F.count("*").alias("n"), F.min(place).alias("one")), "classes")
-    release(spark)
-    # the only block of its position's rank at its distance has nothing to be equal to
-    peers = written(classes.groupBy("near").agg(F.sum("n").alias("peers"), F.max(F.col("n") == 1).alias("lone")).where("peers > 1"), "peers")
-    judged = written(classes.join(peers, "near").select("rank", "n", "one", "lone"), "judged")
+    classes = written(rows.groupBy("core", "hull").agg(F.count("*").alias("n")), "classes")
+    cores = classes.groupBy("core").agg(F.sum("n").alias("all"), F.max(F.col("n") == 1).alias("lone")).where("all > 1")
+    known = classes.join(cores, "core").select("core", "hull", (F.col("n") > 1).alias("repeats"), "lone")
+    out = written(rows.join(known, ["core", "hull"]), "judged")
     drop_written(classes)
-    drop_written(peers)
-    release(spark)
-    unique = judged.where("n = 1").select("one.*", F.lit(False).alias("repeats"), F.lit(True).alias("speaks"))
-    mine = (F.col("one.i") == F.col("i")) & (F.col("one.v") == F.col("v")) & (F.col("one.start") == F.col("start"))
-    several = blocks.join(judged.where("n > 1"), "rank").select("i", "v", "start", "stop", F.lit(True).alias("repeats"), (F.col("lone") & mine).alias("speaks"))
-    out = written(unique.union(several), "resolved")
-    drop_written(blocks)
-    drop_written(judged)
     return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts and, for each, the byte ranges that repeat.
+def repeated_starts(base: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(z, i, h, g, first, last)``: ranges of starts of strings of ``base (z, i, h, g, text)`` that start elsewhere too."""
+    place = [*_KEY, "at", "first", "last"]
+    going, settled = None, []
+    for span in spans(length):
+        rows = written(_first_rows(base, length, span) if going is None else _next_rows(base, going, length, span), "ranks")
+        release(base.sparkSession)
+        judged = _judged(rows)
+        drop_written(rows)
+        release(base.sparkSession)
+        settled.append(judged.where("repeats").select(*_KEY, "first", "last"))
+        one = judged.where("repeats and lone").groupBy("core", "hull").agg(F.min(F.struct(*place)).alias("p")).select("p.*")
+        going = judged.where("not repeats").select(*place).union(one)
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out
+
 
-    Returns ``texts (i, v, text, copied, ...)`` and ``ranges (i, v, ranges)``:
-    starts first to last of repeated strings.  Texts that are copies of each other
-    are marked ``copied`` and only one of them takes part in the search.
-    """
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select("i", F.xxhash64("text").alias("h"), "text")
-
-    # small rows: which texts are copies, and a number for each text of an id
-    marks = base.select("i", "h", F.md5("text").alias("d")).groupBy("i", "h", "d").agg(F.count("*").alias("rows"))
-    same = marks.groupBy("d").agg(F.min(F.struct("i", "h")).alias("chosen"), F.sum("rows").alias("copies"))
-    marks = marks.withColumn("v", F.row_number().over(Window.partitionBy("i").orderBy("h")).cast("int"))
-    marks = marks.join(same, "d").select("i", "h", "v", (F.col("copies") > 1).alias("copied"), ((F.col("chosen.i") == F.col("i")) & (F.col("chosen.h") == F.col("h"))).alias("takes_part"))
-    marks = written(marks, "marks")
-
-    kept = _kept(_dealt(base, marks, parts).where("takes_part").select("i", "v", "text"), length)
-    release(spark)
-    resolved = _resolved(_dealt(base, marks, parts).where("takes_part").select("i", "v", "text"), kept, length)
-    release(spark)
-    texts = _dealt(base, marks, parts)
-    open_runs = resolved.where("speaks").groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    doubled = _pairs(texts.where("takes_part").select("i", "v", "text"), open_runs, length)
-    ranked = doubled.repartition("key", "check").withColumn("n", F.count("*").over(Window.partitionBy("key", "check")))
-    single = ranked.where("n > 1").select("i", "v", "start", F.col("start").alias("stop"))
-    ranges = resolved.where("repeats").select("i", "v", "start", "stop").union(single).groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return texts, ranges
-
-
-def _dealt(base: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    return base.repartition(parts, "i", "h").join(marks, ["i", "h"])
-
-
-def _gathered(run, rows: int = 50_000):
-    """Small record batches of ``run`` put together, so that they cross to Spark in fair sizes."""
-
-    def gather(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return gather
-
-
-def _spans(ranges, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the strings beginning in ``ranges`` cover; runs that touch are one."""
-    if not ranges:
+def _spans(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the strings of the starts cover; runs that touch are one."""
+    if not len(first):
         return []
-    at = np.array(sorted((r["start"], r["stop"] + length) for r in ranges), np.int64)
-    reach = np.maximum.accumulate(at[:, 1])
-    new = np.concatenate([[True], at[1:, 0] > reach[:-1]])
-    first = np.flatnonzero(new)
-    return list(zip(at[first, 0].tolist(), reach[np.concatenate([first[1:], [len(at)]]) - 1].tolist()))
+    order = np.argsort(first, kind="stable")
+    begin, reach = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    return list(zip(begin[new].tolist(), reach[np.append(new[1:], len(begin)) - 1].tolist()))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,27 +245,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     removed runs) and ``kept`` (binary, the remaining bytes).  Null and empty texts
     have no bytes; matches never cross texts; strings are judged on the input;
     repeated rows are copies of each other, so all of their strings repeat; a null
-    id keeps its row; an empty table gives no rows; other columns are not read.
+    id keeps its row, and several texts of one id are told apart by 128 bits of
+    hash; an empty table gives no rows; other columns are not read.  A long text is
+    hashed in pieces; a task holds one text and its ranges.
     """
-    texts, ranges = repeated_bytes(docs, length, id_col, text_col)
+    base = keyed(docs, id_col, text_col)
+    found = repeated_starts(base, length).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     def cut(batches):
         for b in batches:
-            ids, texts_, copied, ranges_ = (b.column(k).to_pylist() for k in range(4))
             out: list[list] = [[], [], [], []]
-            for text, copy, found in zip(texts_, copied, ranges_):
-                data = text.encode("utf-8", "surrogatepass")
-                spans = [(0, len(data))] if copy and len(data) >= length else _spans(found, length)
+            for text, (first, last) in zip(b.column(1), _lists(b.column(2))):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                spans_ = _spans(first, last, length)
                 kept, at = [], 0
-                for a, z in spans:
+                for a, z in spans_:
                     kept.append(data[at:a])
                     at = z
                 kept.append(data[at:])
                 kept = b"".join(kept)
-                for col, value in zip(out, (len(data), len(data) - len(kept), len(spans), kept)):
+                for col, value in zip(out, (len(data), len(data) - len(kept), len(spans_), kept)):
                     col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    found = texts.join(ranges, ["i", "v"], "left").select(F.when(F.col("i") != _NULL_ID, F.col("i")).alias("doc_id"), "text", "copied", "ranges")
-    return found.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    texts = base.join(found, list(_KEY), "left").select(F.when(F.col("z") == 0, F.col("i")).alias("doc_id"), "text", F.coalesce("ranges", none).alias("ranges"))
+    return texts.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
