@@ -98,10 +98,10 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> Isotonic:
     """Pool adjacent violators; each pooled block counts one half-row more of either class, so no score is 0 or 1."""
     if len(y) == 0 or y.min() == y.max():
         return Isotonic(np.zeros(0), np.zeros(0))
-    order = np.argsort(score, kind="stable")
+    values, at = np.unique(score, return_inverse=True)  # rows of one score are one block from the start
     blocks: list[list[float]] = []  # sum of y, rows, sum of scores
-    for s, v in zip(score[order], y[order]):
-        blocks.append([float(v), 1.0, float(s)])
+    for s, n, v in zip(values, np.bincount(at), np.bincount(at, y)):
+        blocks.append([float(v), float(n), float(s) * float(n)])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]

@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A benchmark of at most so many bytes of words is broadcast; a larger one is joined by shuffles.
+#: A table made from the benchmark is broadcast if its rows have at most so many bytes, as counted; a larger one is joined by shuffles.
 BROADCAST_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,12 +61,16 @@ def contamination(
     rest = [F.struct(*[F.col(c) for c in keep]).alias("_rest")] if keep else []
     full = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_h"), *rest).withColumn("_k", F.xxhash64("doc_id", "_h"))
     items = _items(benchmark, item_id_col, item_text_col)
-    nbytes = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
-    small = F.broadcast if nbytes <= BROADCAST_BYTES else (lambda df: df)
+    items = written(items, "items")
+
+    def small(table: DataFrame, *texts: str) -> DataFrame:
+        """``table``, broadcast if what its rows hold is within the bound."""
+        size = table.agg(F.sum(sum((F.octet_length(F.concat_ws(" ", c)) for c in texts), F.lit(64))).alias("n")).first()["n"] or 0
+        return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
     # rarity: how often the documents hold each word of the benchmark
     vocabulary = items.select(F.explode("item_words").alias("word")).distinct()
-    counts = base.select(F.explode(words(F.col("text"))).alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = base.select(F.explode(words(F.col("text"))).alias("word")).join(small(vocabulary, "word"), "word").groupBy("word").agg(F.count("*").alias("n"))
 
     placed = items.select("item", F.size("item_words").alias("len"), F.posexplode("item_words").alias("at", "word"))
     rarity = placed.join(counts, "word", "left").fillna(0, ["n"])
@@ -76,17 +82,19 @@ def contamination(
         .where("rarest.n > 0")
         .select("item", "len", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"))
         .distinct()
-        .join(items.select("item", "item_ids", "item_words"), "item")
     )
+    prefix = written(prefix, "prefix-words")
 
     held = base.select("doc_id", "_h", "_k", words(F.col("text")).alias("_w"))
     held = held.select("doc_id", "_h", "_k", F.size("_w").alias("n"), F.posexplode("_w").alias("pos", "word"))
-    met = held.join(small(prefix), "word").withColumn("shift", F.col("pos") - F.col("at"))
+    met = held.join(small(prefix, "item", "word"), "word").withColumn("shift", F.col("pos") - F.col("at"))
     room = F.least(F.col("n"), F.col("shift") + F.col("len")) - F.greatest(F.lit(0), F.col("shift"))
+    # an alignment is kept once before the words of its item are fetched
+    kept = met.where(room >= w).select("_k", "doc_id", "_h", "item", "shift").distinct()
     aligned = (
-        met.where(room >= w)
+        kept.join(small(items.select("item", "item_ids", "item_words"), "item", "item_ids", "item_words"), "item")
         .groupBy("_k", "doc_id", "_h")
-        .agg(F.collect_set(F.struct("shift", "item_ids", "item_words")).alias("_met"))
+        .agg(F.collect_list(F.struct("shift", "item_ids", "item_words")).alias("_met"))
         .select(F.col("_k").alias("_j"), F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "_met")
     )
 

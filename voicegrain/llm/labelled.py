@@ -23,13 +23,14 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``(doc_id, text, y, part)`` of at most ``rows`` labelled ids outside fold 0, those of the smallest hashes.
 
-    Labels other than 0 and 1 are left out; of several labels for an id the largest holds.
+    Labels other than 0 and 1 are left out; of several labels for an id the largest
+    holds, and of several texts the smallest, so there are never more than ``rows``.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where("doc_id is not null and y in (0, 1)").withColumn("part", fold(F.col("doc_id"))).where("part <> 0")
     known = known.groupBy("doc_id", "part").agg(F.max("y").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by the parameter, so it may be broadcast
-    return documents(docs).join(F.broadcast(picked), "doc_id")
+    return documents(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text")).select("doc_id", "text", "y", "part")
 
 
 def matrix(texts: list[str], features: Callable[[str], list[float]]) -> np.ndarray:

@@ -126,8 +126,10 @@ def links(fps: DataFrame, max_bits: int = 4, groups: int = GROUPS, block: int =
     shifted = F.shiftrightunsigned("fp", 1)
     low = F.col("fp").bitwiseOR(shifted).bitwiseAND(half)
     high = F.shiftleft(F.col("fp").bitwiseAND(shifted).bitwiseAND(half), 1)
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        fps.select("fp", low.bitwiseOR(high).alias("unary"))
+        fps.repartition(parts, "fp")  # 70 rows each follow, so few small partitions must not be put together
+        .select("fp", low.bitwiseOR(high).alias("unary"))
         .select("fp", "unary", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("grid", "mask"))
         .select("grid", F.col("unary").bitwiseAND(F.col("mask")).alias("cell"), "fp")
     )

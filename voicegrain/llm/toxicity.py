@@ -3,8 +3,8 @@
 The lexicon is learnt: of the words and word beginnings of the training rows, those
 that toxic texts use far more often.  Features are densities of lexicon words, how
 near they stand to a second-person pronoun, capitals, punctuation and rates of
-obfuscated spelling.  Three of the four training folds fit the trees, the fourth
-the calibration.
+obfuscated spelling.  Three of the four training folds give the lexicon and fit the
+trees; the fourth, which neither has seen, fits the calibration.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from .labelled import collect_features, scored, training_rows, with_score
 
 #: At most so many labelled rows are learnt from.
 TRAINING_ROWS = 8000
-#: At most so many word beginnings form the lexicon.
+#: At most so many word beginnings form the lexicon; each stands in so many toxic texts at least.
 LEXICON = 300
+LEAST_TEXTS = 4
 CUT = 0.5
 NEAR = 6
 _BEGIN, _END = 4, 8  # lengths of the word beginnings that are counted
@@ -54,9 +55,8 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     per_doc = words.groupBy("doc_id", "y", "w").agg(F.count("*").alias("c")).select("doc_id", "y", "c", cut.alias("t")).where("t is not null")
     per_doc = per_doc.groupBy("t", "doc_id", "y").agg(F.sum("c").alias("c"))
     stats = per_doc.groupBy("t").agg(*[F.sum(F.when(F.col("y") == y, v).otherwise(0)).alias(f"{k}{y}") for y in (0, 1) for k, v in (("d", F.lit(1)), ("c", F.col("c")))])
-    least = 4 if n[1] < 50_000 else 8
     ratio = F.log((F.col("c1") + 0.5) / n[1]) - F.log((F.col("c0") + 0.5) / n[0])
-    weighed = stats.where((F.col("d1") >= least) & (F.col("c1") >= 2 * F.col("d1") * 0.5)).withColumn("ratio", ratio).where("ratio > 1.2")
+    weighed = stats.where(F.col("d1") >= LEAST_TEXTS).withColumn("ratio", ratio).where("ratio > 1.2")
     best = weighed.withColumn("gain", F.col("c1") * F.col("ratio")).orderBy(F.desc("gain"), "t").limit(4 * size).collect()
     chosen: dict[str, float] = {}
     for r in best:
@@ -143,7 +143,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
     """The features of a text and the calibrated score of feature rows, learnt from at most ``rows`` labelled documents."""
     known = training_rows(docs, labels, "toxic", rows)
-    features = Features(learn_lexicon(known))
+    features = Features(learn_lexicon(known.where("part <> 4")))
     x, y, part = collect_features(known, features)
     model = boosting.fit(x[part != 4], y[part != 4], trees=60)
     calibrate = boosting.isotonic(model.probability(x[part == 4]), y[part == 4])
