@@ -39,3 +39,21 @@ def test_run_and_empty_input(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    text = "one two three four five six seven eight\nnine ten eleven twelve"
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (1, text, "de", "b", 9), (2, text, None, None, None), (None, text, "en", "a", 1), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, None, None, None, None), (5, "other words entirely " * 30, "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, line int, _k string")
+    steps = dict(corpus_pipeline.STAGES)
+    clean = steps["toxicity"](spark, docs, sf)
+    assert clean.columns == COLUMNS and clean.count() == 9
+    lined = steps["line_dedup"](spark, docs, sf).collect()
+    assert sorted(r.text == text for r in lined) == [False] * 6 + [True] * 3 and len(lined) == 9  # document 1 is first, in each of its rows
+    single = steps["simhash_near_dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in single)[:2] == [(1, text), (3, None)] and len(single) == 3
+    assert {(r.lang, r.source) for r in single if r.doc_id == 1} <= {("en", "a"), ("de", "b")}
+    fair = steps["benchmark_decontamination"](spark, docs, sf)
+    assert fair.columns == COLUMNS and fair.count() == 9
+    last = steps["sentencepiece"](spark, docs, sf).collect()
+    assert len(last) == 9 and all(r.round_trip for r in last)

@@ -64,7 +64,7 @@ def test_round_trip_and_odd_inputs(spark, sf):
     odd = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ids int")
     back = {(r.doc_id, r.round_trip): r for r in codec.round_trip(odd).collect()}
     assert {k for k in back if not k[1]} == {(8, False)}
-    assert back[1, True].n_tokens == 0 and back[2, True].n_tokens == 0 and back[3, True].n_tokens == 2
+    assert back[1, True].n_tokens == 0 and back[2, True].n_tokens == 0 and back[3, True].n_tokens == len(brute(codec.BLANK * 2))
     assert codec.round_trip(odd).count() == 10 and codec.round_trip(odd.limit(0)).count() == 0
     assert codec.decode_texts(MODEL, np.array([3 + 0xFF]), np.array([1])) == ["�"]
 

@@ -162,3 +162,28 @@ def near_duplicate_groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4,
     rooted = texts.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each near-duplicate group of ``docs`` one row, with all its columns.
+
+    It is the row of the smallest id (null last); of several rows of that id the one
+    whose text, then whose other columns have the smallest hash; rows equal in all
+    columns are one.  Null and blank texts form a group.  An empty table stays empty.
+    """
+    i = F.col(id_col).cast("long")
+    key = [i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.xxhash64(F.lit(7), *docs.columns).alias("g")]
+    names = ["z", "i", "h", "g"]
+    base = docs.select(*key, F.struct(*docs.columns).alias("_row"))
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(4).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps.view(np.int64))], [*names, "fp"])
+
+    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prints = written(texts.mapInArrow(run, "z int, i long, h long, g long, fp long"), "simhash")
+    roots = connected_components(links(prints.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    first = prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("k")).join(roots, "fp", "left")
+    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select("k.*")
+    return base.join(first, names, "left_semi").dropDuplicates(names).select("_row.*")
