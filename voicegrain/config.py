@@ -16,7 +16,17 @@ SEVERITY_BANDS = [(0.25, "Low"), (0.5, "Medium"), (0.75, "High")]
 CATEGORIES = {
     "Delivery": (0.55, ["LateDelivery", "LostPackage", "DamagedInTransit", "WrongAddress", "CourierAttitude"]),
     "ProductQuality": (0.70, ["NotAsDescribed", "TechnicalDefect", "ExpiredOrStale", "MissingAccessory", "SuspectedCounterfeit"]),
+    "CustomerService": (0.45, ["SlowResponse", "BadAttitude", "WrongInformation", "UnresolvedCase"]),
+    "Payment": (0.90, ["GatewayError", "DoubleCharge", "WrongPromotion", "WrongInvoice"]),
+    "TechnicalApp": (0.60, ["AppSlowOrCrash", "LoginError", "DisplayError", "SearchError"]),
+    "ReturnRefund": (0.75, ["SlowRefund", "ReturnRejected", "ComplexProcess"]),
+    "PricePromotion": (0.30, ["HigherThanExpected", "MisleadingPromo"]),
 }
+# Labels of older records and the category each stands for.
+OLD_CATEGORIES = {
+    "Product Quality": "ProductQuality", "Product": "ProductQuality", "Customer Service": "CustomerService", "Technical Issue": "TechnicalApp", "Software": "TechnicalApp",
+    "App": "TechnicalApp", "Refund": "ReturnRefund", "Return": "ReturnRefund", "Pricing": "PricePromotion", "Price": "PricePromotion",
+}
 
 
 @dataclass(frozen=True)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _PLAIN = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻẽẹêếềểễệ", "i": "íìỉĩị", "o": "óòỏõọôốồổỗộơớờởỡợ", "u": "úùủũụưứừửữự", "y": "ýỳỷỹỵ", "d": "đ"}
 #: Order matters: a later pattern sees the text with the earlier ones already masked.
 PII = [
-    ("email", r"[\w.+-]+@[\w-]+\.[\w.]+", "[EMAIL]"),
-    ("phone", r"(?:\+84|\b0)(?:[ .-]?\d){9}\b", "[PHONE]"),
+    # What counts as a phone number, an address, an order number, an identity card and an account.
+    ("phone", r"(?:\+?84|0)(?:[\s.-]?\d){8,10}\b", "[PHONE]"),
+    ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"),
+    ("order", r"(?iu)(?<![\p{L}\p{N}])(?:mã đơn|ma don|đơn|don|order)[\s:#]*(?=[A-Z]*\d)[A-Z0-9]{6,}(?![\p{L}\p{N}])", "[ORDER]"),
+    ("id", r"\b\d{9}\b|\b\d{12}\b", "[ID]"),
     ("account", r"\b\d{10,16}\b", "[ACCOUNT]"),
-    ("id", r"\b(?:\d{12}|\d{9})\b", "[ID]"),
 ]
 
 
@@ -47,15 +51,16 @@ def tokens(text: Column, stop: list[str] = ()) -> Column:
 
 
 def simhash32(words: Column) -> Column:
-    """32-bit SimHash of an array of words by FNV-1a over code points; 0 for no words."""
+    """32-bit SimHash of an array of words, repeats included, by FNV-1a over code points; 0 for no words."""
+
     def fnv(word: Column) -> Column:
         step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.aggregate(F.split(word, ""), F.lit(2166136261).cast("long"), step)
 
     hashes = F.transform(words, fnv)
-    bits = F.sequence(F.lit(0), F.lit(31))
-    vote = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, 0).bitwiseAND(F.expr("1L")).isNotNull() & (F.pmod(F.floor(h / F.pow(F.lit(2.0), b)), F.lit(2)) == 1), 1).otherwise(-1))
-    return F.aggregate(F.transform(bits, lambda b: F.when(vote(b) > 0, F.pow(F.lit(2.0), b)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).cast("long")
+    vote = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.when(vote(b) > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    return F.aggregate(F.reverse(bits), F.expr("0L"), lambda n, bit: 2 * n + bit)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,3 +95,26 @@ def hash_share(key: Column) -> Column:
 def dedup_key(*parts: Column) -> Column:
     """SHA-1 of the parts joined by U+0001; a null part counts as empty."""
     return F.sha1(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form of texts; no built-in function composes letters."""
+    return text.str.normalize("NFC")
+
+
+def canonical(text: Column) -> Column:
+    """Composed letters, no invisible characters, every blank a space; null is empty."""
+    shown = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}]", "")
+    return F.regexp_replace(shown, "[\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]", " ")
+
+
+def conform(label: Column, present: list[str], old: dict[str, str]) -> Column:
+    """A label of the present taxonomy: itself, what an older label stands for, or Other."""
+    renamed = F.element_at(F.create_map(*[F.lit(x) for pair in old.items() for x in pair]), label)
+    return F.when(label.isin(present), label).otherwise(F.coalesce(renamed, F.lit("Other")))
+
+
+def author_hash(platform: Column, handle: Column, salt: str) -> Column:
+    """Sixteen hex digits that stand for an author; null without a handle."""
+    return F.when(F.coalesce(handle, F.lit("")) != "", F.substring(F.sha2(F.concat_ws("|", F.lit(salt), platform, handle), 256), 1, 16))

@@ -100,3 +100,12 @@ def adaptive_series(cube: DataFrame) -> DataFrame:
     size = cube.agg(bucket_days(F.max("back") + 1).alias("_size"))
     rows = cube.crossJoin(F.broadcast(size))  # one row
     return rows.groupBy(F.floor(F.col("back") / F.col("_size")).cast("int").alias("bucket"), F.col("_size").alias("days")).agg(F.count("*").alias("n"), F.count_if(negative()).alias("negatives"))
+
+
+def weekly(rows: DataFrame, by: str, now: str, weeks: int = 12, step: int = 7) -> DataFrame:
+    """Rows of each ``by`` in the last ``weeks`` periods of ``step`` days that end at ``now``; empty periods are zero."""
+    age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("ts")) / (step * 86400.0)
+    week = (weeks - 1 - F.floor(age)).cast("int")
+    counts = rows.where(age >= 0).groupBy(by, week.alias("week")).agg(F.count("*").alias("n")).where("week >= 0")
+    every = rows.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week"))
+    return every.join(counts, [by, "week"], "left").fillna(0, ["n"])

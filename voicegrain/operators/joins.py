@@ -32,7 +32,7 @@ def latest_decision(alerts: DataFrame, decisions: DataFrame, days: int = 7) -> D
 
 
 def same_text_clusters(items: DataFrame, text: str = "text", key: str = "doc_id", ts: str = "ts", least: int = 5, span_hours: int = 48) -> DataFrame:
-    """Groups of equal folded texts of at least ``least`` rows that span at most ``span_hours``."""
+    """Groups of equal texts of at least ``least`` rows that span at most ``span_hours``."""
     grouped = items.groupBy(F.sha1(text).alias("text_key")).agg(F.count("*").alias("size"), F.min(key).alias("first_id"), F.min(ts).alias("since"), F.max(ts).alias("until"))
     hours = (F.unix_seconds("until") - F.unix_seconds("since")) / 3600
     out = grouped.withColumn("hours", F.round(hours, 4)).where((F.col("size") >= least) & (hours <= span_hours))
@@ -71,3 +71,8 @@ def carry_forward(comments: DataFrame, switches: DataFrame, session: str = "sess
     both = comments.select(session, "ts", "comment_id", F.lit(None).cast("long").alias("shown")).unionByName(switches.select(session, "ts", F.lit(None).cast("long").alias("comment_id"), F.col("product_id").alias("shown")))
     order = Window.partitionBy(session).orderBy("ts", F.col("comment_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("current", F.last("shown", True).over(order)).where("comment_id is not null").select(session, "comment_id", "ts", "current")
+
+
+def by_ids(rows: DataFrame, lists: DataFrame, key: str, ids: str) -> DataFrame:
+    """The rows whose key is in one of the lists of ids, each once."""
+    return rows.join(lists.select(F.explode(ids).alias(key)).distinct(), key, "left_semi")

@@ -16,14 +16,23 @@ def negative() -> Column:
     return F.col("sentiment") == "Negative"
 
 
+def weight() -> Column:
+    """The weight as a decimal: it has four places, and a decimal sum does not depend on the order of rows."""
+    return F.col("weight").cast("decimal(18,4)")
+
+
 def weight_of(flag: Column) -> Column:
-    return F.coalesce(F.sum(F.when(flag, F.col("weight"))), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(flag, weight())), F.lit(0).cast("decimal(18,4)"))
+
+
+def two_places(total: Column) -> Column:
+    return F.round(total, 2).cast("double")
 
 
 def weighted_complaint_rate(items: DataFrame, transactions: DataFrame) -> DataFrame:
     """One row: weighted complaints of reconcilable rows over the number of transactions (null without any)."""
     two = F.col("tier").isin("P1", "P2")
-    top = items.where(COUNTABLE).agg(F.round(weight_of(negative() & two), 2).alias("weighted_complaints"), F.count_if(two).alias("reconcilable"), F.count("*").alias("countable"))
+    top = items.where(COUNTABLE).agg(two_places(weight_of(negative() & two)).alias("weighted_complaints"), F.count_if(two).alias("reconcilable"), F.count("*").alias("countable"))
     bottom = transactions.agg(F.count("*").alias("transactions"))
     both = top.crossJoin(F.broadcast(bottom))
     return both.select("*", F.round(F.try_divide("weighted_complaints", F.col("transactions").cast("double")), 6).alias("wcr"), F.round(F.try_divide("reconcilable", F.col("countable").cast("double")), 6).alias("coverage"))
@@ -32,9 +41,9 @@ def weighted_complaint_rate(items: DataFrame, transactions: DataFrame) -> DataFr
 def share_of_negative(items: DataFrame, by: str | None = None) -> DataFrame:
     """Share of negative weight and of negative rows, all rows or by a column."""
     grouped = items.where(COUNTABLE).groupBy(*[by] if by else [])
-    total = F.sum("weight")
+    total = F.sum(weight())
     return grouped.agg(
-        F.count("*").alias("n"), F.round(total, 2).alias("weight"), F.round(F.try_divide(weight_of(negative()), total), 6).alias("negative_share"), F.round(F.try_divide(F.count_if(negative()).cast("double"), F.count("*")), 6).alias("negative_rate")
+        F.count("*").alias("n"), two_places(total).alias("weight"), F.round(F.try_divide(weight_of(negative()).cast("double"), total.cast("double")), 6).alias("negative_share"), F.round(F.try_divide(F.count_if(negative()).cast("double"), F.count("*")), 6).alias("negative_rate")
     )
 
 
@@ -54,7 +63,7 @@ def weighted_series(items: DataFrame, now: str, buckets: int = 12, span_days: fl
     inside = items.withColumn("_age", age_days(F.col("ts"), now)).where((F.col("_age") >= 0) & (F.col("_age") <= span_days))
     counted = F.expr(COUNTABLE)
     sums = inside.groupBy(F.least(place, F.lit(buckets - 1)).alias("bucket")).agg(
-        F.count_if(counted).alias("n"), F.round(F.coalesce(F.sum(F.when(counted, F.col("weight"))), F.lit(0.0)), 2).alias("weight"), F.round(weight_of(negative() & counted), 2).alias("negative_weight"), F.count_if(~counted).alias("excluded")
+        F.count_if(counted).alias("n"), two_places(weight_of(counted)).alias("weight"), two_places(weight_of(negative() & counted)).alias("negative_weight"), F.count_if(~counted).alias("excluded")
     )
     every = items.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     return every.join(sums, "bucket", "left").fillna(0)
@@ -65,7 +74,7 @@ def period_comparison(items: DataFrame, now: str, window: int = 28) -> DataFrame
     age = age_days(F.col("ts"), now)
     now_, before = (age >= 0) & (age <= window), (age > window) & (age <= 2 * window)
     rows = items.where(COUNTABLE).agg(
-        *[F.count_if(p).alias(f"n_{k}") for k, p in (("now", now_), ("before", before))], *[F.round(weight_of(p), 2).alias(f"weight_{k}") for k, p in (("now", now_), ("before", before))], *[F.count_if(p & negative()).alias(f"negative_{k}") for k, p in (("now", now_), ("before", before))]
+        *[F.count_if(p).alias(f"n_{k}") for k, p in (("now", now_), ("before", before))], *[two_places(weight_of(p)).alias(f"weight_{k}") for k, p in (("now", now_), ("before", before))], *[F.count_if(p & negative()).alias(f"negative_{k}") for k, p in (("now", now_), ("before", before))]
     )
     delta = lambda k: F.round(F.try_divide((F.col(f"{k}_now") - F.col(f"{k}_before")).cast("double"), F.col(f"{k}_before")), 6).alias(f"{k}_delta")
     return rows.select("*", *[delta(k) for k in ("n", "weight", "negative")])
@@ -86,7 +95,7 @@ def ledger(items: DataFrame) -> DataFrame:
 
 
 def category_counts(items: DataFrame) -> DataFrame:
-    return items.where(COUNTABLE).groupBy("category", "sentiment").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
+    return items.where(COUNTABLE).groupBy("category", "sentiment").agg(F.count("*").alias("n"), two_places(F.sum(weight())).alias("weight"))
 
 
 def root_causes(items: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def cross_filter(rows: DataFrame, selection: dict, dimension: str | None = None)
 def segments(items: DataFrame) -> DataFrame:
     """Customers by behaviour: any negative is at risk, fewer than two rows one-time, mostly positive a promoter, else passive."""
     person = items.groupBy(F.coalesce(F.col("customer_id").cast("string"), "feedback_id").alias("customer")).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")], F.round(F.sum("weight"), 2).alias("weight"), F.max("ts").alias("latest")
+        F.count("*").alias("n"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")], two_places(F.sum(weight())).alias("weight"), F.max("ts").alias("latest")
     )
     kind = F.when(F.col("Negative") > 0, "at_risk").when(F.col("n") < 2, "one_time").when(F.col("Positive") >= F.col("Neutral"), "promoter").otherwise("passive")
     return person.withColumn("segment", kind)

@@ -28,7 +28,7 @@ fb AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 fc AS (
   SELECT *, CASE WHEN planted OR l_returnflag = 'R' THEN 'Negative' WHEN l_returnflag = 'A' THEN 'Neutral' ELSE 'Positive' END AS sentiment,
-    CASE WHEN planted THEN 'Delivery' ELSE ['Delivery', 'ProductQuality', 'CustomerService', 'Pricing', 'Packaging', 'Website', 'Policy', 'Other'][CAST(l_suppkey % 8 + 1 AS BIGINT)] END AS category
+    CASE WHEN planted THEN 'Delivery' ELSE ['Delivery', 'ProductQuality', 'CustomerService', 'Payment', 'TechnicalApp', 'ReturnRefund', 'PricePromotion', 'Other'][CAST(l_suppkey % 8 + 1 AS BIGINT)] END AS category
   FROM fb),
 feedback AS (
   SELECT * EXCLUDE (planted, l_returnflag, l_suppkey, l_partkey), CASE WHEN planted THEN 'LateDelivery' ELSE category || '-' || (l_partkey % 5) END AS cause FROM fc WHERE ts <= TIMESTAMP '2001-06-30'),
@@ -133,7 +133,7 @@ def cmp_01_trust_layer(spark, sf_dir):
 
 
 @query(_ITEMS + """, f AS (SELECT count(*) AS collected, count(*) FILTER (band = 'SPAM') AS spam, count(*) FILTER (band = 'LIKELY_INAUTHENTIC') AS inauthentic, count(*) FILTER (band = 'GRAY_ZONE') AS pending,
-  count(*) FILTER (band = 'ACCEPTED') AS accepted, count(DISTINCT source) AS channels, count(*) FILTER (tier IN ('P1', 'P2')) AS reconcilable, round(sum(weight), 2) AS effective_weight, min(age) AS newest FROM items)
+  count(*) FILTER (band = 'ACCEPTED') AS accepted, count(DISTINCT source) AS channels, count(*) FILTER (tier IN ('P1', 'P2')) AS reconcilable, CAST(round(sum(CAST(weight AS DECIMAL(18, 4))), 2) AS DOUBLE) AS effective_weight, min(age) AS newest FROM items)
 SELECT * EXCLUDE (newest), CAST(floor((0.4 * (accepted + pending) / collected + 0.2 * least(1.0, channels / 5.0) + 0.2 * greatest(0.0, least(1.0, 1 - (newest * 24 - 1) / 23)) + 0.2 * reconcilable / collected) * 100 + 0.5) AS BIGINT) AS health FROM f""")
 def agg_21_trust_funnel(spark, sf_dir):
     return trust.funnel(items(spark, sf_dir), NOW)
@@ -148,13 +148,13 @@ def ord_04_review_queue(spark, sf_dir):
 # Metrics
 
 
-@query(_ITEMS + """, t AS (SELECT round(coalesce(sum(weight) FILTER (bad AND tier IN ('P1', 'P2')), 0), 2) AS weighted_complaints, count(*) FILTER (tier IN ('P1', 'P2')) AS reconcilable, count(*) AS countable FROM ok)
+@query(_ITEMS + """, t AS (SELECT CAST(round(coalesce(sum(CAST(weight AS DECIMAL(18, 4))) FILTER (bad AND tier IN ('P1', 'P2')), 0), 2) AS DOUBLE) AS weighted_complaints, count(*) FILTER (tier IN ('P1', 'P2')) AS reconcilable, count(*) AS countable FROM ok)
 SELECT t.*, (SELECT count(*) FROM txn) AS transactions, round(weighted_complaints / (SELECT count(*) FROM txn), 6) AS wcr, round(reconcilable / countable::DOUBLE, 6) AS coverage FROM t""")
 def agg_01_weighted_complaint_rate(spark, sf_dir):
     return metrics.weighted_complaint_rate(items(spark, sf_dir), adapters.transactions(spark, sf_dir))
 
 
-@query(_ITEMS + "SELECT source, count(*) AS n, round(sum(weight), 2) AS weight, round(coalesce(sum(weight) FILTER (bad), 0) / sum(weight), 6) AS negative_share, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS negative_rate FROM ok GROUP BY source")
+@query(_ITEMS + "SELECT source, count(*) AS n, CAST(round(sum(CAST(weight AS DECIMAL(18, 4))), 2) AS DOUBLE) AS weight, round(coalesce(sum(weight) FILTER (bad), 0) / sum(weight), 6) AS negative_share, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS negative_rate FROM ok GROUP BY source")
 def agg_02_share_of_negative(spark, sf_dir):
     return metrics.share_of_negative(items(spark, sf_dir), "source")
 
@@ -165,14 +165,14 @@ def agg_03_negative_velocity(spark, sf_dir):
     return metrics.negative_velocity(items(spark, sf_dir), NOW)
 
 
-@query(_ITEMS + """, s AS (SELECT CAST(least(floor((84 - age) / 7), 11) AS INTEGER) AS bucket, count(*) FILTER (weight > 0) AS n, round(coalesce(sum(weight) FILTER (weight > 0), 0), 2) AS weight,
-  round(coalesce(sum(weight) FILTER (bad AND weight > 0), 0), 2) AS negative_weight, count(*) FILTER (weight <= 0) AS excluded FROM items WHERE age >= 0 AND age <= 84 GROUP BY 1)
+@query(_ITEMS + """, s AS (SELECT CAST(least(floor((84 - age) / 7), 11) AS INTEGER) AS bucket, count(*) FILTER (weight > 0) AS n, CAST(round(coalesce(sum(CAST(weight AS DECIMAL(18, 4))) FILTER (weight > 0), 0), 2) AS DOUBLE) AS weight,
+  CAST(round(coalesce(sum(CAST(weight AS DECIMAL(18, 4))) FILTER (bad AND weight > 0), 0), 2) AS DOUBLE) AS negative_weight, count(*) FILTER (weight <= 0) AS excluded FROM items WHERE age >= 0 AND age <= 84 GROUP BY 1)
 SELECT CAST(r.b AS INTEGER) AS bucket, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, coalesce(negative_weight, 0) AS negative_weight, coalesce(excluded, 0) AS excluded FROM range(12) r(b) LEFT JOIN s ON s.bucket = r.b""")
 def agg_04_weighted_series(spark, sf_dir):
     return metrics.weighted_series(items(spark, sf_dir), NOW)
 
 
-@query(_ITEMS + """, p AS (SELECT count(*) FILTER (a) AS n_now, count(*) FILTER (b) AS n_before, round(coalesce(sum(weight) FILTER (a), 0), 2) AS weight_now, round(coalesce(sum(weight) FILTER (b), 0), 2) AS weight_before,
+@query(_ITEMS + """, p AS (SELECT count(*) FILTER (a) AS n_now, count(*) FILTER (b) AS n_before, CAST(round(coalesce(sum(CAST(weight AS DECIMAL(18, 4))) FILTER (a), 0), 2) AS DOUBLE) AS weight_now, CAST(round(coalesce(sum(CAST(weight AS DECIMAL(18, 4))) FILTER (b), 0), 2) AS DOUBLE) AS weight_before,
   count(*) FILTER (a AND bad) AS negative_now, count(*) FILTER (b AND bad) AS negative_before FROM (SELECT *, age >= 0 AND age <= 28 AS a, age > 28 AND age <= 56 AS b FROM ok))
 SELECT *, round((n_now - n_before) / n_before::DOUBLE, 6) AS n_delta, round((weight_now - weight_before) / weight_before, 6) AS weight_delta, round((negative_now - negative_before) / negative_before::DOUBLE, 6) AS negative_delta FROM p""")
 def agg_06_period_comparison(spark, sf_dir):
@@ -190,7 +190,7 @@ def agg_09_ledger(spark, sf_dir):
     return metrics.ledger(items(spark, sf_dir))
 
 
-@query(_ITEMS + "SELECT category, sentiment, count(*) AS n, round(sum(weight), 2) AS weight FROM ok GROUP BY category, sentiment")
+@query(_ITEMS + "SELECT category, sentiment, count(*) AS n, CAST(round(sum(CAST(weight AS DECIMAL(18, 4))), 2) AS DOUBLE) AS weight FROM ok GROUP BY category, sentiment")
 def agg_10_category_counts(spark, sf_dir):
     return metrics.category_counts(items(spark, sf_dir))
 
@@ -222,7 +222,7 @@ def agg_17_heatmap(spark, sf_dir):
 
 
 @query(_ITEMS + """SELECT coalesce(CAST(customer_id AS VARCHAR), feedback_id) AS customer, count(*) AS n, count(*) FILTER (bad) AS "Negative", count(*) FILTER (sentiment = 'Neutral') AS "Neutral", count(*) FILTER (sentiment = 'Positive') AS "Positive",
-  round(sum(weight), 2) AS weight, max(ts) AS latest, CASE WHEN count(*) FILTER (bad) > 0 THEN 'at_risk' WHEN count(*) < 2 THEN 'one_time' WHEN count(*) FILTER (sentiment = 'Positive') >= count(*) FILTER (sentiment = 'Neutral') THEN 'promoter' ELSE 'passive' END AS segment
+  CAST(round(sum(CAST(weight AS DECIMAL(18, 4))), 2) AS DOUBLE) AS weight, max(ts) AS latest, CASE WHEN count(*) FILTER (bad) > 0 THEN 'at_risk' WHEN count(*) < 2 THEN 'one_time' WHEN count(*) FILTER (sentiment = 'Positive') >= count(*) FILTER (sentiment = 'Neutral') THEN 'promoter' ELSE 'passive' END AS segment
   FROM items GROUP BY 1""")
 def agg_20_segments(spark, sf_dir):
     return metrics.segments(items(spark, sf_dir))
@@ -236,14 +236,14 @@ def agg_28_product_profiles(spark, sf_dir):
     return metrics.product_profiles(items(spark, sf_dir))
 
 
-_DECISIONS = [(f"d{k}", name, category, at) for k, (name, category, at) in enumerate([("small ring", "Delivery", "2000-03-01"), ("red widget", "Pricing", "1999-06-15"), ("blue bolt", "Packaging", "2001-02-10")])]
+_DECISIONS = [(f"d{k}", name, category, at) for k, (name, category, at) in enumerate([("small ring", "Delivery", "2000-03-01"), ("red widget", "PricePromotion", "1999-06-15"), ("blue bolt", "Payment", "2001-02-10")])]
 
 
 def _decisions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_DECISIONS, "decision_id string, product_name string, category string, at string").withColumn("at", F.to_timestamp("at"))
 
 
-@query(_ITEMS + """, dec(decision_id, p, c, since) AS (VALUES ('d0', 'small ring', 'Delivery', TIMESTAMP '2000-03-01'), ('d1', 'red widget', 'Pricing', TIMESTAMP '1999-06-15'), ('d2', 'blue bolt', 'Packaging', TIMESTAMP '2001-02-10')),
+@query(_ITEMS + """, dec(decision_id, p, c, since) AS (VALUES ('d0', 'small ring', 'Delivery', TIMESTAMP '2000-03-01'), ('d1', 'red widget', 'PricePromotion', TIMESTAMP '1999-06-15'), ('d2', 'blue bolt', 'Payment', TIMESTAMP '2001-02-10')),
 n AS (SELECT decision_id, product_name = p AS own, ts >= since AS late, bad AND category = c AS hit FROM ok JOIN dec ON ts >= since - INTERVAL 28 DAYS AND ts < since + INTERVAL 28 DAYS),
 r AS (SELECT decision_id, count(*) FILTER (own AND NOT late) AS n_before, count(*) FILTER (own AND late) AS n_after, count(*) FILTER (own AND NOT late AND hit) / nullif(count(*) FILTER (own AND NOT late), 0)::DOUBLE AS before,
   count(*) FILTER (own AND late AND hit) / nullif(count(*) FILTER (own AND late), 0)::DOUBLE AS after, count(*) FILTER (NOT own AND NOT late AND hit) / nullif(count(*) FILTER (NOT own AND NOT late), 0)::DOUBLE AS control_before,
@@ -293,7 +293,7 @@ t4 AS (SELECT *, round(least(1.0, greatest(0.0, 2 * (1 - 0.5 * (1 + (1 - ((((1.0
 t5 AS (SELECT *, p < 0.01 AND ((x1 / n1::DOUBLE - x2 / n2::DOUBLE) * 100 >= 0.5 OR affected >= 20) AND x1 / n1::DOUBLE - x2 / n2::DOUBLE > 0 AS dual,
   row_number() OVER (ORDER BY p, gid, category NULLS FIRST, cause NULLS FIRST, product_name NULLS FIRST, region NULLS FIRST) AS rank, count(*) OVER () AS m FROM t4),
 t6 AS (SELECT *, least(1.0, min(p * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, coalesce(rank <= max(CASE WHEN p <= rank / m::DOUBLE * 0.05 THEN rank END) OVER (), false) AS sig FROM t5),
-t7 AS (SELECT *, CASE category WHEN 'Delivery' THEN 0.55 WHEN 'ProductQuality' THEN 0.7 ELSE 0.25 END AS impact, coalesce(weighted / nullif(orders, 0), weighted / n1) AS wcr, x1 / n1::DOUBLE AS r1, x2 / n2::DOUBLE AS r2 FROM t6),
+t7 AS (SELECT *, CASE category WHEN 'Delivery' THEN 0.55 WHEN 'ProductQuality' THEN 0.7 WHEN 'CustomerService' THEN 0.45 WHEN 'Payment' THEN 0.9 WHEN 'TechnicalApp' THEN 0.6 WHEN 'ReturnRefund' THEN 0.75 WHEN 'PricePromotion' THEN 0.3 ELSE 0.25 END AS impact, coalesce(weighted / nullif(orders, 0), weighted / n1) AS wcr, x1 / n1::DOUBLE AS r1, x2 / n2::DOUBLE AS r2 FROM t6),
 t8 AS (SELECT *, round(least(1.0, greatest(0.0, 0.25 * least(1.0, greatest(0.0, wcr / 0.1)) + 0.25 * least(1.0, abs(z) / 6) + 0.2 * least(1.0, greatest(0.0, CASE WHEN r2 <= 0 THEN CASE WHEN r1 > 0 THEN 3 ELSE 0 END ELSE least((r1 - r2) / r2, 3) END / 3))
   + 0.2 * impact + 0.1 * least(1.0, r1))), 4) AS s FROM t7),
 t9 AS (SELECT *, CASE WHEN x1 > 0 AND firm = 0 AND s >= 0.5 THEN least(s, 0.49) ELSE s END AS severity FROM t8)

@@ -9,7 +9,7 @@ from ..config import CATEGORIES
 
 NOW = "2001-06-30 00:00:00"
 SOURCES = {"1-URGENT": "Hotline", "2-HIGH": "Shopee", "3-MEDIUM": "Tiki", "4-NOT SPECIFIED": "Facebook"}
-ALL_CATEGORIES = ["Delivery", "ProductQuality", "CustomerService", "Pricing", "Packaging", "Website", "Policy", "Other"]
+ALL_CATEGORIES = [*CATEGORIES, "Other"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

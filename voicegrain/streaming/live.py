@@ -81,3 +81,74 @@ def ask_not_buy(comments: DataFrame, least: int = 6, share: float = 0.25) -> Dat
     person = comments.where("product_id is not null").groupBy("product_id", "author").agg(F.max((F.col("intent") == "question").cast("int")).alias("asked"), F.max((F.col("intent") == "order").cast("int")).alias("bought"))
     rows = person.where("asked = 1").groupBy("product_id").agg(F.count("*").alias("askers"), F.sum("bought").alias("buyers"))
     return rows.where((F.col("askers") >= least) & (F.col("buyers") <= share * F.col("askers")))
+
+
+def missed_value(comments: DataFrame, prices: DataFrame, least: int = 5) -> DataFrame:
+    """Per product with questions: people asking, and what they may have been worth: people x conversion x price.
+
+    Conversion is orders over questions, at most one; below ``least`` questions that of the session.
+    """
+    q, o = F.count_if(F.col("intent") == "question"), F.count_if(F.col("intent") == "order")
+    per = comments.groupBy("product_id").agg(q.alias("q"), o.alias("o"))
+    whole = per.agg(F.least(F.lit(1.0), F.try_divide(F.sum("o").cast("double"), F.sum("q"))).alias("c"))
+    rows = per.where("q > 0").crossJoin(F.broadcast(whole)).join(prices, "product_id")  # whole: one row
+    conversion = F.least(F.lit(1.0), F.when(F.col("q") >= least, F.col("o") / F.col("q")).otherwise(F.col("c")))
+    return rows.select("product_id", F.col("q").alias("people"), F.round(conversion * F.col("q") * F.col("price"), 2).alias("lost_value"))
+
+
+def response_quality(questions: DataFrame, by: str) -> DataFrame:
+    """Questions asked and answered, their share, and the median wait in minutes of the answered."""
+    wait = (F.unix_micros("answered_at") - F.unix_micros("ts")) / 60e6
+    return questions.groupBy(by).agg(
+        F.count("*").alias("asked"), F.count("answered_at").alias("answered"), F.round(F.count("answered_at") / F.count("*"), 6).alias("share"), F.round(F.median(F.when(wait >= 0, wait)), 4).alias("median_wait")
+    )
+
+
+def previous_session(sessions: DataFrame) -> DataFrame:
+    """Each session with the last ended one of its store that began before it."""
+    before = Window.partitionBy("store").orderBy(F.unix_micros("created_at")).rangeBetween(Window.unboundedPreceding, -1)
+    ended = F.when(F.col("ended"), F.struct("created_at", "session_id", "revenue"))
+    return sessions.withColumn("p", F.max(ended).over(before)).select("*", F.col("p.session_id").alias("previous_id"), F.col("p.revenue").alias("previous_revenue")).drop("p")
+
+
+def reminders(schedules: DataFrame, sessions: DataFrame, now: str) -> DataFrame:
+    """Scheduled lives that are due (inside their reminder time) or late (10 to 30 minutes past, and no session of the store since an hour before)."""
+    at = F.unix_seconds(F.lit(now).cast("timestamp"))
+    start = F.unix_micros("start_at") / 1e6
+    rows = schedules.where("status = 'scheduled'")
+    due = rows.where((at >= start - F.col("remind_min") * 60) & (at < start)).select("schedule_id", F.lit("due").alias("kind"))
+    late = rows.where((at >= start + 600) & (at < start + 1800))
+    begun = sessions.select(F.col("store").alias("s_store"), "created_at")
+    same = (F.col("store") == F.col("s_store")) & (F.unix_micros("created_at") / 1e6 >= start - 3600) & (F.unix_micros("created_at") / 1e6 <= at)
+    return due.union(late.join(begun, same, "left_anti").select("schedule_id", F.lit("late").alias("kind")))
+
+
+def queue_status(asks: DataFrame, answers: DataFrame, again: int = 3) -> DataFrame:
+    """Groups ``(group_key, ts, comment_id)`` of asks and of answers: open until answered, and again after ``again`` more asks (one more complaint).
+
+    Only what came after the last answer decides, so it needs no state but that and a count.
+    """
+    at = F.struct("ts", "comment_id")
+    last = answers.groupBy("group_key").agg(F.max(at).alias("last"))
+    fresh = F.col("last").isNull() | (at > F.col("last"))
+    rows = asks.join(last, "group_key", "left").groupBy("group_key").agg(F.count("*").alias("n"), F.count_if(fresh).alias("since_answer"), (F.count("last") > 0).alias("answered"))
+    unasked = last.join(asks.select("group_key").distinct(), "group_key", "left_anti").select("group_key", F.expr("0L").alias("n"), F.expr("0L").alias("since_answer"), F.lit(True).alias("answered"))
+    enough = F.when(F.col("group_key").startswith("c"), 1).otherwise(again)
+    status = F.when(~F.col("answered") | (F.col("since_answer") >= enough), "open").otherwise("answered")
+    return rows.union(unasked).select("group_key", "n", "since_answer", status.alias("status"))
+
+
+def retained(comments: DataFrame, most: int = 60_000, hours: int = 3) -> DataFrame:
+    """All comments of a session of at most ``most``; of a longer one those of the last ``hours``."""
+    whole = comments.agg(F.max("ts").alias("_z"), F.count("*").alias("_n"))
+    kept = (F.col("_n") <= most) | (F.col("ts") >= F.col("_z") - F.expr(f"interval {int(hours)} hours"))
+    return comments.crossJoin(F.broadcast(whole)).where(kept).drop("_z", "_n")  # whole: one row
+
+
+def cooled(actions: DataFrame, handled: DataFrame, minutes: int = 10) -> DataFrame:
+    """Proposed ``actions (action_id, ts)`` with whether the same action was handled in the ``minutes`` before."""
+    both = actions.withColumn("_at", F.lit(None).cast("timestamp")).unionByName(handled.select("action_id", F.col("at").alias("ts"), F.col("at").alias("_at")), allowMissingColumns=True)
+    order = Window.partitionBy("action_id").orderBy("ts", F.col("_at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_at", True).over(order)
+    young = F.unix_micros("ts") - F.unix_micros("_last") < minutes * 60_000_000
+    return both.withColumn("_last", last).where(F.col("_at").isNull()).withColumn("suppressed", F.coalesce(young, F.lit(False))).drop("_at", "_last", "ts")
