@@ -37,7 +37,7 @@ BLOCK = 4096
 FIRST_CELLS = 2
 #: Buckets of cells for each shuffle partition, and how many packed rows a task holds before it sends them.
 _BUCKETS = 8
-_HELD = 1 << 20
+_HELD = 1 << 19
 _CHUNK = 1 << 12
 _ORDER = ("z", "i", "u", "line")
 

@@ -12,7 +12,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[*range(9, 14), 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +71,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _held
     if len(_held[0]) > n:
         return _held
-    size = max(n + 1, 2 * CHUNK_BYTES)
+    size = max(n + 1, CHUNK_BYTES + CHUNK_BYTES // 4)
     made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b))])) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
     if size <= 4 * CHUNK_BYTES:
         _held = made
