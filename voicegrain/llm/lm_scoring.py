@@ -33,6 +33,8 @@ from .common import documents, drop_written, release, written
 VOCABULARY = math.inf
 BACKOFF = 0.4
 MIN_COUNT = 2
+#: The pairs of all documents are joined with their counts in so many turns, by hash, so that their shuffles do not stand on disk together.
+SLICES = 2
 #: Stand in place of word hashes.
 START, UNKNOWN = 0, 1
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -83,14 +85,20 @@ def pair_counts(docs: DataFrame, known=None, words: bool = False) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("v", "w") if words])
 
 
-def _exploded(docs: DataFrame, kind: str, known=None) -> DataFrame:
-    """``(doc_id, key, gram, times)``: how often each text holds each of its words, words before or pairs."""
+def _exploded(docs: DataFrame, kind: str, known=None, slices: int = 1, part: int = 0) -> DataFrame:
+    """``(doc_id, key, gram, times)``: how often each text holds each of its words, words before or pairs.
+
+    Only grams whose hash modulo ``slices`` is ``part``: what goes through a shuffle at once is that share.
+    """
 
     def run(batches):
         for b in batches:
             doc, key = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
             for lo, _, word, before, row in _lines_of(b, known):
                 gram = _pairs(before, word) if kind == "pair" else before if kind == "before" else word
+                if slices > 1:
+                    mine = gram % slices == part
+                    gram, row = gram[mine], row[mine]
                 by = np.lexsort((gram, row))
                 gram, row = gram[by], row[by]
                 at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(gram)])
@@ -144,10 +152,18 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     drop_written(counts)
     release(docs.sparkSession)
 
-    rows = _keyed(docs).select("doc_id", "key", long(1, "copies"), long(0, "n"), long(0, "held"), F.lit(0.0).alias("log"))
-    base = part.select("doc_id", "key", long(0, "copies"), long("n", "n"), long(0, "held"), "log")
-    more = _exploded(docs, "pair", known).join(seen, "gram").select("doc_id", "key", long(0, "copies"), long(0, "n"), long("times", "held"), log)
-    summed = rows.union(base).union(more).groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "held", "log")])
+    held = []
+    for turn in range(SLICES):
+        mine = seen.where(F.pmod("gram", F.lit(SLICES)) == turn)
+        more = _exploded(docs, "pair", known, SLICES, turn).join(mine, "gram").select("doc_id", "key", "times", log)
+        held.append(written(more.groupBy("doc_id", "key").agg(F.sum("times").alias("held"), F.sum("log").alias("log")), "pair-sums"))
+        release(docs.sparkSession)
+    drop_written(seen)
+    summed = _keyed(docs).select("doc_id", "key", long(1, "copies"), long(0, "n"), long(0, "held"), F.lit(0.0).alias("log"))
+    summed = summed.union(part.select("doc_id", "key", long(0, "copies"), long("n", "n"), long(0, "held"), "log"))
+    for sums in held:
+        summed = summed.union(sums.select("doc_id", "key", long(0, "copies"), long(0, "n"), long("held", "held"), "log"))
+    summed = summed.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "held", "log")])
     backed = F.col("n") - F.col("held") if min_count > 1 else F.lit(0)
     each = summed.withColumn("backed", backed).select("doc_id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "backed", "log")], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
     return each.select(
