@@ -310,6 +310,8 @@ def stm_13_complaint_spikes(spark, sf_dir):
     return live.complaint_spikes(_live(spark, sf_dir), "6 hours")
 
 
-@query(_LIVE + ", p AS (SELECT product_id, author, max(CAST(intent = 'question' AS INTEGER)) AS asked, max(CAST(intent = 'order' AS INTEGER)) AS bought FROM live GROUP BY ALL), r AS (SELECT product_id, count(*) AS askers, CAST(sum(bought) AS BIGINT) AS buyers FROM p WHERE asked = 1 GROUP BY 1) SELECT * FROM r WHERE askers >= 6 AND buyers <= 0.25 * askers")
+@query(_LIVE + ", s AS (SELECT product_id + 100 * CAST(floor(epoch(ts) / 259200) AS BIGINT) AS product_id, author, intent FROM live), p AS (SELECT product_id, author, max(CAST(intent = 'question' AS INTEGER)) AS asked, max(CAST(intent = 'order' AS INTEGER)) AS bought FROM s GROUP BY product_id, author), r AS (SELECT product_id, count(*) AS askers, CAST(sum(bought) AS BIGINT) AS buyers FROM p WHERE asked = 1 GROUP BY 1) SELECT * FROM r WHERE askers >= 6 AND buyers <= 0.25 * askers")
 def stm_13_ask_not_buy(spark, sf_dir):
-    return live.ask_not_buy(_live(spark, sf_dir))
+    """Products of each session of three days that people ask for and do not buy; a product of a session has a number of its own."""
+    session = F.floor(F.unix_seconds("ts") / 259200)
+    return live.ask_not_buy(_live(spark, sf_dir).withColumn("product_id", F.col("product_id") + 100 * session))
