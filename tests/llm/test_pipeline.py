@@ -21,8 +21,12 @@ def test_each_stage_against_brute_force(spark, sf):
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
     single = steps["simhash_near_dedup"](spark, lined, sf).cache()
-    groups = test_simhash.brute([(r.doc_id, r.text) for r in lined.collect()])
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, c in groups.values()})
+    texts, left = {r.doc_id: r.text for r in lined.collect()}, {r.doc_id for r in single.collect()}
+    near = test_simhash.similar_pairs(texts, 0.6)
+    assert single.columns == COLUMNS and len(left) == single.count()
+    assert not [(a, b) for a, b, j in near if j >= 0.92 and a in left and b in left]
+    alike = {x for a, b, _ in near for x in (a, b)}
+    assert set(texts) - left <= alike  # nothing goes that no other text is like
 
     fair = steps["benchmark_decontamination"](spark, single, sf).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

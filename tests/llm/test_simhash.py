@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from voicegrain.llm import simhash_dedup
+from voicegrain.llm.common import connected_components
 
 
 def brute(rows, max_bits=4):
@@ -70,3 +72,72 @@ def test_blocks_and_chains_lose_no_link(spark):
         for a, b in edges:
             parent[find(a)] = find(b)
         assert len({find(f - (1 << 64) if f >= 1 << 63 else f) for f in fps}) == 1
+
+
+def similar_pairs(texts, least):
+    """All pairs of a five-word Jaccard similarity of at least ``least``, from an inverted list of shingles."""
+    sets, holders, both = {}, {}, {}
+    for i, text in texts.items():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                both[a, b] = both.get((a, b), 0) + 1
+    found = [(a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in both.items()]
+    return [x for x in found if x[2] >= least]
+
+
+def test_similar_texts_keep_one_of_each_group(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows, copies, apart = [], [], []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 600))]
+        rows.append((3 * k, " ".join(words)))
+        edited = list(words)
+        while True:  # edits until the next one would fall below the similarity
+            more = list(edited)
+            more[rng.randrange(len(more))] = f"new{rng.random()}"
+            pair = similar_pairs({0: " ".join(words), 1: " ".join(more)}, 0.0)
+            if pair[0][2] < (0.82, 0.9, 0.95)[k % 3]:
+                break
+            edited = more
+        rows.append((3 * k + 1, " ".join(edited)))
+        copies.append(3 * k + 1)
+        half = words[: len(words) // 2] + [rng.choice(vocabulary) for _ in range(len(words) // 2)]
+        rows.append((3 * k + 2, " ".join(half)))  # a third of the shingles of both
+        apart.append(3 * k + 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in simhash_dedup.one_of_each_similar(docs).collect()}
+    assert {3 * k for k in range(150)} <= left and set(apart) <= left
+    for k, least in ((0, 0.8), (1, 0.95), (2, 0.98)):
+        assert sum(c not in left for c in copies[k::3]) >= least * 50
+
+
+def test_wide_cells_in_blocks_lose_no_met_pair(spark):
+    rng = np.random.default_rng(3)
+    seen = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64)
+    while len(seen) < 300:  # each new one is 12 bits from an old one
+        new = seen[rng.integers(len(seen))].copy()
+        for bit in rng.choice(256, 12, replace=False):
+            new[bit // 64] ^= np.uint64(1 << int(bit % 64))
+        seen = np.vstack([seen, new])
+    far = rng.integers(0, 1 << 63, (50, 4), dtype=np.uint64)
+    rows = np.vstack([seen, far]).view(np.int64).tolist()
+    frame = spark.createDataFrame(rows, "w0 long, w1 long, w2 long, w3 long")
+    want = {r[0] for r in rows[:300]}
+    for block in (16, 1024):
+        edges = simhash_dedup.similar_links(frame, block=block, grids=64, turns=2)
+        roots = {r.node: r.root for r in connected_components(edges).collect()}
+        assert set(roots) == want and len(set(roots.values())) == 1
+
+
+def test_edges_of_a_cell_of_copies_grow_with_its_rows():
+    rng = np.random.default_rng(5)
+    fp = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 500, axis=0)
+    fp[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    a, b = simhash_dedup._forest_of_cells(fp, np.array([0]), 48)
+    assert len(a) == 499
