@@ -37,11 +37,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the smallest id stays (null last; ties by hashes of the row).
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row of the smallest id stays.
 
-    Null and blank texts are one group; rows equal in all columns are one row.
+    A null id comes last; ties are settled by hashes of the row.  Null and blank texts
+    are one group; rows equal in all columns are one row.
     """
-    return simhash_dedup.one_of_each_group(docs.select(*COLUMNS))
+    return simhash_dedup.one_of_each_similar(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
