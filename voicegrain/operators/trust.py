@@ -64,14 +64,18 @@ def bursts(items: DataFrame, key: str = "product_name") -> DataFrame:
     the deviations (or 1), for products of at least 8 timed rows.
     """
     span = TRUST.burst_minutes * 60
-    seconds = F.unix_seconds("ts")
-    frame = Window.partitionBy(key).orderBy(seconds).rangeBetween(-span, span)
-    timed = items.withColumn("_s", seconds)
-    near = timed.withColumn("near", F.when(F.col("_s").isNotNull(), F.count("_s").over(frame)))
-    new = F.avg(F.when(F.col("account_age_days") < TRUST.new_account_days, 1.0).otherwise(0.0)).over(frame)
-    near = near.withColumn("new_share", F.when(F.col("_s").isNotNull(), new)).drop("_s")
+    timed = items.withColumn("_s", F.unix_seconds("ts"))
+    new = F.coalesce(F.col("account_age_days") < TRUST.new_account_days, F.lit(False))
+    # one row a product and second; each stands in its own bucket and both neighbours, so a hot product is many groups
+    seconds = timed.where("_s is not null").groupBy(key, "_s").agg(F.count("*").alias("_rows"), F.count_if(new).alias("_new"))
+    own = F.floor(F.col("_s") / span)
+    dealt = seconds.select(key, "_s", "_rows", "_new", own.alias("_own"), F.explode(F.array(own - 1, own, own + 1)).alias("_bucket"))
+    frame = Window.partitionBy(key, "_bucket").orderBy("_s").rangeBetween(-span, span)
+    sums = dealt.select(key, "_s", "_rows", "_own", "_bucket", F.sum("_rows").over(frame).alias("near"), (F.sum("_new").over(frame) / F.sum("_rows").over(frame)).alias("new_share"))
+    sums = sums.where("_own = _bucket").select(F.col(key).alias("_key"), F.col("_s").alias("_at"), "_rows", "near", "new_share")
+    near = timed.join(sums.drop("_rows"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_at")), "left").drop("_s", "_key", "_at")
     # medians over the distinct counts of a product with their multiplicity, so no array grows with the rows
-    counts = near.where(F.col("near").isNotNull()).groupBy(key, "near").agg(F.count("*").alias("w"))
+    counts = sums.groupBy(F.col("_key").alias(key), "near").agg(F.sum("_rows").alias("w"))
     middle = _weighted_upper_median(counts, key, "near").withColumnRenamed("median", "_median")
     off = counts.join(middle, key).withColumn("near", F.abs(F.col("near") - F.col("_median"))).groupBy(key, "near").agg(F.sum("w").alias("w"))
     spread = _weighted_upper_median(off, key, "near").withColumnRenamed("median", "_mad").drop("rows")
