@@ -18,39 +18,42 @@ DULL_MARKED = ["hàng", "mua", "nhận", "giao", "dùng", "sự", "cảm", "ơn"
 SEGMENT_END = "[.,!?;:…\\n\\r()\"“”'\\-–—/\\\\|*~+=<>\\[\\]{}]+"
 
 
-def phrases(text: Column, longest: int = 4) -> Column:
-    """The distinct phrases of a text, lower-cased; none crosses punctuation, begins or ends with a stop word or a number."""
-
-    def stop(word: Column, marked: list[str], plain: list[str]) -> Column:
-        return F.when(word == fold(word), word.isin(*plain)).otherwise(word.isin(*marked))
-
-    def of_segment(segment: Column) -> Column:
-        words = F.filter(F.split(segment, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        number = lambda w: w.rlike(r"^\d+$")
-        marks = F.transform(
-            words,
-            lambda w: F.struct(
-                w.alias("w"),
-                (~number(w) & (~stop(w, EDGE_MARKED, EDGE) | w.isin(*MAY_BEGIN))).alias("begins"),
-                (~number(w) & ~stop(w, EDGE_MARKED, EDGE)).alias("ends"),
-                stop(w, EDGE_MARKED + DULL_MARKED, EDGE + DULL).alias("dull"),
-            ),
-        )
-
-        def of_length(n: int) -> Column:
-            starts = F.when(F.size(marks) >= n, F.sequence(F.lit(1), F.size(marks) - n + 1)).otherwise(F.array().cast("array<int>"))
-            runs = F.transform(starts, lambda i: F.slice(marks, i, n))
-            kept = F.filter(runs, lambda r: r[0]["begins"] & r[n - 1]["ends"] & F.exists(r, lambda x: ~x["dull"]))
-            return F.transform(kept, lambda r: F.array_join(r["w"], " "))
-
-        return F.concat(*[of_length(n) for n in range(2, longest + 1)])
-
-    return F.array_distinct(F.flatten(F.transform(F.split(F.lower(text), SEGMENT_END), of_segment)))
-
-
-def phrase_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, phrase)``, each phrase of a row once; null and empty texts have none."""
-    return rows.select(key, F.explode(phrases(F.col(text))).alias("phrase"))
+def _stop(plain: Column, word: Column, marked_list: list[str], plain_list: list[str]) -> Column:
+    return F.when(plain, word.isin(*plain_list)).otherwise(word.isin(*marked_list))
+
+
+def phrase_rows(rows: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+    """``(key, phrase)``: the lower-cased phrases of each row, once a key.
+
+    No phrase crosses punctuation, begins or ends with a stop word or a number, or
+    holds only dull words.  Null and empty texts have none.  A row's words are marked
+    once, in a column of their own, and read by place, so the work grows with the words.
+    """
+    segments = rows.select(key, F.explode(F.split(F.lower(text), SEGMENT_END)).alias("_segment"))
+    words = segments.select(key, F.explode(F.array(F.filter(F.split("_segment", r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("_words")).where(F.size("_words") > 1)
+    known = F.transform("_words", lambda w: F.struct(w.alias("w"), (w == fold(w)).alias("plain"), w.rlike(r"^\d+$").alias("number")))
+
+    def mark(x: Column) -> Column:
+        edge = _stop(x["plain"], x["w"], EDGE_MARKED, EDGE)
+        dull = _stop(x["plain"], x["w"], EDGE_MARKED + DULL_MARKED, EDGE + DULL)
+        return F.struct(x["w"].alias("w"), (~x["number"] & (~edge | x["w"].isin(*MAY_BEGIN))).alias("begins"), (~x["number"] & ~edge).alias("ends"), dull.alias("dull"))
+
+    marked = words.select(key, F.explode(F.array(F.transform(known, mark))).alias("_m"))
+    m = F.col("_m")
+
+    def from_place(x: Column, i: Column) -> Column:
+        def run(n: int) -> Column:
+            rest = [F.get(m, i + k) for k in range(1, n)]
+            live = x["begins"] & F.coalesce(rest[-1]["ends"], F.lit(False))
+            for_all = x["dull"]
+            for r in rest:
+                for_all = for_all & r["dull"]
+            return F.when(live & ~for_all, F.concat_ws(" ", x["w"], *[r["w"] for r in rest]))
+
+        return F.array(*[run(n) for n in range(2, longest + 1)])
+
+    found = marked.select(key, F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(m, from_place))))).alias("phrase"))
+    return found.distinct()
 
 
 def spellings(phrase_rows: DataFrame) -> DataFrame:
