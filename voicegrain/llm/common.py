@@ -40,7 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     remembers its path, for ``drop_written``.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    conf, tidy = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(tidy, "false")
+    conf.set(tidy, "true")  # the shuffle files of this write go when it ends
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(tidy, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

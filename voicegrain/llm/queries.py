@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, lm_scoring, quality, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity, warc, weighted_sampling
+from . import decontamination, kmeans, line_dedup, lm_scoring, merkle, quality, sentencepiece_codec, simhash_dedup, sql, substring_dedup, suffix_dedup, toxicity, warc, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_windows(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -93,4 +106,5 @@ FROM f
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    more = {"op11_merkle_manifest": sql.merkle(), "op12_substring_dedup": sql.substrings(), "op13_centroid_clustering": sql.kmeans()}
+    return {"op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL} | more
