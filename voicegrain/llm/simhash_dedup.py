@@ -16,32 +16,41 @@ blocks, so no task holds an unbounded group and no link is lost.
 
 That exact grid serves few differing bits.  Copies of a five-word Jaccard similarity
 of 0.8 differ in about 15 % of the bits, where no choice of whole groups agrees.  For
-them (``similar_links``) the fingerprint has 256 bits, 128 segments, and each of
-``GRIDS`` grids keeps the counts of 12 segments drawn once; pairs that meet are
-tested as above, at ``SIMILAR_BITS``.  Chance figures for one pair of similarity
-0.95, 0.9, 0.85, 0.8, 0.7, 0.5: it meets in a cell with 1.00, 1.00, 0.995, 0.96,
-0.66, 0.15, and passes the bound with 1.00, 1.00, 1.00, 0.95, 0.46, 0.002.
+them (``similar_pairs``) the fingerprint has 256 bits, 128 segments, and each grid
+keeps the counts of some segments drawn once: as many that a cell holds few unlike
+texts however many there are, and as many grids that a pair of that similarity meets in
+one with a chance of ``RECALL``.  Meeting rows are tested by Manhattan and Hamming
+distance and by their numbers of shingles.  A cell sends the shortest edges that connect
+what passed, and the members of each connected set.  Every edge is then verified by the
+exact Jaccard similarity of the shingle sets.  Sets whose members verified edges do not
+join are met again, and the pairs between what is still apart are verified too, so a
+false edge hides no true one, and no text is dropped without a verified path.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, release, written
+from . import textvec as tv
+from .common import connected_components, documents, written
 
 GROUPS = 8
 BLOCK = 1024
 WORDS = 4
-GRIDS = 128
-SEGMENTS_A_GRID = 12
-TURNS = 4
-SIMILAR_BITS = 48
+SIMILARITY = 0.8
+#: Chance that two texts of that similarity meet in a grid.
+RECALL = 0.975
+#: Differing bits of 256 up to which a pair is verified; at a similarity of 0.8 some 39 differ, with a deviation of 6.
+SIMILAR_BITS = 54
+#: Rows with unlike fingerprints that a cell holds by chance; sets the segments a grid keeps.
+STRANGERS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -75,18 +84,6 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return _majority(_shingle_hashes(text, shingle, seed))
 
 
-def wide_fingerprint(text: str, shingle: int = 5, seed: int = 42) -> list[int]:
-    """A SimHash of ``64 * WORDS`` bits; the first word is ``fingerprint``, the next ones vote with remixed hashes."""
-    hashes = _shingle_hashes(text, shingle, seed)
-    out = [_majority(hashes)]
-    for k in range(1, WORDS):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id long, fp long)`` of every document; a null text counts as empty."""
 
@@ -189,100 +186,6 @@ def links(fps: DataFrame, max_bits: int = 4, groups: int = GROUPS, block: int =
     return met.mapInArrow(_cell_links(max_bits), "a long, b long")
 
 
-def _forest_of_cells(fp: np.ndarray, starts: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (rows a, b of ``fp``) that connect all rows of one cell within ``max_bits`` of each other, for many cells at once.
-
-    Rows are compared with those 1, 2, ... places on in their cell.  Rows that edges
-    connect already share a label and are not compared again, so a cell of m copies
-    gives about m edges and not its pairs.
-    """
-    unary = _unary(fp)
-    end = np.repeat(np.append(starts[1:], len(fp)), np.diff(np.append(starts, len(fp))))
-    label, i, lag = np.arange(len(fp)), np.arange(len(fp)), 0
-    found_a, found_b = [], []
-    while True:
-        lag += 1
-        i = i[i + lag < end[i]]
-        if not len(i):
-            break
-        a = i[label[i] != label[i + lag]]
-        a = a[np.bitwise_count(unary[a] ^ unary[a + lag]).sum(axis=1, dtype=np.int64) <= max_bits]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64) <= max_bits]
-        if len(a):
-            found_a.append(a), found_b.append(a + lag)
-            low, high = np.minimum(label[a], label[a + lag]), np.maximum(label[a], label[a + lag])
-            np.minimum.at(label, high, low)
-            while not np.array_equal(label, up := label[label]):
-                label = up
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(found_a or none), np.concatenate(found_b or none)
-
-
-def _similar_in_cells(max_bits: int):
-    def edges(cells: list, fp: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        a, b = _forest_of_cells(fp, starts, max_bits)
-        first = np.ascontiguousarray(fp[:, 0]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(first[a]), pa.array(first[b])], ["a", "b"])
-
-    def run(batches):
-        keys, fp = None, None
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3 + WORDS)]
-            part = np.stack(cols[3:], axis=1).view(np.uint64)
-            keys = cols[:3] if keys is None else [np.concatenate(x) for x in zip(keys, cols)]
-            fp = part if fp is None else np.concatenate([fp, part])
-            new = np.zeros(len(fp), bool)
-            new[:1] = True
-            for col in keys:
-                new[1:] |= col[1:] != col[:-1]
-            starts = np.flatnonzero(new)
-            if len(starts) > 1:  # the last cell may go on in the next batch
-                yield edges(keys, fp[: starts[-1]], starts[:-1])
-                keys, fp = [k[starts[-1] :] for k in keys], fp[starts[-1] :]
-        if fp is not None and len(fp):
-            yield edges(keys, fp, np.array([0]))
-
-    return run
-
-
-def similar_links(fps: DataFrame, max_bits: int = SIMILAR_BITS, grids: int = GRIDS, block: int = BLOCK, turns: int = TURNS) -> DataFrame:
-    """Edges ``(a, b)`` between first words ``w0`` of wide fingerprints ``(w0, w1, w2, w3)`` of at most ``max_bits`` differing bits.
-
-    ``w0`` is unique.  The grids are dealt in ``turns``, so that only a part of their
-    rows is on disk at a time.  A cell of more than ``block`` rows is dealt as pairs
-    of blocks.
-    """
-    spark = fps.sparkSession
-    rng = np.random.default_rng(1)
-    segments = [rng.choice(32 * WORDS, SEGMENTS_A_GRID, replace=False) for _ in range(grids)]
-    masks = [[sum(3 << (2 * int(s) % 64) for s in kept if s // 32 == w) for w in range(WORDS)] for kept in segments]
-    signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in row] for row in masks]
-    words = [f"w{k}" for k in range(WORDS)]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unary = fps.repartition(parts, "w0").select(*words, *[_unary_column(w).alias(f"u{k}") for k, w in enumerate(words)])
-    unary = written(unary, "simhash-wide")
-    out = []
-    for turn in range(turns):
-        mine = [F.xxhash64(F.lit(g), *[F.col(f"u{k}").bitwiseAND(F.lit(signed[g][k]).cast("long")) for k in range(WORDS)]) for g in range(turn, grids, turns)]
-        dealt = unary.select(*words, F.explode(F.array(*mine)).alias("cell"))
-        shared = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        many = F.ceil(F.col("n") / block).cast("int")
-        met = (
-            dealt.join(shared, "cell")
-            .select("cell", *words, F.pmod("w0", many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), many - 1)).alias("j"))
-            .select("cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), *words)
-            .repartition("cell", "lo", "hi")
-            .sortWithinPartitions("cell", "lo", "hi")
-        )
-        out.append(written(met.mapInArrow(_similar_in_cells(max_bits), "a long, b long").distinct(), "simhash-links"))
-        del dealt, shared, met
-        release(spark)
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.union(more)
-    return edges
-
-
 def near_duplicate_groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text, ...)``.
 
@@ -301,64 +204,256 @@ def near_duplicate_groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4,
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """Whether the id is null, the id, a hash of the text, a hash of the row: the order in which a group's row is chosen."""
-    i = F.col(id_col).cast("long")
-    return [i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.xxhash64(F.lit(7), *docs.columns).alias("g")]
+def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit shingle hashes of each text, and their numbers; a text of fewer words is one shingle."""
+    data = tv.LOWER[data]
+    starts, ends = tv.spans(data, offsets)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    count = np.bincount(text, minlength=len(offsets) - 1)
+    word = np.concatenate([[np.uint64(0)], np.cumsum(tv.hashes(data, starts, ends) * tv.powers(len(starts))[0][: len(starts)])])
+    last = np.cumsum(count)
+    short = np.flatnonzero((count > 0) & (count < shingle))
+    whole = np.flatnonzero(text[: max(len(text) - shingle + 1, 0)] == text[shingle - 1 :])
+    at, to = np.concatenate([whole, (last - count)[short]]), np.concatenate([whole + shingle, last[short]])
+    hash_ = tv.mix((word[to] - word[at]) * tv.powers(len(starts))[1][at] + (to - at).astype(np.uint64))
+    owner = np.concatenate([text[whole], short])
+    by = np.lexsort((hash_, owner))
+    hash_, owner = hash_[by], owner[by]
+    new = np.append(True, (hash_[1:] != hash_[:-1]) | (owner[1:] != owner[:-1]))[: len(hash_)]
+    return hash_[new], np.bincount(owner[new], minlength=len(offsets) - 1)
+
+
+def _wide(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The 256-bit SimHash of each text's shingles, as four words; zero without shingles.
+
+    Byte lanes of 64-bit sums count eight bits at once, over at most 255 shingles a sum.
+    """
+    out = np.zeros((len(counts), WORDS), np.uint64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    n = counts[some]
+    parts = -(-n // 255)
+    first = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    of = np.cumsum(parts) - parts
+    lanes = np.uint64(0x0101010101010101)
+    for k in range(WORDS):
+        h = hashes if k == 0 else tv.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        ones = np.empty((len(some), 64), np.int64)
+        for bit in range(8):
+            sums = np.add.reduceat((h >> np.uint64(bit)) & lanes, first)
+            ones[:, bit::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), of, axis=0)
+        out[some, k] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
-_KEY = ["z", "i", "h", "g"]
+def _prints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in tv.pieces(batch.column(5)):
+                hashes, counts = _shingles(data, offsets, shingle)
+                wide = _wide(hashes, counts).view(np.int64)
+                cols = [pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:5]], pa.array(counts.astype(np.int64)), *cols], [*_KEY, "t", "n", *_WIDE])
 
+    return run
 
-def _first_rows(docs: DataFrame, prints: DataFrame, roots: DataFrame, key: list[Column]) -> DataFrame:
-    """The first row of each group: ``prints (z, i, h, g, fp)``, ``roots (fp, root)`` for linked fingerprints."""
-    first = prints.groupBy("fp").agg(F.min(F.struct(*_KEY)).alias("k")).join(roots, "fp", "left")
-    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select("k.*")
-    rows = docs.select(*key, F.struct(*docs.columns).alias("_row"))
-    return rows.join(first, _KEY, "left_semi").dropDuplicates(_KEY).select("_row.*")
 
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in tv.pieces(batch.column(1)):
+                hashes, counts = _shingles(data, offsets, shingle)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], ["id", "shingles"])
 
-def one_of_each_group(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each near-duplicate group of ``docs`` one row, with all its columns.
+    return run
 
-    It is the row of the smallest id (null last); of several rows of that id the one
-    whose text, then whose other columns have the smallest hash; rows equal in all
-    columns are one.  Null and blank texts form a group.  An empty table stays empty.
-    """
-    key = _row_key(docs, id_col, text_col)
 
-    def run(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(4).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps.view(np.int64))], [*_KEY, "fp"])
+def _near(ids: list, fp: np.ndarray, n: np.ndarray, starts: np.ndarray, max_bits: int, similarity: float, label: np.ndarray | None = None) -> tuple:
+    """Pairs of rows of one cell within the bounds, for many cells at once: ``(a, b, bits)``; rows of one label are no pair."""
+    unary = _unary(fp)
+    end = np.repeat(np.append(starts[1:], len(fp)), np.diff(np.append(starts, len(fp))))
+    i, lag, found = np.arange(len(fp)), 0, []
+    while True:
+        lag += 1
+        i = i[i + lag < end[i]]
+        if not len(i):
+            break
+        a = i if label is None else i[label[i] != label[i + lag]]
+        a = a[np.minimum(n[a], n[a + lag]) >= similarity * np.maximum(n[a], n[a + lag])]
+        a = a[np.bitwise_count(unary[a] ^ unary[a + lag]).sum(axis=1, dtype=np.int64) <= max_bits]
+        bits = np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64)
+        close = bits <= max_bits
+        found.append((a[close], a[close] + lag, bits[close]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([x[k] for x in found] or [none]) for k in range(3))
 
-    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = written(texts.mapInArrow(run, "z int, i long, h long, g long, fp long"), "simhash")
-    roots = connected_components(links(prints.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
-    return _first_rows(docs, prints, roots, key)
 
+def _connecting(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs connect the ``n`` rows as all pairs do, shortest first, and the label of each row's connected set."""
+    by = np.argsort(bits, kind="stable")
+    label, live, chosen = np.arange(n), by, []
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return np.concatenate(chosen or [live]), label
+        la, lb = label[a[live]], label[b[live]]
+        best = np.full(n, len(live))
+        np.minimum.at(best, la, np.arange(len(live)))
+        np.minimum.at(best, lb, np.arange(len(live)))
+        take = np.unique(best[best < len(live)])
+        chosen.append(live[take])
+        low, high = np.minimum(la[take], lb[take]), np.maximum(la[take], lb[take])
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def _cells(batches, keys: int, work):
+    """Whole cells of sorted batches: ``work(columns, starts)`` for rows whose first ``keys`` columns name the cell."""
+    held = None
+    for batch in batches:
+        part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+        new = np.zeros(len(held[0]), bool)
+        new[:1] = True
+        for col in held[:keys]:
+            new[1:] |= col[1:] != col[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:  # the last cell may go on in the next batch
+            yield from work([c[: starts[-1]] for c in held], starts[:-1])
+            held = [c[starts[-1] :] for c in held]
+    if held is not None and len(held[0]):
+        yield from work(held, np.array([0]))
+
+
+def _words_of(cols: list) -> np.ndarray:
+    return np.stack(cols, axis=1).view(np.uint64)
+
+
+_FOUND = ["kind", "a", "b"]
+
+
+def _edges_and_sets(max_bits: int, similarity: float):
+    """Of cells ``(cell, lo, hi, id, n, w0..w3)``: rows ``(0, a, b)`` for edges, ``(1, set, member)`` for connected sets of three and more."""
+
+    def work(cols: list, starts: np.ndarray):
+        ids, n, fp = cols[3], cols[4], _words_of(cols[5:])
+        a, b, bits = _near(ids, fp, n, starts, max_bits, similarity)
+        take, label = _connecting(a, b, bits, len(ids))
+        name = np.zeros(len(ids), np.uint64)
+        np.add.at(name, label, tv.mix(ids.view(np.uint64)))  # equal sets of several grids have one name
+        many = np.flatnonzero(np.bincount(label, minlength=len(ids))[label] > 2)
+        kind = np.concatenate([np.zeros(len(take), np.int32), np.ones(len(many), np.int32)])
+        left = np.concatenate([np.minimum(ids[a[take]], ids[b[take]]), name[label[many]].view(np.int64)])
+        right = np.concatenate([np.maximum(ids[a[take]], ids[b[take]]), ids[many]])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left), pa.array(right)], _FOUND)
+
+    return lambda batches: _cells(batches, 3, work)
+
+
+def _pairs_between(max_bits: int, similarity: float):
+    """Of sets ``(set, id, root, n, w0..w3)`` the pairs of members with different roots."""
+
+    def work(cols: list, starts: np.ndarray):
+        ids, root, n, fp = cols[1], cols[2], cols[3], _words_of(cols[4:])
+        a, b, _ = _near(ids, fp, n, starts, max_bits, similarity, root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+
+    return lambda batches: _cells(batches, 1, work)
+
+
+def grid_plan(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Segments that a grid keeps, and grids, for so many distinct fingerprints.
+
+    Counts of a segment agree by chance with 3/8.  For two texts of the similarity a
+    bit differs with q, and the counts agree with (1 - q)^2 + q^2 / 2.
+    """
+    segments = min(32, max(6, math.ceil(math.log(max(rows, 1) / STRANGERS, 8 / 3)))) if rows > STRANGERS else 6
+    q = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meets = ((1 - q) ** 2 + q * q / 2) ** segments
+    return segments, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
-def one_of_each_similar(docs: DataFrame, max_bits: int = SIMILAR_BITS, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of texts with a ``shingle``-word similarity of about 0.8 or more one row, with all its columns.
 
-    The row is chosen as by ``one_of_each_group``.  Similarity is judged by the
-    differing bits of wide fingerprints (``similar_links``); texts of the same first
-    word of it are linked.  A text of fewer words is one shingle.  Null and blank
-    texts form a group and are linked to no other text.
+def similar_pairs(classes: DataFrame, max_bits: int = SIMILAR_BITS, similarity: float = SIMILARITY, recall: float = RECALL, block: int | None = None) -> DataFrame:
+    """``(kind, a, b)`` for ``classes (id, n, w0..w3)``: edges (kind 0) and members of connected sets (kind 1), as ``_edges_and_sets`` says.
+
+    ``id`` is unique.  A cell of more than ``block`` rows (``BLOCK``) is dealt as pairs of blocks.
     """
-    key = _row_key(docs, id_col, text_col)
-    words = [f"w{k}" for k in range(WORDS)]
+    spark, block = classes.sparkSession, block or BLOCK
+    segments, grids = grid_plan(classes.count(), similarity, recall)
+    rng = np.random.default_rng(1)
+    kept = [rng.choice(32 * WORDS, segments, replace=False) for _ in range(grids)]
+    masks = [[sum(3 << (2 * int(s) % 64) for s in g if s // 32 == w) for w in range(WORDS)] for g in kept]
+    signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in row] for row in masks]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classes.repartition(parts, "id").select("id", "n", *_WIDE, *[_unary_column(w).alias(f"u{k}") for k, w in enumerate(_WIDE)])
+    cells = [F.xxhash64(F.lit(g), *[F.col(f"u{k}").bitwiseAND(F.lit(signed[g][k]).cast("long")) for k in range(WORDS)]) for g in range(grids)]
+    dealt = dealt.select("id", "n", *_WIDE, F.explode(F.array(*cells)).alias("cell"))
+    shared = dealt.groupBy("cell").agg(F.count("*").alias("_m")).where("_m > 1")
+    many = F.ceil(F.col("_m") / block).cast("int")
+    met = (
+        dealt.join(shared, "cell")
+        .select("cell", "id", "n", *_WIDE, F.pmod(F.xxhash64("id"), many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), many - 1)).alias("j"))
+        .select("cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "n", *_WIDE)
+        .repartition("cell", "lo", "hi")
+        .sortWithinPartitions("cell", "lo", "hi")
+    )
+    return met.mapInArrow(_edges_and_sets(max_bits, similarity), "kind int, a long, b long").distinct()
 
-    def run(batches):
-        for batch in batches:
-            wide = np.array([wide_fingerprint(t, shingle, seed) for t in batch.column(4).to_pylist()], dtype=np.uint64).reshape(-1, WORDS)
-            cols = [pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], [*_KEY, *words])
-
-    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "z int, i long, h long, g long, " + ", ".join(f"{w} long" for w in words)
-    prints = written(texts.mapInArrow(run, schema), "simhash")
-    distinct = prints.groupBy("w0").agg(F.min(F.struct(*words[1:])).alias("s")).select("w0", "s.*")
-    edges = similar_links(distinct.where(F.greatest(*[F.col(w) != 0 for w in words])), max_bits)
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    return _first_rows(docs, prints.withColumnRenamed("w0", "fp"), roots, key)
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs (a, b)`` whose shingle sets have at least the similarity; ``texts (id, text)`` holds each id once."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(texts.join(needed, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>"), "shingles")
+    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("_a", "_b"))
+    met = pairs.join(one, "a").join(two, "b").where(both / (F.size("_a") + F.size("_b") - both) >= similarity)
+    return written(met.select("a", "b"), "verified")
+
+
+_KEY = ["z", "i", "h", "g"]
+_WIDE = [f"w{k}" for k in range(WORDS)]
+
+
+def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, max_bits: int = SIMILAR_BITS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of texts that paths of verified pairs connect one row, with all its columns.
+
+    A pair is verified if the Jaccard similarity of its distinct ``shingle``-word
+    shingles (A-Z lower-cased) is at least ``similarity``; a text of fewer words is
+    one shingle.  Pairs are found by chance, above ``recall`` less what ``max_bits``
+    loses; nothing that was not verified is linked.  The row that stays is that of
+    the smallest id (null last); of several rows of that id the one whose text, then
+    whose other columns have the smallest hash; rows equal in all columns are one.
+    Null and blank texts form a group and are linked to no other text.  A text of
+    any length is fingerprinted in one task.  An empty table stays empty.
+    """
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    key = [i.isNull().cast("int").alias("z"), F.coalesce(i, F.lit(0)).alias("i"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), *docs.columns).alias("g")]
+    schema = "z int, i long, h long, g long, t long, n long, " + ", ".join(f"{w} long" for w in _WIDE)
+    prints = written(docs.select(*key, F.xxhash64(F.lit(3), text).alias("t"), text.alias("text")).mapInArrow(_prints(shingle), schema), "simhash")
+    some = F.col("n") > 0
+    first = prints.groupBy(F.when(some, F.col("h")).alias("id"), F.when(some, F.col("t")).alias("t")).agg(F.min(F.struct(*_KEY)).alias("k"), F.min(F.struct("n", *_WIDE)).alias("s"))
+    lead = (F.col("t") == F.min("t").over(Window.partitionBy("id"))).alias("lead")  # another text of the same hash is linked to none
+    first = written(first.select("id", "t", "k", "s", lead), "classes")
+    leads = first.where("lead")
+    texts = docs.select(*key, text.alias("text")).join(leads.select("id", "k.*"), _KEY).dropDuplicates(["id"]).select("id", "text")
+    classes = leads.select("id", "s.*")
+
+    found = written(similar_pairs(classes, max_bits, similarity, recall), "similar")
+    edges = found.where("kind = 0").select("a", "b")
+    good = _verified(edges, texts, shingle, similarity)
+    roots = written(connected_components(good), "roots")
+    members = found.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("id"))
+    members = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = members.groupBy("set").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("set")
+    again = members.join(apart, "set").join(classes, "id").select("set", "id", "root", "n", *_WIDE).repartition("set").sortWithinPartitions("set")
+    more = again.mapInArrow(_pairs_between(max_bits, similarity), "a long, b long").distinct().join(edges, ["a", "b"], "left_anti")
+    good = good.union(_verified(written(more, "between"), texts, shingle, similarity))
+
+    roots = connected_components(good).withColumnRenamed("node", "id")
+    roots = roots.withColumn("lead", F.lit(True))
+    kept = first.join(roots, ["id", "lead"], "left").groupBy(F.coalesce("root", "id"), F.when(F.col("root").isNull(), F.col("t"))).agg(F.min("k").alias("k")).select("k.*")
+    rows = docs.select(*key, F.struct(*docs.columns).alias("_row"))
+    return rows.join(kept, _KEY, "left_semi").dropDuplicates(_KEY).select("_row.*")

@@ -58,7 +58,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return np.zeros(0, np.uint64)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
@@ -66,7 +66,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 _held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier, and of its inverse modulo 2^64, for positions up to ``n``; kept for the next call unless very long."""
     global _held
     if len(_held[0]) > n:
