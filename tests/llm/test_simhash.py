@@ -142,11 +142,11 @@ def test_a_group_of_near_copies_is_one_by_verified_paths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = groups(dict(rows))
     for block in (16, 1024):
-        simhash_dedup.BLOCK, before = block, simhash_dedup.BLOCK
+        simhash_dedup.SIMILAR_BLOCK, before = block, simhash_dedup.SIMILAR_BLOCK
         try:
             left = {r.doc_id for r in simhash_dedup.one_of_each_similar(docs).collect()}
         finally:
-            simhash_dedup.BLOCK = before
+            simhash_dedup.SIMILAR_BLOCK = before
         assert left == {i for i in want if want[i] == i}
 
 

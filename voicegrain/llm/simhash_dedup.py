@@ -49,6 +49,8 @@ SIMILARITY = 0.8
 RECALL = 0.975
 #: Differing bits of 256 up to which a pair is verified; at a similarity of 0.8 some 39 differ, with a deviation of 6.
 SIMILAR_BITS = 54
+#: Rows of a cell that meet in one task, and pairs that a task holds at once.
+SIMILAR_BLOCK, PAIRS = 512, 1 << 18
 #: Rows with unlike fingerprints that a cell holds by chance; sets the segments a grid keeps.
 STRANGERS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -311,7 +313,19 @@ def _connecting(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> tuple
 
 
 def _cells(batches, keys: int, work):
-    """Whole cells of sorted batches: ``work(columns, starts)`` for rows whose first ``keys`` columns name the cell."""
+    """Whole cells of sorted batches: ``work(columns, starts)`` for rows whose first ``keys`` columns name the cell.
+
+    Cells are worked on together as long as they have at most ``PAIRS`` pairs, so the
+    pairs held at once are bounded by those of one block pair.
+    """
+
+    def some(cols: list, starts: np.ndarray):
+        ends = np.append(starts[1:], len(cols[0]))
+        turn = np.cumsum((ends - starts) ** 2) // (2 * PAIRS)
+        cut = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
+        for a, z in zip(cut, np.append(cut[1:], len(starts))):
+            yield from work([c[starts[a] : ends[z - 1]] for c in cols], starts[a:z] - starts[a])
+
     held = None
     for batch in batches:
         part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -322,10 +336,10 @@ def _cells(batches, keys: int, work):
             new[1:] |= col[1:] != col[:-1]
         starts = np.flatnonzero(new)
         if len(starts) > 1:  # the last cell may go on in the next batch
-            yield from work([c[: starts[-1]] for c in held], starts[:-1])
+            yield from some([c[: starts[-1]] for c in held], starts[:-1])
             held = [c[starts[-1] :] for c in held]
     if held is not None and len(held[0]):
-        yield from work(held, np.array([0]))
+        yield from some(held, np.array([0]))
 
 
 def _words_of(cols: list) -> np.ndarray:
@@ -379,9 +393,9 @@ def grid_plan(rows: int, similarity: float = SIMILARITY, recall: float = RECALL)
 def similar_pairs(classes: DataFrame, max_bits: int = SIMILAR_BITS, similarity: float = SIMILARITY, recall: float = RECALL, block: int | None = None) -> DataFrame:
     """``(kind, a, b)`` for ``classes (id, n, w0..w3)``: edges (kind 0) and members of connected sets (kind 1), as ``_edges_and_sets`` says.
 
-    ``id`` is unique.  A cell of more than ``block`` rows (``BLOCK``) is dealt as pairs of blocks.
+    ``id`` is unique.  A cell of more than ``block`` rows (``SIMILAR_BLOCK``) is dealt as pairs of blocks.
     """
-    spark, block = classes.sparkSession, block or BLOCK
+    spark, block = classes.sparkSession, block or SIMILAR_BLOCK
     segments, grids = grid_plan(classes.count(), similarity, recall)
     rng = np.random.default_rng(1)
     kept = [rng.choice(32 * WORDS, segments, replace=False) for _ in range(grids)]
