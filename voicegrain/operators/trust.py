@@ -124,11 +124,13 @@ def band(a: Column, spam: Column | None = None) -> Column:
     return found if spam is None else F.when(spam, "SPAM").otherwise(found)
 
 
-def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUST.half_life_days) -> DataFrame:
+def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUST.half_life_days, duplicates: DataFrame | None = None, spam: Column | None = None, key: str = "feedback_id") -> DataFrame:
     """The trust layer: tier, signals, score, band, and weight = tier weight * (1 - A) * 0.5 ^ (age / half-life).
 
-    Rejected rows weigh 0; ``uncertainty`` is highest midway.  Scores and weights are
-    rounded to 4 places.
+    ``duplicates`` is ``(key, duplicate)``, the signal of near-equal texts
+    (``near_duplicates.duplicate_signal``); without it the signal is 0.  ``spam`` marks
+    rows of the SPAM band.  Spam and rejected rows weigh 0; ``uncertainty`` is highest
+    midway.  Scores and weights are rounded to 4 places.
     """
     rows = items.withColumn("tier", tier()).withColumn("tier_weight", tier_weight(F.col("tier")))
     rows = with_orders(rows, orders)
@@ -136,10 +138,13 @@ def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUS
     rows = bursts(rows)
     rows = rows.join(account_features(items).select("customer_id", F.col("risk").alias("account")), "customer_id", "left")
     rows = rows.withColumn("star", star_mismatch(F.col("rating"), F.col("sentiment"))).withColumn("transaction", transaction_mismatch(F.col("coverage")))
-    a = authenticity(F.lit(0.0), F.col("burst"), F.coalesce("account", F.lit(0.0)), F.col("star"), F.col("transaction"))
-    rows = rows.withColumn("score", F.round(a, 4)).withColumn("band", band(F.col("score")))
+    duplicate = F.lit(0.0)
+    if duplicates is not None:
+        rows, duplicate = rows.join(duplicates.select(key, "duplicate"), key, "left"), F.coalesce("duplicate", F.lit(0.0))
+    a = authenticity(duplicate, F.col("burst"), F.coalesce("account", F.lit(0.0)), F.col("star"), F.col("transaction"))
+    rows = rows.withColumn("score", F.round(a, 4)).withColumn("band", band(F.col("score"), spam))
     decay = F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.coalesce(age_days(F.col("ts"), now), F.lit(0.0))) / half_life)
-    weight = F.when(F.col("band") == "LIKELY_INAUTHENTIC", 0.0).otherwise(F.round(F.col("tier_weight") * (1 - F.col("score")) * decay, 4))
+    weight = F.when(F.col("band").isin("LIKELY_INAUTHENTIC", "SPAM"), 0.0).otherwise(F.round(F.col("tier_weight") * (1 - F.col("score")) * decay, 4))
     return rows.withColumn("weight", weight).withColumn("uncertainty", F.round(1 - F.abs(F.col("score") - 0.5) * 2, 4)).drop("coverage")
 
 

@@ -40,6 +40,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read back: later readers do not compute them again, and a lost executor costs no step before."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def csv_round_trip(rows: DataFrame, delimiter: str) -> DataFrame:
     """``rows`` written to the shared folder and read back."""
     path = shared_path(rows.sparkSession, "csv")
