@@ -125,11 +125,14 @@ def spam_reasons(text: Column) -> Column:
 
 
 def normalized(rows: DataFrame, text_col: str = "text", slang: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` with ``normalized``: tags out, composed, personal data masked, letters joined, signs in words, repeats out, slang translated; null is empty."""
+    """``rows`` with ``normalized``: tags out, composed, personal data masked, letters joined, signs in words, drawn-out and Telex words put right, repeats out, slang translated; null is empty."""
+    from .telex import resolver
+
     rows = rows.withColumn("_c", canonical(F.col(text_col)))  # a column of its own: what follows has lambdas, which cannot hold a Python function
     bare = F.regexp_replace(F.regexp_replace("_c", r"(?is)<script.*?</script>", " "), r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     masked, _ = mask_pii(bare)
     plain = F.trim(F.regexp_replace(emoji_words(joined_letters(masked)), r"\s+", " "))
-    return rows.withColumn("normalized", translate_slang(collapse_repeats(plain), slang)).drop("_c")
+    rows = rows.withColumn("_p", plain).withColumn("_w", resolver(slang)(F.col("_p")))  # again a column of its own
+    return rows.withColumn("normalized", translate_slang(collapse_repeats(F.col("_w")), slang)).drop("_c", "_p", "_w")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANONYMOUS_AUTHOR, AUTHENTICITY, IDENTIFIED_SOURCES, RECONCILABLE_SOURCES, TIER_WEIGHT, TRUST
 from ..functions.times import age_days
+from ..sources.files import kept
 
 
 def tier(source: str = "source", author: str = "author", age: str = "account_age_days", order: str = "order_id", customer: str = "customer_id", verified: Column | None = None) -> Column:
@@ -114,22 +115,48 @@ def account_features(items: DataFrame, key: str = "customer_id") -> DataFrame:
     return out.withColumn("risk", risk)
 
 
-def authenticity(duplicate: Column, burst: Column, account: Column, star: Column, transaction: Column) -> Column:
-    c = AUTHENTICITY
+def authenticity(duplicate: Column, burst: Column, account: Column, star: Column, transaction: Column, model: dict[str, float] | None = None) -> Column:
+    """The logistic score of the five signals, with given or learnt coefficients (``fit_authenticity``)."""
+    c = AUTHENTICITY if model is None else model
     return 1 / (1 + F.exp(-(c["intercept"] + c["duplicate"] * duplicate + c["burst"] * burst + c["account"] * account + c["star"] * star + c["transaction"] * transaction)))
 
 
+SIGNALS = ("duplicate", "burst", "account", "star", "transaction")
+
+
+def fit_authenticity(samples: DataFrame, label: str = "label", rate: float = 0.1, epochs: int = 500, signals: tuple[str, ...] = SIGNALS) -> dict[str, float]:
+    """Coefficients of a logistic regression by full-batch gradient descent from zero.
+
+    ``samples`` has a column a signal (null counts as 0) and a 0/1 label.  Equal
+    samples become one row with a count, kept in the shared folder; a step is one
+    partial sum a task and one row for the driver.  An empty table leaves zeros.
+    """
+    columns = [F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in signals]
+    rows = kept(samples.select(F.col(label).cast("double").alias("_y"), *columns).groupBy("_y", *signals).agg(F.count("*").alias("_m")), "samples").persist()
+    total = rows.agg(F.sum("_m")).first()[0] or 0
+    model = {"intercept": 0.0} | dict.fromkeys(signals, 0.0)
+    for _ in range(epochs if total else 0):
+        z = F.lit(model["intercept"])
+        for s in signals:
+            z = z + F.lit(model[s]) * F.col(s)
+        off = F.col("_m") * (1 / (1 + F.exp(-z)) - F.col("_y"))
+        gradient = rows.select(off.alias("_off"), *signals).agg(F.sum("_off").alias("intercept"), *[F.sum(F.col("_off") * F.col(s)).alias(s) for s in signals]).first()
+        model = {k: v - rate * gradient[k] / total for k, v in model.items()}
+    rows.unpersist()
+    return model
+
+
 def band(a: Column, spam: Column | None = None) -> Column:
     found = F.when(a >= TRUST.reject, "LIKELY_INAUTHENTIC").when(a >= TRUST.gray, "GRAY_ZONE").otherwise("ACCEPTED")
     return found if spam is None else F.when(spam, "SPAM").otherwise(found)
 
 
-def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUST.half_life_days, duplicates: DataFrame | None = None, spam: Column | None = None, key: str = "feedback_id") -> DataFrame:
+def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUST.half_life_days, duplicates: DataFrame | None = None, spam: Column | None = None, key: str = "feedback_id", model: dict[str, float] | None = None) -> DataFrame:
     """The trust layer: tier, signals, score, band, and weight = tier weight * (1 - A) * 0.5 ^ (age / half-life).
 
     ``duplicates`` is ``(key, duplicate)``, the signal of near-equal texts
     (``near_duplicates.duplicate_signal``); without it the signal is 0.  ``spam`` marks
-    rows of the SPAM band.  Spam and rejected rows weigh 0; ``uncertainty`` is highest
+    rows of the SPAM band; ``model`` has learnt coefficients.  Spam and rejected rows weigh 0; ``uncertainty`` is highest
     midway.  Scores and weights are rounded to 4 places.
     """
     rows = items.withColumn("tier", tier()).withColumn("tier_weight", tier_weight(F.col("tier")))
@@ -141,7 +168,7 @@ def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUS
     duplicate = F.lit(0.0)
     if duplicates is not None:
         rows, duplicate = rows.join(duplicates.select(key, "duplicate"), key, "left"), F.coalesce("duplicate", F.lit(0.0))
-    a = authenticity(duplicate, F.col("burst"), F.coalesce("account", F.lit(0.0)), F.col("star"), F.col("transaction"))
+    a = authenticity(duplicate, F.col("burst"), F.coalesce("account", F.lit(0.0)), F.col("star"), F.col("transaction"), model)
     rows = rows.withColumn("score", F.round(a, 4)).withColumn("band", band(F.col("score"), spam))
     decay = F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.coalesce(age_days(F.col("ts"), now), F.lit(0.0))) / half_life)
     weight = F.when(F.col("band").isin("LIKELY_INAUTHENTIC", "SPAM"), 0.0).otherwise(F.round(F.col("tier_weight") * (1 - F.col("score")) * decay, 4))
