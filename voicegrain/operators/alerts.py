@@ -9,6 +9,7 @@ from ..config import ALERTS
 from ..functions import stats
 from ..functions.times import age_days
 from .metrics import COUNTABLE, negative
+from .ranks import in_order, running
 
 SETS = [["category"], ["category", "product_name"], ["category", "cause"], ["category", "cause", "product_name"], ["category", "cause", "region"]]
 _DIMS = ["category", "cause", "product_name", "region"]
@@ -48,15 +49,16 @@ def window_totals(items: DataFrame, now: str, c=ALERTS) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, p: str, order: list[str], fdr: float = ALERTS.fdr) -> DataFrame:
     """Adds ``rank``, ``q_value`` and ``significant`` over all tests.
 
-    The tests are combinations of dimension values, thousands at most, so one window
-    over all of them is meant.
+    Ranks and the smallest q from the end are running values over ranges of p, so the
+    tests may be as many as the combinations of all dimensions.
     """
-    by_p = Window.orderBy(p, *order)
-    ranked = tests.withColumn("rank", F.row_number().over(by_p)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    upwards = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("rank")).over(upwards)))
-    last = F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * fdr, F.col("rank"))).over(Window.partitionBy())
-    return ranked.withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_m")
+    ranked = in_order(tests, p, *order)
+    total = ranked.agg(F.count("*").alias("_m"))
+    ranked = ranked.crossJoin(F.broadcast(total))  # one row
+    ranked = running(ranked, F.col(p) * F.col("_m") / F.col("rank"), "_q", "min", upwards=True)
+    last = ranked.agg(F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * fdr, F.col("rank"))).alias("_last"))
+    ranked = ranked.crossJoin(F.broadcast(last)).withColumn("q_value", F.least(F.lit(1.0), "_q")).withColumn("rank", F.col("rank").cast("int"))  # one row
+    return ranked.withColumn("significant", F.coalesce(F.col("rank") <= F.col("_last"), F.lit(False))).drop("_m", "_q", "_last", "_part")
 
 
 def detect(items: DataFrame, impacts: DataFrame, transactions: DataFrame, now: str, c=ALERTS) -> DataFrame:

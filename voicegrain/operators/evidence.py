@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
 from ..functions.times import age_days
+from . import ranks
 from .metrics import COUNTABLE, negative
 
 
@@ -87,7 +88,8 @@ def waits(rows: DataFrame, person: str, ts: str = "ts") -> DataFrame:
     """One row: the median and the variance (0 below two) of the minutes between a person's consecutive rows."""
     gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(Window.partitionBy(person).orderBy(ts)))) / 60e6
     gaps = rows.select(gap.alias("gap"))
-    return gaps.agg(F.count("gap").alias("gaps"), F.round(F.median("gap"), 4).alias("median"), F.round(F.coalesce(F.var_samp("gap"), F.lit(0.0)), 2).alias("variance"))
+    spread = gaps.agg(F.round(F.coalesce(F.var_samp("gap"), F.lit(0.0)), 2).alias("variance"))
+    return ranks.median(gaps, "gap").crossJoin(F.broadcast(spread)).select(F.col("n").alias("gaps"), F.round("median", 4).alias("median"), "variance")  # one row each
 
 
 def bucket_days(span: Column) -> Column:

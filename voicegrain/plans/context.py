@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import trust
 from ..sources import adapters
+from ..sources.files import kept
 
 
 def items(spark: SparkSession, sf_dir: str, now: str = adapters.NOW) -> DataFrame:
-    """Feedback that is not in the future, with tier, signals, band and weight."""
+    """Feedback that is not in the future, with tier, signals, band and weight.
+
+    The joined rows are written once, since coverage, accounts, bursts and the result
+    all read them.
+    """
     rows = adapters.feedback(spark, sf_dir)
-    rows = rows.where((rows.ts <= now) | rows.ts.isNull())
+    rows = kept(rows.where((rows.ts <= now) | rows.ts.isNull()), "feedback")
     return trust.weigh(rows, adapters.transactions(spark, sf_dir), now)

@@ -13,15 +13,20 @@ def drained(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataF
     The result table is complete, so it is kept in memory only for results of a
     bounded number of groups.
     """
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(_folder(spark, f"{sf_dir}/events.parquet"))
-    events = events.withColumn("ts", events["ts"].cast("timestamp"))
+    events = event_stream(spark, sf_dir)
     name = f"drained_{uuid.uuid4().hex}"
     running = build(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event file as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(_folder(spark, f"{sf_dir}/events.parquet"))
+    return events.withColumn("ts", events["ts"].cast("timestamp"))
+
+
 def _folder(spark: SparkSession, path: str) -> str:
     """A stream reads folders: the path itself, or a glob that names a lone file."""
     jvm = spark._jvm
