@@ -35,4 +35,4 @@ def test_query_matches_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_query_gives_rows(spark, sf, name):
     got = Q.QUERIES[name](spark, sf)
-    assert got.columns and got.count() >= 0
+    assert got.columns and (got.count() > 0 or name == "cmp_07_trust_impact")  # no alerts differ on the shared tables

@@ -7,44 +7,46 @@ from pyspark.sql import functions as F
 
 from .normalize import SLANG
 
-# Category and cause, and the words that name it; after a bar, nouns that count only with a complaint of the kind named last.
+# Category and cause, keywords that name it, and nouns that count only with a complaint of the kind named last.
 CAUSES = [
-    ("Delivery", "LateDelivery", "giao trễ, ship chậm, chờ mãi, mấy ngày rồi chưa, chưa thấy, chưa nhận được hàng, giữ hàng, bao giờ mới, vẫn chưa tới, tăm hơi, chưa giao, quá hẹn, trễ hẹn"),
-    ("Delivery", "LostPackage", "thất lạc, mất hàng, không nhận được, mất đơn, không có hàng"),
-    ("Delivery", "DamagedInTransit", "móp, bẹp, hộp nát, rách nát, vỡ khi nhận, đóng gói ẩu, bể khi giao, nát bươm, quăng quật, dập nát, không còn nguyên, bẹp dúm | thùng carton | damage"),
-    ("Delivery", "WrongAddress", "sai địa chỉ, giao nhầm, nhầm nhà, giao sai người, đưa nhầm, nhà người khác, tòa đối diện, nhầm địa chỉ"),
-    ("Delivery", "CourierAttitude", "ném hàng | shipper, tài xế, người giao hàng | attitude"),
-    ("ProductQuality", "NotAsDescribed", "không giống, khác ảnh, không đúng mô tả, khác quảng cáo, khác hình, size ghi, mặc vào chật, không như mô tả"),
-    ("ProductQuality", "TechnicalDefect", "hỏng, không lên nguồn, chết máy, không hoạt động, tụt pin, lỗi phần cứng, yếu pin, hết pin nhanh, cục gạch, không nhận sạc, chập chờn, dùng được mấy hôm, dùng được đúng | đèn báo | device"),
-    ("ProductQuality", "ExpiredOrStale", "hết hạn, mốc, ôi thiu, không tươi, cận date, quá date, quá hạn, héo, úa, hư thối, có mùi"),
-    ("ProductQuality", "MissingAccessory", "thiếu phụ kiện, thiếu cáp, thiếu sạc, thiếu quà, không có dây, chẳng có dây, thiếu đồ, không kèm, thiếu món, chẳng thấy"),
-    ("ProductQuality", "SuspectedCounterfeit", "hàng giả, hàng nhái, hàng dựng, không chính hãng"),
-    ("CustomerService", "SlowResponse", "không trả lời, không rep, gọi không nghe máy, chờ phản hồi, không ai bắt máy, không phản hồi, không rep gì"),
-    ("CustomerService", "BadAttitude", "thái độ, hống hách, lồi lõm, mất lịch sự, khó chịu ra mặt, cáu gắt, xấc"),
-    ("CustomerService", "WrongInformation", "tư vấn sai, sai thông tin, nói một đằng, lúc mua thì bảo, giờ lại nói, nói khác"),
-    ("CustomerService", "UnresolvedCase", "chưa giải quyết, đá qua đá lại, vẫn chưa xong, không ai xử lý"),
-    ("Payment", "GatewayError", "lỗi thanh toán, không thanh toán được, giao dịch thất bại, thanh toán trục trặc, cổng cứ treo, không đặt được hàng, thẻ khác cũng không | cổng thanh toán | payment"),
-    ("Payment", "DoubleCharge", "trừ hai lần, trừ 2 lần, trừ tiền thừa, mất tiền oan, trừ tiền hai"),
-    ("Payment", "WrongPromotion", "không áp mã, mã giảm giá lỗi, voucher không dùng được, chẳng thấy trừ, không được giảm, mã hết hạn"),
-    ("Payment", "WrongInvoice", "sai hóa đơn, hóa đơn lỗi, sai số tiền, sai mã số thuế, sai tên công ty | xuất vat, hóa đơn xuất ra | invoice"),
-    ("TechnicalApp", "AppSlowOrCrash", "app lag, app chậm, lag, treo app, văng app, đơ app, giật lag, muốn xỉu"),
-    ("TechnicalApp", "LoginError", "không đăng nhập, lỗi đăng nhập, không vào được tài khoản, báo sai mật khẩu, đăng nhập không được"),
-    ("TechnicalApp", "DisplayError", "lỗi hiển thị, giao diện lỗi, ảnh không hiện, ô trắng, không hiện, mất chữ, vỡ giao diện"),
-    ("TechnicalApp", "SearchError", "tìm không ra, lỗi tìm kiếm, search không được, ô tìm kiếm, chẳng ra kết quả, không tìm thấy sản phẩm"),
-    ("ReturnRefund", "SlowRefund", "hoàn tiền chậm, chưa hoàn tiền, đợi hoàn tiền, chưa thấy tiền"),
-    ("ReturnRefund", "ReturnRejected", "không cho đổi, từ chối trả hàng, không đổi trả, không chịu đổi"),
-    ("ReturnRefund", "ComplexProcess", "thủ tục rườm rà, quy trình phức tạp, nhiều bước quá, rắc rối quá, rườm rà"),
-    ("PricePromotion", "HigherThanExpected", "giá cao, đắt, giá chát, không đáng tiền, bên kia bán rẻ hơn, rẻ hơn cả, chặt chém, mắc quá"),
-    ("PricePromotion", "MisleadingPromo", "quảng cáo sai, sale ảo, khuyến mãi ảo, nâng giá rồi giảm, đội giá, giảm sâu, treo biển giảm"),
+    ("Delivery", "LateDelivery", ["giao trễ", "ship chậm", "chờ mãi", "mấy ngày rồi chưa", "chưa thấy", "chưa nhận được hàng", "giữ hàng", "bao giờ mới", "vẫn chưa tới", "tăm hơi", "chưa giao", "quá hẹn", "trễ hẹn"], [], ""),
+    ("Delivery", "LostPackage", ["thất lạc", "mất hàng", "không nhận được", "mất đơn", "không có hàng"], [], ""),
+    ("Delivery", "DamagedInTransit", ["móp", "bẹp", "hộp nát", "rách nát", "vỡ khi nhận", "đóng gói ẩu", "bể khi giao", "nát bươm", "quăng quật", "dập nát", "không còn nguyên", "bẹp dúm"], ["thùng carton"], "damage"),
+    ("Delivery", "WrongAddress", ["sai địa chỉ", "giao nhầm", "nhầm nhà", "giao sai người", "đưa nhầm", "nhà người khác", "tòa đối diện", "nhầm địa chỉ"], [], ""),
+    ("Delivery", "CourierAttitude", ["ném hàng"], ["shipper", "tài xế", "người giao hàng"], "attitude"),
+    ("ProductQuality", "NotAsDescribed", ["không giống", "khác ảnh", "không đúng mô tả", "khác quảng cáo", "khác hình", "size ghi", "mặc vào chật", "không như mô tả"], [], ""),
+    ("ProductQuality", "TechnicalDefect", ["hỏng", "không lên nguồn", "chết máy", "không hoạt động", "tụt pin", "lỗi phần cứng", "yếu pin", "hết pin nhanh", "cục gạch", "không nhận sạc", "chập chờn", "dùng được mấy hôm", "dùng được đúng"], ["đèn báo"], "device"),
+    ("ProductQuality", "ExpiredOrStale", ["hết hạn", "mốc", "ôi thiu", "không tươi", "cận date", "quá date", "quá hạn", "héo", "úa", "hư thối", "có mùi"], [], ""),
+    ("ProductQuality", "MissingAccessory", ["thiếu phụ kiện", "thiếu cáp", "thiếu sạc", "thiếu quà", "không có dây", "chẳng có dây", "thiếu đồ", "không kèm", "thiếu món", "chẳng thấy"], [], ""),
+    ("ProductQuality", "SuspectedCounterfeit", ["hàng giả", "hàng nhái", "hàng dựng", "không chính hãng"], [], ""),
+    ("CustomerService", "SlowResponse", ["không trả lời", "không rep", "gọi không nghe máy", "chờ phản hồi", "không ai bắt máy", "không phản hồi", "không rep gì"], [], ""),
+    ("CustomerService", "BadAttitude", ["thái độ", "hống hách", "lồi lõm", "mất lịch sự", "khó chịu ra mặt", "cáu gắt", "xấc"], [], ""),
+    ("CustomerService", "WrongInformation", ["tư vấn sai", "sai thông tin", "nói một đằng", "lúc mua thì bảo", "giờ lại nói", "nói khác"], [], ""),
+    ("CustomerService", "UnresolvedCase", ["chưa giải quyết", "đá qua đá lại", "vẫn chưa xong", "không ai xử lý"], [], ""),
+    ("Payment", "GatewayError", ["lỗi thanh toán", "không thanh toán được", "giao dịch thất bại", "thanh toán trục trặc", "cổng cứ treo", "không đặt được hàng", "thẻ khác cũng không"], ["cổng thanh toán"], "payment"),
+    ("Payment", "DoubleCharge", ["trừ hai lần", "trừ 2 lần", "trừ tiền thừa", "mất tiền oan", "trừ tiền hai"], [], ""),
+    ("Payment", "WrongPromotion", ["không áp mã", "mã giảm giá lỗi", "voucher không dùng được", "chẳng thấy trừ", "không được giảm", "mã hết hạn"], [], ""),
+    ("Payment", "WrongInvoice", ["sai hóa đơn", "hóa đơn lỗi", "sai số tiền", "sai mã số thuế", "sai tên công ty"], ["xuất vat", "hóa đơn xuất ra"], "invoice"),
+    ("TechnicalApp", "AppSlowOrCrash", ["app lag", "app chậm", "lag", "treo app", "văng app", "đơ app", "giật lag", "muốn xỉu"], [], ""),
+    ("TechnicalApp", "LoginError", ["không đăng nhập", "lỗi đăng nhập", "không vào được tài khoản", "báo sai mật khẩu", "đăng nhập không được"], [], ""),
+    ("TechnicalApp", "DisplayError", ["lỗi hiển thị", "giao diện lỗi", "ảnh không hiện", "ô trắng", "không hiện", "mất chữ", "vỡ giao diện"], [], ""),
+    ("TechnicalApp", "SearchError", ["tìm không ra", "lỗi tìm kiếm", "search không được", "ô tìm kiếm", "chẳng ra kết quả", "không tìm thấy sản phẩm"], [], ""),
+    ("ReturnRefund", "SlowRefund", ["hoàn tiền chậm", "chưa hoàn tiền", "đợi hoàn tiền", "chưa thấy tiền"], [], ""),
+    ("ReturnRefund", "ReturnRejected", ["không cho đổi", "từ chối trả hàng", "không đổi trả", "không chịu đổi"], [], ""),
+    ("ReturnRefund", "ComplexProcess", ["thủ tục rườm rà", "quy trình phức tạp", "nhiều bước quá", "rắc rối quá", "rườm rà"], [], ""),
+    ("PricePromotion", "HigherThanExpected", ["giá cao", "đắt", "giá chát", "không đáng tiền", "bên kia bán rẻ hơn", "rẻ hơn cả", "chặt chém", "mắc quá"], [], ""),
+    ("PricePromotion", "MisleadingPromo", ["quảng cáo sai", "sale ảo", "khuyến mãi ảo", "nâng giá rồi giảm", "đội giá", "giảm sâu", "treo biển giảm"], [], ""),
 ]
+# Patterns that count as a keyword of a cause.
+CAUSE_PATTERNS = {"GatewayError": [r"thanh toán[^.,;]{0,15}(?:lỗi|không được|thất bại|trục trặc)"]}
 # Complaints that make a noun one, by kind.
 CUES = {
-    "attitude": "thái độ, cáu, gắt, quát, chửi, hỗn, láo, thô lỗ, mất lịch sự, bất lịch sự, khó chịu, bực bội, hống hách, cọc, xấc, ném, quăng, vứt, không nghe máy, không gọi, bắt chờ, đòi thêm, tự ý, lừa, kém, tệ",
-    "damage": "móp, bẹp, rách, nát, ướt, vỡ, bể, dập, thủng, méo, hư",
-    "device": "nhấp nháy, không sáng, không lên, chớp, lỗi, tắt ngúm, báo đỏ",
-    "payment": "lỗi, treo, đơ, trục trặc, thất bại, không vào được, không được, chậm, văng, quay mãi",
-    "invoice": "sai, lỗi, nhầm, thiếu, chưa, không xuất, mãi, chậm, trễ",
-}
+    "attitude": ["thái độ", "cáu", "gắt", "quát", "chửi", "hỗn", "láo", "thô lỗ", "mất lịch sự", "bất lịch sự", "khó chịu", "bực bội", "hống hách", "cọc", "xấc", "ném", "quăng", "vứt", "không nghe máy", "không gọi", "bắt chờ", "đòi thêm", "tự ý", "lừa", "kém", "tệ"],
+    "damage": ["móp", "bẹp", "rách", "nát", "ướt", "vỡ", "bể", "dập", "thủng", "méo", "hư"],
+    "device": ["nhấp nháy", "không sáng", "không lên", "chớp", "lỗi", "tắt ngúm", "báo đỏ"],
+    "payment": ["lỗi", "treo", "đơ", "trục trặc", "thất bại", "không vào được", "không được", "chậm", "văng", "quay mãi"],
+    "invoice": ["sai", "lỗi", "nhầm", "thiếu", "chưa", "không xuất", "mãi", "chậm", "trễ"],
+}
 # What before a keyword takes it back, within so many characters; what praise after it does.
 NEGATED = ["không hề", "chẳng hề", "không bị", "chẳng bị", "không có gì", "đâu có", "chả thấy", "không thấy", "nguyên vẹn", "sợ ", "lo ", "tưởng ", "nghĩ là ", "nghe nói "]
 WINDOW = 18
@@ -65,10 +67,6 @@ _AFTER = rf"(?!(?:\s+(?!(?:{NO})(?!\p{{L}}))\p{{L}}+){{0,2}}?\s+(?:(?:rất|cự
 _CLAUSE = r"[.,;!?\n]|\snhưng\s"
 
 
-def _list(text: str) -> list[str]:
-    return [x.strip() for x in text.split(",") if x.strip()]
-
-
 def _forms(keyword: str, slang: dict[str, str]) -> str:
     """A keyword as it is and as the slang dictionary turns it."""
     turned = keyword
@@ -97,12 +95,12 @@ def complaints(text: Column, slang: dict[str, str] = SLANG) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     clauses = F.split(low, _CLAUSE)
     found = []
-    for place, (category, cause, words) in enumerate(CAUSES):
-        keywords, terms, kind = ([*words.split("|"), "", ""])[:3]
-        hits = sum((low.rlike(stands(k, slang)).cast("int") for k in _list(keywords)), F.lit(0))
-        if terms.strip():
-            noun = "|".join(_forms(t, slang) for t in _list(terms))
-            cue = "|".join(_forms(c, slang) for c in _list(CUES[kind.strip()]))
+    for place, (category, cause, keywords, nouns, kind) in enumerate(CAUSES):
+        patterns = [stands(k, slang) for k in keywords] + [f"{_BEFORE}(?:{p}){_AFTER}" for p in CAUSE_PATTERNS.get(cause, [])]
+        hits = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
+        if nouns:
+            noun = "|".join(_forms(t, slang) for t in nouns)
+            cue = "|".join(_forms(c, slang) for c in CUES[kind])
             hits = hits + F.exists(clauses, _noun_and_cue(noun, cue)).cast("int")
         found.append(F.struct(hits.alias("hits"), F.lit(place).alias("place"), F.lit(category).alias("category"), F.lit(cause).alias("cause")))
     hit = F.filter(F.array(*found), lambda x: x["hits"] > 0)

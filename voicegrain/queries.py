@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats, text
-from .operators import alerts, joins, metrics, retrieval, trust
+from .operators import alerts, joins, metrics, near_duplicates, retrieval, trust
 from .plans.context import items
 from .sources import adapters
 from .sources.adapters import NOW, table
@@ -402,7 +402,7 @@ def str_05_mask_pii(spark, sf_dir):
 @query()
 def str_17_simhash32(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.simhash32(F.array_distinct(text.tokens(F.col("text")))).alias("simhash"))
+    return c.select("conv_id", "turn", text.simhash32(near_duplicates.words(F.col("text"))).alias("simhash"))
 
 
 @query("WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), n AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 5) AS cosine FROM v JOIN q ON v.vec_id <> q.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS place FROM n) SELECT query_id, vec_id, cosine, place FROM r WHERE place <= 5")

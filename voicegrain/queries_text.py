@@ -93,7 +93,7 @@ _each("mth_18_spam_filter", [("Chuyên sỉ hàng đẹp, lh zalo 0912345678", "
 
 _CAUSES = [
     ("Shipper cáu gắt, quát khách", "CourierAttitude"), ("Anh shipper thân thiện nhưng hộp bị móp", "DamagedInTransit"), ("Nhân viên thái độ không tốt", "BadAttitude"), ("Thùng carton bị rách, ướt hết", "DamagedInTransit"), ("hàng giả rồi", "SuspectedCounterfeit"),
-    ("Shipper thân thiện, giao nhanh", None), ("Nhân viên thái độ rất tốt", None), ("Cổng thanh toán nhanh gọn", None), ("App không lag chút nào", None), ("Shipper giao hàng nhanh, không hề cáu gắt", None), ("chưa hoàn tiền, trừ hai lần", "DoubleCharge"), ("app lag quá", "AppSlowOrCrash"),
+    ("Shipper thân thiện, giao nhanh", None), ("Nhân viên thái độ rất tốt", None), ("Cổng thanh toán nhanh gọn", None), ("App không lag chút nào", None), ("Shipper giao hàng nhanh, không hề cáu gắt", None), ("chưa hoàn tiền, trừ hai lần", "DoubleCharge"), ("app lag quá", "AppSlowOrCrash"), ("thanh toán mãi vẫn lỗi", "GatewayError"),
 ]
 
 
