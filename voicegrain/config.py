@@ -56,3 +56,27 @@ class Alerts:
 
 TRUST = Trust()
 ALERTS = Alerts()
+
+
+@dataclass(frozen=True)
+class PainThresholds:
+    negatives: int = 15  # complaints that a product group needs
+    customers: int = 3
+    days: int = 2
+    z: float = 2.5
+    side_z: float = 1.5  # against the group's other rows and other groups' complaints
+    lift: float = 2.0
+    background: int = 10  # rows that a background needs to be tested
+    spread: float = 0.5  # share of the groups from which a phrase is the shop's matter
+    groups: int = 3  # groups from which there is one
+    shown: int = 6
+    overlap: float = 0.5
+    touching: float = 0.5
+    subset: float = 0.8
+    label_cover: float = 0.7
+    group_cause: float = 0.5
+    shop_cause: float = 0.6
+    trend_days: int = 28
+
+
+PAIN = PainThresholds()
