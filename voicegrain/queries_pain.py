@@ -1,10 +1,11 @@
-"""Queries on pain points: whole documents as complaints, with a sentence of each product group put into some."""
+"""Queries on pain points and labels: whole texts with a sentence put into each."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from . import queries_signals as _signals
+from .operators import cascade
 from .operators import pain_points as pains
 from .queries import QUERIES, SQL, query
 from .queries_phrases import _fold, _phrase_sql, _quoted
@@ -74,3 +75,23 @@ def join_19_pain_members(spark, sf_dir):
 def cmp_08_group_status(spark, sf_dir):
     items = _complaints(spark, sf_dir)
     return pains.group_status(items, pains.pain_points(items, NOW, "doc_id", normalised=False)[1], "doc_id")
+
+
+_ENDS = "CASE conv_id % 4 WHEN 0 THEN 'app lag quá' WHEN 1 THEN 'máy hỏng rồi' WHEN 2 THEN 'tuyệt vời, chờ cả tuần' ELSE 'hàng lỗi' END"
+_STARS = "CASE conv_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 5 END"
+_MODELS = [
+    cascade.PatternScorer("first", {"hỏng rồi$": '{"sentiment": "Negative", "category": "Product", "subCategory": "TechnicalDefect"}'}),
+    cascade.PatternScorer("second", {"hỏng": '{"sentiment": "Neutral", "category": "Other"}', "tuyệt vời": '{"sentiment": "Positive", "category": "Other"}'}),
+]
+_JUDGE = cascade.PatternScorer("judge", {"tuyệt vời": '{"sentiment": "Negative", "category": "Delivery", "subCategory": "LateDelivery", "sarcastic": true}'})
+
+
+@query("""WITH v(k, sentiment, category, cause, labelled_by, suspected, verdict, needs_review) AS (VALUES
+  (0, 'Negative', 'TechnicalApp', 'AppSlowOrCrash', 'rules', false, NULL, false), (1, 'Negative', 'ProductQuality', 'TechnicalDefect', 'first', false, NULL, false),
+  (2, 'Negative', 'Delivery', 'LateDelivery', 'cascade', true, 'sarcastic', false), (3, 'Negative', 'Payment', NULL, 'stored', true, NULL, true))
+  SELECT conv_id * 1000 + turn AS id, v.* EXCLUDE (k) FROM conversations JOIN v ON conv_id % 4 = k""")
+def cls_10_cascade(spark, sf_dir):
+    """Every turn with a sentence at its end: rules, a model, a judge and an answer given beforehand each label a fourth."""
+    turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("id"), "conv_id", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), F.expr(_ENDS)).alias("text"), F.expr(_STARS).alias("rating"))
+    known = turns.where("conv_id % 4 = 3").select("id", F.lit('{"sentiment": "Negative", "category": "Payment"}').alias("answer"), F.lit("stored").alias("model"))
+    return cascade.labels(turns, _MODELS, _JUDGE, known.distinct(), key="id")
