@@ -76,14 +76,19 @@ def _forms(keyword: str, slang: dict[str, str]) -> str:
     return "|".join(dict.fromkeys(rf"\Q{x}\E" for x in (keyword, turned)))
 
 
+def _not_taken_back(pattern: str) -> str:
+    """The pattern with nothing before it that takes it back; what is before is looked at only where the pattern begins."""
+    return f"(?={pattern}){_BEFORE}(?:{pattern})"
+
+
 def stands(keyword: str, slang: dict[str, str] = SLANG) -> str:
     """The pattern of a keyword that is neither taken back before it nor praised after it."""
-    return f"{_BEFORE}(?:{_forms(keyword, slang)}){_AFTER}"
+    return _not_taken_back(_forms(keyword, slang)) + _AFTER
 
 
 def _noun_and_cue(noun: str, cue: str):
     """Whether a clause has the noun and, outside it, a complaint; neither taken back."""
-    return lambda c: c.rlike(f"{_BEFORE}(?:{noun})") & F.regexp_replace(c, noun, "…").rlike(f"{_BEFORE}(?:{cue}){_AFTER}")
+    return lambda c: c.rlike(_not_taken_back(noun)) & F.regexp_replace(c, noun, "…").rlike(_not_taken_back(cue) + _AFTER)
 
 
 def complaints(text: Column, slang: dict[str, str] = SLANG) -> Column:
@@ -96,7 +101,7 @@ def complaints(text: Column, slang: dict[str, str] = SLANG) -> Column:
     clauses = F.split(low, _CLAUSE)
     found = []
     for place, (category, cause, keywords, nouns, kind) in enumerate(CAUSES):
-        patterns = [stands(k, slang) for k in keywords] + [f"{_BEFORE}(?:{p}){_AFTER}" for p in CAUSE_PATTERNS.get(cause, [])]
+        patterns = [stands(k, slang) for k in keywords] + [_not_taken_back(p) + _AFTER for p in CAUSE_PATTERNS.get(cause, [])]
         hits = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
         if nouns:
             noun = "|".join(_forms(t, slang) for t in nouns)
