@@ -1,20 +1,23 @@
 """Stupid-backoff language-model scores, computed relationally (operator 1).
 
-The model is a bigram model of the corpus itself.  Words and pairs of words (with a
-start mark before the first word of a text) are known by 64-bit hashes.  Both are
-counted over all documents into Spark tables, after a partial count in each task;
-the documents are exploded to their words and pairs, and these are joined with the
+The model is a bigram model of the corpus.  Words and pairs of words (with a start
+mark before the first word of a text) are known by 64-bit hashes.  Both are counted
+over all documents into Spark tables, after a partial count in each task; the
+documents are exploded to their words and pairs, and these are joined with the
 counts by shuffle joins and summed per document:
 
     S(w | v) = c(v w) / c(v)          if the corpus holds v w at least ``min_count`` times
-             = backoff * c(w) / N     otherwise
+             = backoff * c(w) / N     otherwise, if it holds w
+             = backoff ** 2 / N       otherwise
 
-c(v) is how often v is followed by a word, N the number of words.
+c(v) is how often v is followed by a word, N the number of words.  A text that is part
+of the corpus would find all its own pairs in it.  So with ``leave_own_out`` each row is
+scored by the counts of all other rows: every exploded pair carries how often its row
+holds it and its two words, and the counts less these stand in the formula.
 
-Each text first gets the score it would have if every pair of it stood below the
-count from which the table of pairs holds it, which takes only its words; a pair in
-the table then adds the difference.  The table leaves out the pairs that occur
-once: with ``min_count`` 1 their S is 1 / c(v), so the words alone give it.
+Each text first gets the score it would have if every pair of it backed off, which
+takes only its words; a pair that does not then adds the difference.  The table of
+pairs leaves out those that are too rare for any row.
 """
 
 from __future__ import annotations
@@ -85,27 +88,49 @@ def pair_counts(docs: DataFrame, known=None, words: bool = False) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("v", "w") if words])
 
 
+def _groups(row: np.ndarray, gram: np.ndarray):
+    """(order, starts, sizes) of the tokens grouped by row and gram, told apart by a 64-bit hash of both."""
+    tokens = tv.mix(gram.view(np.uint64) + row.astype(np.uint64) * _PAIR)
+    by = np.argsort(tokens)
+    tokens = tokens[by]
+    at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+    return by, at, np.diff(np.append(at, len(tokens)))
+
+
+def _own(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, how often its row holds its word, and how often the word before it is followed there."""
+    by, _, sizes = _groups(row, word)
+    own_w = np.empty(len(word), dtype=np.int64)
+    own_w[by] = np.repeat(sizes, sizes)
+    last = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)])
+    final = np.repeat(word[last], np.diff(np.append(-1, last)))  # nothing follows the last word of a row
+    own_v = np.append(1, (own_w - (word == final))[:-1])[: len(word)]
+    own_v[np.append(0, last[:-1] + 1)[: len(last)]] = 1
+    return own_v, own_w
+
+
 def _exploded(docs: DataFrame, kind: str, known=None, slices: int = 1, part: int = 0) -> DataFrame:
-    """``(doc_id, key, gram, times)``: how often each text holds each of its words, words before or pairs.
+    """``(doc_id, key, gram, times)``: how often each text holds each of its words or pairs; for pairs also ``own_v`` and ``own_w``.
 
     Only grams whose hash modulo ``slices`` is ``part``: what goes through a shuffle at once is that share.
     """
+    pairs = kind == "pair"
+    names = ["doc_id", "key", "gram", "times", *(["own_v", "own_w"] if pairs else [])]
 
     def run(batches):
         for b in batches:
             doc, key = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
             for lo, _, word, before, row in _lines_of(b, known):
-                gram = _pairs(before, word) if kind == "pair" else before if kind == "before" else word
+                gram, own = (_pairs(before, word), _own(row, word)) if pairs else (word, ())
                 if slices > 1:
                     mine = gram % slices == part
-                    gram, row = gram[mine], row[mine]
-                by = np.lexsort((gram, row))
-                gram, row = gram[by], row[by]
-                at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(gram)])
-                times = np.diff(np.append(at, len(gram)))
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(lo + row[at])), pa.array(key[lo + row[at]]), pa.array(gram[at]), pa.array(times.astype(np.int32))], ["doc_id", "key", "gram", "times"])
+                    gram, row, own = gram[mine], row[mine], [x[mine] for x in own]
+                by, at, times = _groups(row, gram)
+                first = by[at]
+                columns = [pa.array(key[lo + row[first]]), pa.array(gram[first]), pa.array(times.astype(np.int32)), *[pa.array(x[first].astype(np.int32)) for x in own]]
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(lo + row[first])), *columns], names)
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, gram long, times int")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, gram long, times int" + (", own_v int, own_w int" if pairs else ""))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,56 +145,56 @@ def _known(docs: DataFrame, vocabulary: float):
     return docs.sparkSession.sparkContext.broadcast(top.column("gram").to_numpy())
 
 
-def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT, leave_own_out: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_backed_off, log_score, mean_log_score)`` for every row of ``docs``.
 
     Words are runs of non-blank bytes, A-Z lower-cased, known by a 64-bit hash.
-    log_score is the sum of ln S over the text's words.  A text without words (null,
-    empty, blank) has no words, log_score 0 and a null mean.  Repeated rows count in
-    the corpus as often as they occur and keep a row each; null ids are kept; an
-    empty table gives no rows; other columns are not read.
+    log_score is the sum of ln S over the text's words; with ``leave_own_out`` by the
+    counts of all rows but its own (a copy in another row still counts; where no
+    other row has a word, N is 1).  A text without words (null, empty, blank) has no
+    words, log_score 0 and a null mean.  Repeated rows count in the corpus as often as
+    they occur and keep a row each; null ids are kept; an empty table gives no rows;
+    other columns are not read.
     """
-    ln = lambda c: F.ln(F.col(c).cast("double"))
+    ln = lambda c: F.ln(c.cast("double"))
+    mine = lambda c: F.col(c) if leave_own_out else F.lit(0)
+    rest = lambda c: F.greatest(F.col("c_w") - mine(c), F.lit(backoff))
     known = _known(docs, vocabulary)
     counts = written(word_counts(docs, known), "words")
-    pairs = pair_counts(docs, known, words=min_count > 1).where(F.col("n") >= max(min_count, 2))
-    if min_count > 1:  # what a pair outside the table has is the backoff
-        total = counts.agg(F.sum("n")).first()[0] or 1
-        unseen = math.log(backoff) - math.log(total)
-        kind, words = "word", counts.where("n > 0").select("gram", (ln("n") + unseen).alias("value"))
-        before = counts.where("followed > 0").select(F.col("gram").alias("v"), ln("followed").alias("ln_v"))
-        after = words.select(F.col("gram").alias("w"), F.col("value").alias("instead"))
-        seen = pairs.join(before, "v").join(after, "w").select("gram", (ln("n") - F.col("ln_v") - F.col("instead")).alias("value"))
-    else:  # it occurs once
-        kind, words = "before", counts.where("followed > 0").select("gram", (-ln("followed")).alias("value"))
-        seen = pairs.select("gram", ln("n").alias("value"))
-    seen = written(seen, "pairs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    words = counts.where("n > 0").select("gram", F.col("n").alias("c_w"))
+    pairs = pair_counts(docs, known, words=True).where(F.col("n") >= max(min_count, 1) + int(leave_own_out))
+    before = counts.where("followed > 0").select(F.col("gram").alias("v"), F.col("followed").alias("c_v"))
+    seen = written(pairs.join(before, "v").join(words.withColumnRenamed("gram", "w"), "w").select("gram", "n", "c_v", "c_w"), "pairs")
     release(docs.sparkSession)
-    long = lambda c, name: F.lit(c).cast("long").alias(name) if c in (0, 1) else F.col(c).cast("long").alias(name)
-    log = (F.col("times") * F.col("value")).alias("log")
-    part = _exploded(docs, kind, known).join(words, "gram").select("doc_id", "key", "times", log)
+    part = _exploded(docs, "word", known).join(words, "gram").select("doc_id", "key", "times", (F.col("times") * ln(rest("times"))).alias("log"))
     part = written(part.groupBy("doc_id", "key").agg(F.sum("times").alias("n"), F.sum("log").alias("log")), "word-sums")
     drop_written(counts)
     release(docs.sparkSession)
 
     held = []
+    count = F.col("n") - mine("times")
     for turn in range(SLICES):
-        mine = seen.where(F.pmod("gram", F.lit(SLICES)) == turn)
-        more = _exploded(docs, "pair", known, SLICES, turn).join(mine, "gram").select("doc_id", "key", "times", log)
+        table = seen.where(F.pmod("gram", F.lit(SLICES)) == turn)
+        more = _exploded(docs, "pair", known, SLICES, turn).join(table, "gram").where(count >= max(min_count, 1))
+        more = more.select("doc_id", "key", "times", (F.col("times") * (ln(count) - ln(F.col("c_v") - mine("own_v")) - ln(rest("own_w")))).alias("log"))
         held.append(written(more.groupBy("doc_id", "key").agg(F.sum("times").alias("held"), F.sum("log").alias("log")), "pair-sums"))
         release(docs.sparkSession)
     drop_written(seen)
-    summed = _keyed(docs).select("doc_id", "key", long(1, "copies"), long(0, "n"), long(0, "held"), F.lit(0.0).alias("log"))
-    summed = summed.union(part.select("doc_id", "key", long(0, "copies"), long("n", "n"), long(0, "held"), "log"))
+    zero = F.lit(0).cast("long")
+    summed = _keyed(docs).select("doc_id", "key", F.lit(1).cast("long").alias("copies"), zero.alias("n"), zero.alias("held"), F.lit(0.0).alias("log"))
+    summed = summed.union(part.select("doc_id", "key", zero, "n", zero, "log"))
     for sums in held:
-        summed = summed.union(sums.select("doc_id", "key", long(0, "copies"), long(0, "n"), long("held", "held"), "log"))
+        summed = summed.union(sums.select("doc_id", "key", zero, zero, "held", "log"))
     summed = summed.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "held", "log")])
-    backed = F.col("n") - F.col("held") if min_count > 1 else F.lit(0)
-    each = summed.withColumn("backed", backed).select("doc_id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "backed", "log")], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
+    each = summed.withColumn("backed", F.col("n") - F.col("held"))
+    each = each.select("doc_id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "backed", "log")], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
+    unseen = F.lit(math.log(backoff)) - ln(F.greatest(F.lit(total) - mine("n"), F.lit(1)))
+    log = F.col("log") + F.col("backed") * unseen
     return each.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.col("backed").cast("long").alias("n_backed_off"),
-        F.col("log").alias("log_score"),
-        F.when(F.col("n") > 0, F.col("log") / F.col("n")).alias("mean_log_score"),
+        log.alias("log_score"),
+        F.when(F.col("n") > 0, log / F.col("n")).alias("mean_log_score"),
     )

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(_table(spark, sf_dir, "documents"), min_count=1)
+    return lm_scoring.scores(_table(spark, sf_dir, "documents"), min_count=1, leave_own_out=True)
 
 
 def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
