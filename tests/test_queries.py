@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from voicegrain import queries_pain as Q
+from voicegrain import queries_advice as Q
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]
 
