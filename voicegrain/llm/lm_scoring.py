@@ -75,17 +75,28 @@ def word_counts(docs: DataFrame, known=None) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
 
 
-def pair_counts(docs: DataFrame, known=None, words: bool = False) -> DataFrame:
-    """``(gram, n)``: the hash of each pair and its count; with ``words`` also ``v`` and ``w``, the hashes of its words."""
+def pair_counts(docs: DataFrame, known=None) -> DataFrame:
+    """``(v, w, n)``: the hashes of the two words of each pair and its count."""
 
     def run(batches):
         for b in batches:
             for _, _, word, before, _ in _lines_of(b, known):
-                unique, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unique, n, before[first], word[first])], ["gram", "n", "v", "w"])
+                _, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first], word[first], n)], ["v", "w", "n"])
 
-    counted = documents(docs).mapInArrow(run, "gram long, n long, v long, w long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("v", "w") if words])
+    counted = documents(docs).mapInArrow(run, "v long, w long, n long")
+    return counted.groupBy("v", "w").agg(F.sum("n").alias("n"))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the hash of a pair in place of those of its words."""
+
+    def run(batches):
+        for b in batches:
+            v, w = (b.column(c).to_numpy() for c in ("v", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(_pairs(v, w)), *[b.column(c) for c in ("n", "c_v", "c_w")]], ["gram", "n", "c_v", "c_w"])
+
+    return pairs.mapInArrow(run, "gram long, n long, c_v long, c_w long")
 
 
 def _groups(row: np.ndarray, gram: np.ndarray):
@@ -163,9 +174,9 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     counts = written(word_counts(docs, known), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     words = counts.where("n > 0").select("gram", F.col("n").alias("c_w"))
-    pairs = pair_counts(docs, known, words=True).where(F.col("n") >= max(min_count, 1) + int(leave_own_out))
+    pairs = pair_counts(docs, known).where(F.col("n") >= max(min_count, 1) + int(leave_own_out))
     before = counts.where("followed > 0").select(F.col("gram").alias("v"), F.col("followed").alias("c_v"))
-    seen = written(pairs.join(before, "v").join(words.withColumnRenamed("gram", "w"), "w").select("gram", "n", "c_v", "c_w"), "pairs")
+    seen = written(_named(pairs.join(before, "v").join(words.withColumnRenamed("gram", "w"), "w")), "pairs")
     release(docs.sparkSession)
     part = _exploded(docs, "word", known).join(words, "gram").select("doc_id", "key", "times", (F.col("times") * ln(rest("times"))).alias("log"))
     part = written(part.groupBy("doc_id", "key").agg(F.sum("times").alias("n"), F.sum("log").alias("log")), "word-sums")
