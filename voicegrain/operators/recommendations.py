@@ -202,7 +202,7 @@ def scored(rows: DataFrame, decisions: DataFrame, outcomes: DataFrame | None = N
     if outcomes is not None:
         rows = rows.join(outcomes.select("action_id", F.col("n").alias("_n"), F.col("sum_reduction").alias("_sum")), "action_id", "left")
         share = F.col("_n") / (F.col("_n") + 2.0)
-        mixed = (1 - share) * F.col("effect") + share * stats.clamp01(F.col("_sum") / F.col("_n"), 0.01, 0.9)
+        mixed = (1 - share) * F.col("effect") + share * F.greatest(F.lit(0.01), F.least(F.lit(0.9), F.col("_sum") / F.col("_n")))
         rows = rows.withColumn("effect", F.when((F.col("_n") > 0) & (F.col("role") != "instrument"), mixed).otherwise(F.col("effect"))).drop("_n", "_sum")
     paid = stats.clamp01(F.log10(F.greatest(F.col("extrapolated"), F.lit(1)).cast("double")) / 8)
     rows = rows.withColumn("impact", F.when((F.col("matched") > 0) & (F.col("extrapolated") > 0), paid).otherwise(F.least(F.lit(1.0), F.col("affected") / 50.0)))
