@@ -29,6 +29,21 @@ def test_matches_brute_force(spark, sf):
     assert run(docs) == want and sum(r[2] for r in want) > 0
 
 
+def test_small_files_read_together(spark, sf):
+    """A task that reads several files gets rows of all of them in one batch."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    changed = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false", "spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert run(docs) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_many_buckets_and_segments(spark, monkeypatch):
     rng = random.Random(5)
     passage = [f"p{k}" for k in range(80)]

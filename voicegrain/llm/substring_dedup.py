@@ -101,12 +101,15 @@ def _requests(window: int, buckets: int):
     def run(batches):
         for b in batches:
             at = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in tv.pieces(b.column(1), SEGMENT_BYTES):
-                which, hashes = Segment(data, offsets, window, buckets).requests()
-                if not len(which):  # without any window it still gets an answer
-                    which, hashes = np.array([at[lo] % buckets]), [b""]
-                same = lambda v: pa.array(np.full(len(which), v, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(which), same(at[lo]), same(hi - lo), pa.array(hashes, pa.binary())], ["bucket", "at", "texts", "hashes"])
+            cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)]  # a batch may hold rows of several files, in any order
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                for lo, hi, data, offsets in tv.pieces(b.column(1).slice(a, z - a), SEGMENT_BYTES):
+                    first = at[a + lo]
+                    which, hashes = Segment(data, offsets, window, buckets).requests()
+                    if not len(which):  # without any window it still gets an answer
+                        which, hashes = np.array([first % buckets]), [b""]
+                    same = lambda v: pa.array(np.full(len(which), v, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(which), same(first), same(hi - lo), pa.array(hashes, pa.binary())], ["bucket", "at", "texts", "hashes"])
 
     return run
 
