@@ -69,3 +69,14 @@ def test_rows_and_empty_tables(spark):
     assert _got(spark, rows=[], models=[Stub("a", {})], judge=Stub("b", {})) == []
     with pytest.raises(Exception, match="answers to"):
         _got(spark, models=[Stub("short", {}, short=True)])
+
+
+def test_praise_that_is_taken_back_is_no_sarcasm(spark):
+    rows = [(1, "không hài lòng, máy hỏng rồi", 1), (2, "chê, máy hỏng rồi", 1), (3, "hài lòng, máy hỏng rồi", 1), (4, "chưa thấy hài lòng", 1), (5, "không. Hài lòng quá, hỏng rồi", 1)]
+    got = {r[0]: r[5] for r in _got(spark, rows=rows)}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_doubt_ends_with_its_sentence(spark):
+    rows = [(1, "hỏi cho khỏi lo nhé. app lag quá", None), (2, "cứ lo là app lag quá", None)]
+    assert {r[0]: r[3] for r in _got(spark, rows=rows)} == {1: "AppSlowOrCrash", 2: None}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ CUES = {
     "payment": ["lỗi", "treo", "đơ", "trục trặc", "thất bại", "không vào được", "không được", "chậm", "văng", "quay mãi"],
     "invoice": ["sai", "lỗi", "nhầm", "thiếu", "chưa", "không xuất", "mãi", "chậm", "trễ"],
 }
-# What before a keyword takes it back, within so many characters; what praise after it does.
+# What before a keyword takes it back, within so many characters of its sentence; what praise after it does.
 NEGATED = ["không hề", "chẳng hề", "không bị", "chẳng bị", "không có gì", "đâu có", "chả thấy", "không thấy", "nguyên vẹn", "sợ ", "lo ", "tưởng ", "nghĩ là ", "nghe nói "]
 WINDOW = 18
 NO = "không|chẳng|chả|chưa"
@@ -57,23 +60,32 @@ BAD = "chậm|hỏng|lỗi|tệ|xấu|kém|mất|thiếu|đắt|vỡ|móp|không
 GOOD = "tốt|nhanh|đẹp|hài lòng|tuyệt|ưng|cẩn thận|nhiệt tình|đáng tiền|tích cực|ổn|ngon|xịn|thân thiện|dễ thương|(?<!mất |bất )lịch sự|chuyên nghiệp|chu đáo|chắc chắn"
 BAD_TAKEN_BACK = r"(?:không|chẳng|chả|đâu có)\s+(?:(?:bị|có|hề|thấy)\s+)*(?:chậm|hỏng|lỗi|tệ|xấu|kém|mất|thiếu|đắt|vỡ|móp|bực|thất vọng|lag|treo|đơ|trễ|sai|nhầm|rách|ướt)(?:\s+(?:gì|nào|cả|đâu|chút nào|tí nào))*"
 GOOD_TAKEN_BACK = r"(?:không|chẳng|chả|chưa|hổng|đâu có)\s+(?:(?:được|có|hề|quá|lắm|thấy|mấy)\s+)?(?:tốt|nhanh|đẹp|hài lòng|tuyệt|ưng|cẩn thận|nhiệt tình|đáng tiền|ổn|ngon|xịn|thân thiện)"
-# Praise that sarcasm uses, facts that belie it, and marks of tone.
-SARCASM_PRAISE = r"(?<!\p{L})(tuyệt vời|xuất sắc|tuyệt|đỉnh|xịn|nhanh ghê|nhanh quá|nhanh thật|giỏi|hay ghê|hay quá|chuyên nghiệp|chu đáo|đáng tiền|cảm ơn shop|cám ơn shop|cảm ơn|10 điểm|mười điểm|5 sao|năm sao|hài lòng|ưng|quá ổn|tốt ghê|tốt thật|hay thật|đẹp ghê|siêu|nhất quả đất|nhất thế giới)(?!\p{L})"
+# Praise that sarcasm uses where no word takes it back, facts that belie it, and marks of tone.
+SARCASM_PRAISE = rf"(?<!\p{{L}})(?<!(?<!\p{{L}})(?:{NO}|đâu có)\s(?:(?:được|có|hề|quá|lắm|thấy|mấy)\s)?)(tuyệt vời|xuất sắc|tuyệt|đỉnh|xịn|nhanh ghê|nhanh quá|nhanh thật|giỏi|hay ghê|hay quá|chuyên nghiệp|chu đáo|đáng tiền|cảm ơn shop|cám ơn shop|cảm ơn|10 điểm|mười điểm|5 sao|năm sao|hài lòng|ưng|quá ổn|tốt ghê|tốt thật|hay thật|đẹp ghê|siêu|nhất quả đất|nhất thế giới)(?!\p{{L}})"
 SARCASM_FACT = r"(trễ|muộn|chậm|mãi|chưa (nhận|thấy|giao|tới|đến)|không (nhận|thấy|ai|giao|tới|đến|trả lời|phản hồi|dùng được|chạy|lên)|hỏng|vỡ|móp|rách|bể|lỗi|hư|giả|nhái|thiếu|mất|sai|lừa|chờ|đợi|tuần|tháng|\d+\s*ngày|hết hạn|hôi|ẩm|bẩn|cũ|trả hàng|hoàn tiền|bùng|ăn cắp|tệ|kém|chán)"
 SARCASM_TONE = r"(ghê|quá trời|đúng là|thật là|thiệt là|thật sự là|cảm ơn .{0,20}vì|cám ơn .{0,20}vì|chúc mừng|hay thật|giỏi thật|nể thật|bái phục|ủa|haha|hihi|kkk|=\)\)|:\)\)|\)\)\)|ư\?|à\?|sao\?)"
 
-_BEFORE = "(?<!(?:" + "|".join(f"{c}.{{0,{WINDOW - len(c)}}}" for c in NEGATED) + r"))(?<!(?:^|\s)(?:" + NO + r"|đâu có)(?:\s(?:bị|có|hề|thấy|còn))?\s)"
+_BEFORE = "(?<!(?:" + "|".join(rf"{c}[^.;!?\n]{{0,{WINDOW - len(c)}}}" for c in NEGATED) + r"))(?<!(?:^|\s)(?:" + NO + r"|đâu có)(?:\s(?:bị|có|hề|thấy|còn))?\s)"
 _AFTER = rf"(?!(?:\s+(?!(?:{NO})(?!\p{{L}}))\p{{L}}+){{0,2}}?\s+(?:(?:rất|cực|khá|quá|siêu|luôn|cũng|vô cùng)\s+)?(?:{PRAISED})(?!\p{{L}}))"
 _CLAUSE = r"[.,;!?\n]|\snhưng\s"
 
 
-def _forms(keyword: str, slang: dict[str, str]) -> str:
+def _spelled(keyword: str, slang: dict[str, str]) -> list[str]:
     """A keyword as it is and as the slang dictionary turns it."""
     turned = keyword
     for phrase in sorted((k for k in slang if " " in k), key=len, reverse=True):
         turned = turned.replace(phrase, slang[phrase])
     turned = " ".join(slang.get(w, w) for w in turned.split(" "))
-    return "|".join(dict.fromkeys(rf"\Q{x}\E" for x in (keyword, turned)))
+    return list(dict.fromkeys((keyword, turned)))
+
+
+def _forms(keyword: str, slang: dict[str, str]) -> str:
+    return "|".join(rf"\Q{x}\E" for x in _spelled(keyword, slang))
+
+
+def _held(text: Column, keywords: list[str], slang: dict[str, str]) -> Column:
+    """Whether a text holds one of the keywords at all; far cheaper than their patterns, which only such a text needs."""
+    return reduce(or_, (F.contains(text, F.lit(x)) for k in keywords for x in _spelled(k, slang)))
 
 
 def _not_taken_back(pattern: str) -> str:
@@ -101,12 +113,13 @@ def complaints(text: Column, slang: dict[str, str] = SLANG) -> Column:
     clauses = F.split(low, _CLAUSE)
     found = []
     for place, (category, cause, keywords, nouns, kind) in enumerate(CAUSES):
-        patterns = [stands(k, slang) for k in keywords] + [_not_taken_back(p) + _AFTER for p in CAUSE_PATTERNS.get(cause, [])]
-        hits = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
+        named = [_held(low, [k], slang) & low.rlike(stands(k, slang)) for k in keywords]
+        named += [low.rlike(p) & low.rlike(_not_taken_back(p) + _AFTER) for p in CAUSE_PATTERNS.get(cause, [])]
+        hits = sum((n.cast("int") for n in named), F.lit(0))
         if nouns:
             noun = "|".join(_forms(t, slang) for t in nouns)
             cue = "|".join(_forms(c, slang) for c in CUES[kind])
-            hits = hits + F.exists(clauses, _noun_and_cue(noun, cue)).cast("int")
+            hits = hits + (_held(low, nouns, slang) & F.exists(clauses, _noun_and_cue(noun, cue))).cast("int")
         found.append(F.struct(hits.alias("hits"), F.lit(place).alias("place"), F.lit(category).alias("category"), F.lit(cause).alias("cause")))
     hit = F.filter(F.array(*found), lambda x: x["hits"] > 0)
     ordered = F.array_sort(F.transform(hit, lambda x: F.struct((-F.least(0.5 + x["hits"] * 0.15, F.lit(0.95))).alias("c"), x["place"].alias("place"), x["category"].alias("category"), x["cause"].alias("cause"))))
