@@ -41,7 +41,10 @@ def star_mismatch(rating: Column, sentiment: Column, vague: Column | None = None
 def with_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Adds ``order_found`` and ``order_delivered_at`` of the matching order (the latest delivery of a repeated id)."""
     book = orders.groupBy("order_id").agg(F.max("delivered_at").alias("order_delivered_at")).withColumn("order_found", F.lit(True))
-    return items.join(book, "order_id", "left").withColumn("order_found", F.coalesce("order_found", F.lit(False)))
+    # rows without an order take no part in the join, where they would all meet in one task
+    known = items.where("order_id is not null").join(book, "order_id", "left").withColumn("order_found", F.coalesce("order_found", F.lit(False)))
+    none = {"order_delivered_at": F.lit(None).cast(book.schema["order_delivered_at"].dataType), "order_found": F.lit(False)}
+    return known.unionByName(items.where("order_id is null").withColumns(none))
 
 
 def order_coverage(items: DataFrame) -> DataFrame:
@@ -67,22 +70,26 @@ def bursts(items: DataFrame, key: str = "product_name") -> DataFrame:
     span = TRUST.burst_minutes * 60
     timed = items.withColumn("_s", F.unix_seconds("ts"))
     new = F.coalesce(F.col("account_age_days") < TRUST.new_account_days, F.lit(False))
-    # one row a product and second; each stands in its own bucket and both neighbours, so a hot product is many groups
+    # one row a product and second, in its own bucket and the neighbour's where that is near, so a hot product is many groups
     seconds = timed.where("_s is not null").groupBy(key, "_s").agg(F.count("*").alias("_rows"), F.count_if(new).alias("_new"))
-    own = F.floor(F.col("_s") / span)
-    dealt = seconds.select(key, "_s", "_rows", "_new", own.alias("_own"), F.explode(F.array(own - 1, own, own + 1)).alias("_bucket"))
+    place = lambda s: F.floor(s / (8 * span))
+    own = place(F.col("_s"))
+    dealt = seconds.select(key, "_s", "_rows", "_new", own.alias("_own"), F.explode(F.array_distinct(F.array(own, place(F.col("_s") - span), place(F.col("_s") + span)))).alias("_bucket"))
     frame = Window.partitionBy(key, "_bucket").orderBy("_s").rangeBetween(-span, span)
     sums = dealt.select(key, "_s", "_rows", "_own", "_bucket", F.sum("_rows").over(frame).alias("near"), (F.sum("_new").over(frame) / F.sum("_rows").over(frame)).alias("new_share"))
     sums = sums.where("_own = _bucket").select(F.col(key).alias("_key"), F.col("_s").alias("_at"), "_rows", "near", "new_share")
-    near = timed.join(sums.drop("_rows"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_at")), "left").drop("_s", "_key", "_at")
     # medians over the distinct counts of a product with their multiplicity, so no array grows with the rows
     counts = sums.groupBy(F.col("_key").alias(key), "near").agg(F.sum("_rows").alias("w"))
     middle = _weighted_upper_median(counts, key, "near").withColumnRenamed("median", "_median")
     off = counts.join(middle, key).withColumn("near", F.abs(F.col("near") - F.col("_median"))).groupBy(key, "near").agg(F.sum("w").alias("w"))
     spread = _weighted_upper_median(off, key, "near").withColumnRenamed("median", "_mad").drop("rows")
     usual = middle.join(spread, key)
+    # what is usual goes to the seconds of a product, and to one more without a time, so that the rows are joined once
+    untimed = usual.select(F.col(key).alias("_key"), *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in ("_at", "near", "new_share")])
+    known = sums.select("_key", "_at", "near", "new_share").union(untimed).join(usual.withColumnRenamed(key, "_key"), "_key", "left")
+    out = timed.join(known, F.col(key).eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_at")), "left").drop("_s", "_key", "_at")
     z = (F.col("near") - F.col("_median")) / F.coalesce(F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)), F.lit(1.0))
-    out = near.join(usual, key, "left").withColumn("burst_z", F.when(F.col("rows") >= TRUST.burst_min_rows, z).otherwise(0.0))
+    out = out.withColumn("burst_z", F.when(F.col("rows") >= TRUST.burst_min_rows, z).otherwise(0.0))
     burst = F.when(F.col("burst_z") > TRUST.burst_z, F.least(F.lit(1.0), F.col("burst_z") / 6 * (0.5 + F.col("new_share")))).otherwise(0.0)
     return out.withColumn("burst", F.coalesce(burst, F.lit(0.0))).drop("_median", "_mad", "rows")
 
