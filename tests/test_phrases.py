@@ -31,3 +31,16 @@ def test_answers_of_models(spark):
     question = spark.createDataFrame([("why late",), ("hello",)], "q string")
     routed = [tuple(r.r) for r in question.select(model_output.routed(F.col("q"), {"cause": ["why", "late"], "trend": ["late"]}).alias("r")).collect()]
     assert routed == [("cause", 2.35), ("overview", 0.0)]
+
+
+def test_unique_keys_need_no_shuffle_and_repeated_ones_give_a_phrase_once(spark):
+    rows = spark.createDataFrame([(1, "màn hình tối|đen. hình tối; | tối đen"), (2, None), (3, "")], "id int, text string")
+    found = phrases.phrase_rows(rows, "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.phrase for r in found.collect()) == ["hình tối", "màn hình", "màn hình tối", "tối đen"]
+    assert phrases.phrase_rows(rows.union(rows), "id", "text").count() == 4
+
+
+def test_a_row_with_both_spellings_gives_the_phrase_once(spark):
+    grams = spark.createDataFrame([(1, "man hinh"), (1, "màn hình"), (2, "man hinh"), (3, "pin yếu"), (4, "loa hay")], "id int, phrase string")
+    assert sorted(map(tuple, phrases.spelled_rows(grams, "id").collect())) == [(1, "màn hình"), (2, "màn hình"), (3, "pin yếu"), (4, "loa hay")]

@@ -15,6 +15,7 @@ MAY_BEGIN = ["khong", "chua", "bi", "không", "chưa", "bị"]
 DULL = ["hang", "mua", "nhan", "giao", "dung", "su", "cam", "on"]
 DULL_MARKED = ["hàng", "mua", "nhận", "giao", "dùng", "sự", "cảm", "ơn"]
 
+_END = "|"
 SEGMENT_END = "[.,!?;:…\\n\\r()\"“”'\\-–—/\\\\|*~+=<>\\[\\]{}]+"
 
 
@@ -29,14 +30,15 @@ def phrase_rows(rows: DataFrame, key: str, text: str, longest: int = 4) -> DataF
     holds only dull words.  Null and empty texts have none.  A row's words are marked
     once, in a column of their own, and read by place, so the work grows with the words.
     """
-    segments = rows.select(key, F.explode(F.split(F.lower(text), SEGMENT_END)).alias("_segment"))
-    words = segments.select(key, F.explode(F.array(F.filter(F.split("_segment", r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("_words")).where(F.size("_words") > 1)
-    known = F.transform("_words", lambda w: F.struct(w.alias("w"), (w == fold(w)).alias("plain"), w.rlike(r"^\d+$").alias("number")))
+    marks = F.regexp_replace(F.lower(text), SEGMENT_END, f" {_END} ")  # a segment's end is a word that no phrase holds
+    words = F.filter(F.split(marks, rf"[^\p{{L}}\p{{N}}{_END}]+"), lambda w: w != "")
+    words = rows.select(key, F.explode(F.array(words)).alias("_words"))
+    known = F.transform("_words", lambda w: F.struct(w.alias("w"), (w == fold(w)).alias("plain"), w.rlike(r"^\d+$").alias("number"), (w == _END).alias("end")))
 
     def mark(x: Column) -> Column:
         edge = _stop(x["plain"], x["w"], EDGE_MARKED, EDGE)
         dull = _stop(x["plain"], x["w"], EDGE_MARKED + DULL_MARKED, EDGE + DULL)
-        return F.struct(x["w"].alias("w"), (~x["number"] & (~edge | x["w"].isin(*MAY_BEGIN))).alias("begins"), (~x["number"] & ~edge).alias("ends"), dull.alias("dull"))
+        return F.struct(x["w"].alias("w"), (~x["end"] & ~x["number"] & (~edge | x["w"].isin(*MAY_BEGIN))).alias("begins"), (~x["end"] & ~x["number"] & ~edge).alias("ends"), dull.alias("dull"), x["end"].alias("end"))
 
     marked = words.select(key, F.explode(F.array(F.transform(known, mark))).alias("_m"))
     m = F.col("_m")
@@ -48,23 +50,30 @@ def phrase_rows(rows: DataFrame, key: str, text: str, longest: int = 4) -> DataF
             for_all = x["dull"]
             for r in rest:
                 for_all = for_all & r["dull"]
+            for r in rest[:-1]:
+                live = live & ~r["end"]
             return F.when(live & ~for_all, F.concat_ws(" ", x["w"], *[r["w"] for r in rest]))
 
         return F.array(*[run(n) for n in range(2, longest + 1)])
 
     found = marked.select(key, F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(m, from_place))))).alias("phrase"))
-    return found.distinct()
+    once = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+    return found if once else found.distinct()  # a key's phrases come from one row, unless a key is repeated
 
 
 def spellings(phrase_rows: DataFrame) -> DataFrame:
     """``(phrase, spelled)``: an unaccented phrase and its most frequent accented spelling (ties: the smaller)."""
     counts = phrase_rows.groupBy("phrase").agg(F.count("*").alias("n"))
-    marked = counts.withColumn("plain", fold(F.col("phrase"))).where("plain <> phrase")
-    best = marked.groupBy("plain").agg(F.min_by("phrase", F.struct(-F.col("n"), F.col("phrase"))).alias("spelled"))
-    return counts.select("phrase").join(best, F.col("phrase") == F.col("plain")).select("phrase", "spelled")
+    marked = F.when(F.col("phrase") != F.col("plain"), F.col("phrase"))
+    classes = counts.withColumn("plain", fold(F.col("phrase"))).groupBy("plain")
+    best = classes.agg(F.min_by(marked, F.when(marked.isNotNull(), F.struct(-F.col("n"), F.col("phrase")))).alias("spelled"), F.count_if(marked.isNull()).alias("_plain"))
+    return best.where("spelled is not null and _plain > 0").select(F.col("plain").alias("phrase"), "spelled")
 
 
 def spelled_rows(phrase_rows: DataFrame, key: str) -> DataFrame:
     """``phrase_rows`` with unaccented phrases put under their accented spelling, each once a key."""
     known = spellings(phrase_rows)
-    return phrase_rows.join(known, "phrase", "left").select(key, F.coalesce("spelled", "phrase").alias("phrase")).distinct()
+    targets = known.select(F.col("spelled").alias("phrase"), "spelled").distinct()  # only these can come twice
+    met = phrase_rows.join(known.union(targets), "phrase", "left")
+    put = met.where("spelled is not null").select(key, F.col("spelled").alias("phrase")).distinct()
+    return met.where("spelled is null").select(key, "phrase").union(put)
