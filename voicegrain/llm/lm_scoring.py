@@ -37,7 +37,7 @@ VOCABULARY = math.inf
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: The pairs of all documents are joined with their counts in so many turns, by hash, so that their shuffles do not stand on disk together.
-SLICES = 2
+SLICES = 3
 #: Stand in place of word hashes.
 START, UNKNOWN = 0, 1
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -99,6 +99,11 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "gram long, n long, c_v long, c_w long")
 
 
+def _built(counts: DataFrame) -> DataFrame:
+    """``counts``, unique by what it is joined on, as the side that is hashed; the far longer other side then needs no sort."""
+    return counts.hint("shuffle_hash")
+
+
 def _groups(row: np.ndarray, gram: np.ndarray):
     """(order, starts, sizes) of the tokens grouped by row and gram, told apart by a 64-bit hash of both."""
     tokens = tv.mix(gram.view(np.uint64) + row.astype(np.uint64) * _PAIR)
@@ -176,9 +181,12 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     words = counts.where("n > 0").select("gram", F.col("n").alias("c_w"))
     pairs = pair_counts(docs, known).where(F.col("n") >= max(min_count, 1) + int(leave_own_out))
     before = counts.where("followed > 0").select(F.col("gram").alias("v"), F.col("followed").alias("c_v"))
-    seen = written(_named(pairs.join(before, "v").join(words.withColumnRenamed("gram", "w"), "w")), "pairs")
+    frequent = written(pairs, "pair-counts")  # the shuffle of all pairs ends before those of the joins begin
+    release(docs.sparkSession)
+    seen = written(_named(frequent.join(_built(before), "v").join(_built(words.withColumnRenamed("gram", "w")), "w")), "pairs")
+    drop_written(frequent)
     release(docs.sparkSession)
-    part = _exploded(docs, "word", known).join(words, "gram").select("doc_id", "key", "times", (F.col("times") * ln(rest("times"))).alias("log"))
+    part = _exploded(docs, "word", known).join(_built(words), "gram").select("doc_id", "key", "times", (F.col("times") * ln(rest("times"))).alias("log"))
     part = written(part.groupBy("doc_id", "key").agg(F.sum("times").alias("n"), F.sum("log").alias("log")), "word-sums")
     drop_written(counts)
     release(docs.sparkSession)
@@ -187,7 +195,7 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     count = F.col("n") - mine("times")
     for turn in range(SLICES):
         table = seen.where(F.pmod("gram", F.lit(SLICES)) == turn)
-        more = _exploded(docs, "pair", known, SLICES, turn).join(table, "gram").where(count >= max(min_count, 1))
+        more = _exploded(docs, "pair", known, SLICES, turn).join(_built(table), "gram").where(count >= max(min_count, 1))
         more = more.select("doc_id", "key", "times", (F.col("times") * (ln(count) - ln(F.col("c_v") - mine("own_v")) - ln(rest("own_w")))).alias("log"))
         held.append(written(more.groupBy("doc_id", "key").agg(F.sum("times").alias("held"), F.sum("log").alias("log")), "pair-sums"))
         release(docs.sparkSession)
