@@ -12,7 +12,7 @@ _PLAIN = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻ
 PII = [
     # What counts as a phone number, an address, an order number, an identity card and an account.
     ("phone", r"(?:\+?84|0)(?:[\s.-]?\d){8,10}\b", "[PHONE]"),
-    ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"),
+    ("email", r"(?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]+\.[\w.-]+", "[EMAIL]"),
     ("order", r"(?iu)(?<![\p{L}\p{N}])(?:mã đơn|ma don|đơn|don|order)[\s:#]*(?=[A-Z]*\d)[A-Z0-9]{6,}(?![\p{L}\p{N}])", "[ORDER]"),
     ("id", r"\b\d{9}\b|\b\d{12}\b", "[ID]"),
     ("account", r"\b\d{10,16}\b", "[ACCOUNT]"),
