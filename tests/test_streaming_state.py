@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,36 @@ def test_cooldowns_equal_the_batch(spark, folders):
     frame = spark.createDataFrame(rows, schema)
     want = live.cooled(frame.where("not handled").select("action_id", "comment_id", "ts"), frame.where("handled").select("action_id", F.col("ts").alias("at")))
     assert got == {(r.action_id, r.comment_id, r.suppressed) for r in want.collect()} and {r[2] for r in got} == {True, False}
+
+
+def test_a_queue_calls_its_store_once_a_minute_not_once_an_event():
+    class Store(dict):
+        calls = 0
+
+        def getValue(self, k=None):
+            return self[k]
+
+        def updateValue(self, k, v):
+            Store.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+        containsKey, exists, get, update = dict.__contains__, lambda self: () in self, lambda self: self[()], lambda self, v: self.__setitem__((), v)
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: Store()
+
+    rng = random.Random(4)
+    events = [(rng.randrange(10) * 60_000_000 + rng.randrange(5), k, rng.random() < 0.0005) for k in range(20_000)]
+    queue, seen = state.Queue(), []
+    queue.init(Handle())
+    for lo in range(0, len(events), 5000):  # four batches of five frames each
+        seen += events[lo : lo + 5000]
+        frames = (pd.DataFrame(events[k : k + 1000], columns=["at", "comment_id", "answer"]) for k in range(lo, lo + 5000, 1000))
+        [out] = queue.handleInputRows(("q|1",), frames, None)
+        last = max((e[:2] for e in seen if e[2]), default=None)
+        fresh = sum(not e[2] and (last is None or e[:2] > last) for e in seen)
+        assert tuple(out.iloc[0])[:3] == ("q|1", sum(not e[2] for e in seen), fresh)
+    assert last is not None and Store.calls <= 4 * 10 * 2

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,48 +22,84 @@ QUEUE = "group_key string, n long, since_answer long, status string"
 RING = "session_id long, as_of timestamp, intent string, last_3 long, last_5 long, last_10 long, last_15 long"
 COOLED = "action_id string, comment_id long, suppressed boolean"
 LOOK_BACKS = (3, 5, 10, 15)
+#: So many events of a group wait in a task before they go to the store.
+PACKED = 1 << 18
 
 
 def _micros(at) -> int:
     return int(pd.Timestamp(at).value // 1000)
 
 
+def _after(events: np.ndarray, last: tuple[int, int] | None) -> np.ndarray:
+    """The rows ``(time, id)`` that come after ``last``."""
+    return events if last is None else events[(events[:, 0] > last[0]) | ((events[:, 0] == last[0]) & (events[:, 1] > last[1]))]
+
+
 class Queue(StatefulProcessor):
-    """Asks and answers of one group: how often it was asked, how often since the last answer, and whether it is open."""
+    """Asks and answers of one group, each event once: how often it was asked, how often since the last answer, and whether it is open.
+
+    Rows are ``(group_key, at, comment_id, answer)`` with the time in microseconds.  Asks
+    after the last answer are packed by the minute, so the store is called once a
+    minute that has new ones, not once an event.
+    """
 
     def __init__(self, again: int = 3):
         self.again = again
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tally = handle.getValueState("tally", "asks bigint, fresh bigint, last_ts bigint, last_id bigint")
-        self.seen = handle.getMapState("seen", "id bigint, answer boolean", "known boolean")
-        self.fresh = handle.getMapState("fresh", "ts bigint, id bigint", "known boolean")
+        self.fresh = handle.getMapState("fresh", "minute bigint", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         asks, fresh, *last = self.tally.get() if self.tally.exists() else (0, 0, None, None)
-        last = None if last[0] is None else tuple(last)
+        last = before = None if last[0] is None else tuple(last)
+        waiting, held = [], 0
         for frame in rows:
-            for ts, id_, answer in zip(frame["ts"], frame["comment_id"], frame["answer"]):
-                event, mark = (_micros(ts), int(id_)), (int(id_), bool(answer))
-                if self.seen.containsKey(mark):
-                    continue
-                self.seen.updateValue(mark, (True,))
-                if answer:
-                    if last is None or event > last:
-                        last = event
-                        for old in [k for k in self.fresh.keys() if tuple(k) <= event]:
-                            self.fresh.removeKey(tuple(old))
-                            fresh -= 1
-                else:
-                    asks += 1
-                    if last is None or event > last:
-                        self.fresh.updateValue(event, (True,))
-                        fresh += 1
+            events = np.column_stack([frame["at"].to_numpy(np.int64), frame["comment_id"].to_numpy(np.int64)])
+            answer = frame["answer"].to_numpy(bool)
+            if answer.any():
+                said = events[answer]
+                newest = tuple(int(x) for x in said[np.lexsort((said[:, 1], said[:, 0]))[-1]])
+                last = newest if last is None else max(last, newest)
+            asked = events[~answer]
+            asks += len(asked)
+            waiting.append(_after(asked, last))
+            held += len(waiting[-1])
+            if held >= PACKED:
+                fresh += self._pack(waiting, last)
+                waiting, held = [], 0
+        fresh += self._pack(waiting, last)
+        if last != before:
+            fresh -= self._drop(last)
         self.tally.update((asks, fresh, *(last or (None, None))))
         enough = 1 if key[0].startswith("c") else self.again
         status = "open" if last is None or fresh >= enough else "answered"
         yield pd.DataFrame({"group_key": [key[0]], "n": [asks], "since_answer": [fresh], "status": [status]})
 
+    def _pack(self, waiting: list[np.ndarray], last: tuple[int, int] | None) -> int:
+        """Adds what came after ``last`` to its minutes; how many events these are."""
+        events = _after(np.concatenate(waiting), last) if waiting else np.empty((0, 2), np.int64)
+        events = events[np.argsort(events[:, 0], kind="stable")]
+        minute = events[:, 0] // 60_000_000
+        for part in np.split(events, np.flatnonzero(np.diff(minute)) + 1) if len(events) else []:
+            at = (int(part[0, 0] // 60_000_000),)
+            had = bytes(self.fresh.getValue(at)[0]) if self.fresh.containsKey(at) else b""
+            self.fresh.updateValue(at, (had + part.tobytes(),))
+        return len(events)
+
+    def _drop(self, last: tuple[int, int]) -> int:
+        """Removes the events up to ``last``; how many these are."""
+        gone = 0
+        for at in [tuple(k) for k in self.fresh.keys() if k[0] <= last[0] // 60_000_000]:
+            events = np.frombuffer(bytes(self.fresh.getValue(at)[0]), np.int64).reshape(-1, 2)
+            left = _after(events, last)
+            gone += len(events) - len(left)
+            if len(left) == 0:
+                self.fresh.removeKey(at)
+            elif len(left) < len(events):
+                self.fresh.updateValue(at, (left.tobytes(),))
+        return gone
+
     def close(self) -> None:
         pass
 
@@ -134,8 +171,14 @@ def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: s
 
 
 def queues(events: DataFrame, again: int = 3) -> DataFrame:
-    """A stream of ``(group_key, ts, comment_id, answer)`` as changing rows ``(group_key, n, since_answer, status)``."""
-    return _stateful(events, "group_key", Queue(again), QUEUE)
+    """A stream of ``(group_key, ts, comment_id, answer)`` as changing rows ``(group_key, n, since_answer, status)``.
+
+    Repeated events go first, by Spark's own state, which spreads over their ids; what a
+    group then keeps is its tally and the asks since its last answer.
+    """
+    long = lambda c: F.coalesce(c, F.lit(-(2**63)))  # noqa: E731 - an unknown time comes before all others
+    timed = events.select("group_key", long(F.unix_micros("ts")).alias("at"), "comment_id", F.coalesce("answer", F.lit(False)).alias("answer"))
+    return _stateful(timed.dropDuplicates(["group_key", "comment_id", "answer"]), "group_key", Queue(again), QUEUE)
 
 
 def look_backs(comments: DataFrame, hours: int = 3) -> DataFrame:
