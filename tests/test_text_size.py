@@ -2,7 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from voicegrain.functions import text
+from voicegrain.functions import complaints, normalize, text
 
 
 def test_a_long_word_is_masked_in_linear_time(spark):
@@ -12,3 +12,8 @@ def test_a_long_word_is_masked_in_linear_time(spark):
     began = time.time()
     got = [tuple(r) for r in rows.select(F.length(masked), kinds).collect()]
     assert got == [(500_000, []), (22, ["email"])] and time.time() - began < 60
+
+
+def test_a_text_is_lowered_once_for_all_keywords(spark):
+    assert str(complaints.complaints(F.col("t"))._jc.toString()).count("lower(") == 1
+    assert str(normalize.translate_slang(F.col("t"))._jc.toString()).count("lower(") == 1

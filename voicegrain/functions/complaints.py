@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .normalize import SLANG
+from .text import once
 
 # Category and cause, keywords that name it, and nouns that count only with a complaint of the kind named last.
 CAUSES = [
@@ -109,7 +110,10 @@ def complaints(text: Column, slang: dict[str, str] = SLANG) -> Column:
     Confidence is 0.5 and 0.15 for each keyword, at most 0.95.  A noun with a
     complaint of its kind in the same clause counts as a keyword.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: _found(low, slang))
+
+
+def _found(low: Column, slang: dict[str, str]) -> Column:
     clauses = F.split(low, _CLAUSE)
     found = []
     for place, (category, cause, keywords, nouns, kind) in enumerate(CAUSES):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import canonical, mask_pii
+from .text import canonical, mask_pii, once
 
 # A starting dictionary of abbreviations and slang; pass your own, larger one.
 SLANG = {
@@ -59,22 +62,32 @@ def decode_entities(text: Column) -> Column:
 
 def joined_letters(text: Column) -> Column:
     """Letters that a mark keeps apart (``s.ản``) joined, and words that a mark runs together (``tốt.giao``) split."""
-    one = F.regexp_replace(text, r"(?<![\p{L}\p{M}])(\p{L}\p{M}*)[.\-_*]+(?=\p{L})", "$1")
-    return F.regexp_replace(one, r"(\p{L}\p{M}*)([.,!?;:]+)(?=\p{L})", "$1$2 ")
+
+    def joined(t: Column) -> Column:
+        one = F.regexp_replace(t, r"(?<![\p{L}\p{M}])(\p{L}\p{M}*)[.\-_*]+(?=\p{L})", "$1")
+        two = F.regexp_replace(one, r"(\p{L}\p{M}*)([.,!?;:]+)(?=\p{L})", "$1$2 ")
+        return F.when(t.rlike(r"[.\-_*,!?;:]\p{L}"), two).otherwise(t)
+
+    return once(text, joined)
 
 
 def emoji_words(text: Column) -> Column:
-    for signs, words in EMOJI:
-        text = F.regexp_replace(text, signs, words)
-    return text
+    any_sign = "|".join(signs for signs, _ in EMOJI)
+    put = lambda t: reduce(lambda x, e: F.regexp_replace(x, *e), EMOJI, t)
+    return once(text, lambda t: F.when(t.rlike(any_sign), put(t)).otherwise(t))
 
 
 def collapse_repeats(text: Column) -> Column:
     """A letter three or more times in a row once, and no plain vowel after the same vowel with a tone."""
-    out = F.regexp_replace(text, r"(?iu)(\p{L})\1{2,}", "$1")
-    for plain, toned in TONED.items():
-        out = F.regexp_replace(out, f"(?iu)([{toned}]){plain}+", "$1")
-    return out
+    doubled = "|".join(f"[{toned}]{plain}" for plain, toned in TONED.items())
+
+    def single(out: Column) -> Column:
+        less = out
+        for plain, toned in TONED.items():
+            less = F.regexp_replace(less, f"(?iu)([{toned}]){plain}+", "$1")
+        return F.when(out.rlike(f"(?iu)(?:{doubled})"), less).otherwise(out)  # few texts need the patterns of all vowels
+
+    return once(F.regexp_replace(text, r"(?iu)(\p{L})\1{2,}", "$1"), single)
 
 
 def is_syllable(word: Column) -> Column:
@@ -97,19 +110,27 @@ def keyboard_mash(text: Column) -> Column:
 def translate_slang(text: Column, slang: dict[str, str] | None = None) -> Column:
     """Lower-case text with phrases, then single words, of the dictionary replaced; marks around a word stay."""
     slang = SLANG if slang is None else slang
-    out = F.lower(text)
-    for phrase in sorted((k for k in slang if " " in k), key=lambda k: (-len(k), k)):
-        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\Q{phrase}\E(?![\p{{L}}\p{{M}}\p{{N}}])", slang[phrase])
+    phrases = sorted((k for k in slang if " " in k), key=lambda k: (-len(k), k))
+
+    def spoken(low: Column) -> Column:
+        out = low
+        for phrase in phrases:
+            out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\Q{phrase}\E(?![\p{{L}}\p{{M}}\p{{N}}])", slang[phrase])
+        return F.when(reduce(or_, (F.contains(low, F.lit(k)) for k in phrases), F.lit(False)), out).otherwise(low)
+
     known = F.create_map(*[F.lit(x) for k, v in slang.items() if " " not in k for x in (k, v)])
     core = lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", "")
-    words = F.filter(F.split(out, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(once(F.lower(text), spoken), r"\s+"), lambda w: w != "")
+
+    def put(words: Column, word: Column, k: Column) -> Column:
+        def said(found: Column) -> Column:
+            letter_code = (F.char_length(core(word)) == 1) & F.coalesce(core(F.get(words, k - 1)).isin(LETTER_CONTEXT), F.lit(False))
+            turned = F.concat(F.regexp_extract(word, r"^(\p{P}*)", 1), found, F.regexp_extract(word, r"(\p{P}*)$", 1))
+            return F.when(found.isNotNull() & ~letter_code, turned).otherwise(word)
 
-    def put(word: Column, k: Column) -> Column:
-        letter_code = (F.char_length(core(word)) == 1) & F.coalesce(core(F.get(words, k - 1)).isin(LETTER_CONTEXT), F.lit(False))
-        found = F.when(~letter_code, F.element_at(known, core(word)))
-        return F.when(found.isNotNull(), F.concat(F.regexp_extract(word, r"^(\p{P}*)", 1), found, F.regexp_extract(word, r"(\p{P}*)$", 1))).otherwise(word)
+        return once(F.element_at(known, core(word)), said)
 
-    return F.array_join(F.transform(words, put), " ")
+    return F.array_join(once(words, lambda ws: F.transform(ws, lambda w, k: put(ws, w, k))), " ")
 
 
 def spam_signals(text: Column) -> dict[str, Column]:
@@ -132,6 +153,7 @@ def normalized(rows: DataFrame, text_col: str = "text", slang: dict[str, str] |
     bare = F.regexp_replace(F.regexp_replace("_c", r"(?is)<script.*?</script>", " "), r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
+    bare = F.when(F.contains("_c", F.lit("<")) | F.contains("_c", F.lit("&")), bare).otherwise(F.col("_c"))
     masked, _ = mask_pii(bare)
     plain = F.trim(F.regexp_replace(emoji_words(joined_letters(masked)), r"\s+", " "))
     rows = rows.withColumn("_p", plain).withColumn("_w", resolver(slang)(F.col("_p")))  # again a column of its own

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _PLAIN = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻẽẹêếềểễệ", "i": "íìỉĩị", "o": "óòỏõọôốồổỗộơớờởỡợ", "u": "úùủũụưứừửữự", "y": "ýỳỷỹỵ", "d": "đ"}
-#: Order matters: a later pattern sees the text with the earlier ones already masked.
+#: Order matters: a later pattern sees the text with the earlier ones already masked.  Each pattern needs a digit or an @.
 PII = [
     # What counts as a phone number, an address, an order number, an identity card and an account.
     ("phone", r"(?:\+?84|0)(?:[\s.-]?\d){8,10}\b", "[PHONE]"),
@@ -35,13 +38,22 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[ \t\n\r]+", " "))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mask_pii(text: Column) -> tuple[Column, Column]:
     """The masked text, and the sorted kinds found in order of masking."""
-    kinds = []
-    for name, pattern, mark in PII:
-        kinds.append(F.when(text.rlike(pattern), F.lit(name)))
-        text = F.regexp_replace(text, pattern, mark)
-    return text, F.array_compact(F.array(*kinds))
+    kinds, masked = [], text
+    for name, pattern, _ in PII:
+        kinds.append(F.when(masked.rlike(pattern), F.lit(name)))
+        masked = _masked(masked, name)
+    return once(text, lambda t: F.when(t.rlike(r"[\d@]"), reduce(_masked, [name for name, _, _ in PII], t)).otherwise(t)), F.array_compact(F.array(*kinds))
+
+
+def _masked(text: Column, kind: str) -> Column:
+    return next(F.regexp_replace(text, pattern, mark) for name, pattern, mark in PII if name == kind)
 
 
 def tokens(text: Column, stop: list[str] = ()) -> Column:
