@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Bytes of text that are Python strings at once.
+AT_ONCE = 1 << 20
 _PLAIN = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻẽẹêếềểễệ", "i": "íìỉĩị", "o": "óòỏõọôốồổỗộơớờởỡợ", "u": "úùủũụưứừửữự", "y": "ýỳỷỹỵ", "d": "đ"}
 #: Order matters: a later pattern sees the text with the earlier ones already masked.  Each pattern needs a digit or an @.
 PII = [
@@ -109,10 +114,18 @@ def dedup_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed form of texts; no built-in function composes letters."""
-    return text.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """Composed form of texts; no built-in function composes letters.
+
+    Of an Arrow batch only ``AT_ONCE`` bytes or one text are Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1
+    parts = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(text)]):
+        parts.append(pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text[lo:hi].to_pylist()], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def canonical(text: Column) -> Column:
