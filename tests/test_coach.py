@@ -20,3 +20,15 @@ def test_limits_and_quiet_sessions(spark, sf):
     rows, sessions, stock, groups = _coached(spark, sf)
     assert coach.coach(rows.where("intent = 'praise'"), sessions, stock, groups.limit(0)).where("type <> 'engagement_drop'").count() == 0
     assert coach.coach(rows.limit(0), sessions, stock, groups.limit(0)).count() == 0
+
+
+def test_comments_are_neither_grouped_by_all_keys_nor_sorted_to_meet_their_session(spark, sf):
+    rows, sessions, _, _ = _coached(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = coach.counted(rows, sessions)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("HashAggregate") == 2  # those of the sessions
+    assert joined.count() == rows.count()

@@ -1,8 +1,6 @@
 """What a live host should do now: nine triggers from one pass over a session's comments.
 
-The comments of all sessions are counted once, by product, variant, intent, topic and
-group, with a sum for each look-back; every trigger reads those counts.  A busy session
-so spreads over its products and groups before anything is summed for it.
+Every comment carries what it adds to each look-back; every trigger sums those.
 """
 
 from __future__ import annotations
@@ -18,23 +16,28 @@ BUYING_TOPICS = ["price", "promo", "size", "stock"]
 _KEYS = ["session_id", "product_id", "variants", "intent", "topic", "group_key", "inferred"]
 
 
+def _built(rows: DataFrame) -> DataFrame:
+    """``rows``, far fewer than the comments, as the side that is hashed: the comments then need no sort in memory."""
+    return rows.hint("shuffle_hash")
+
+
 def counted(comments: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Comments up to the session's ``now`` by ``_KEYS``: in the last 3, 5 and 10 minutes, the rates' two spans, and quantities.
+    """Comments up to the session's ``now``, each as ``_KEYS`` with what it adds to every sum: the last 3, 5 and 10 minutes, the rates' two spans, and quantities.
 
-    A column the comments have not is null, a null topic ``other``.
+    A column the comments have not is null, a null topic ``other``.  Nothing is grouped
+    here: few comments of a session agree in all keys, so groups would hold as many rows
+    in memory twice over, and every trigger sums by fewer keys anyway.
     """
     minutes = (F.unix_micros("now") - F.unix_micros("ts")) / 60e6
-    rows = comments.join(sessions.select("session_id", "now"), "session_id").where(minutes >= 0)
+    rows = comments.join(_built(sessions.select("session_id", "now")), "session_id").where(minutes >= 0)
     rows = rows.withColumn("topic", F.coalesce("topic", F.lit("other"))).withColumn("inferred", F.coalesce("inferred", F.lit(False)))
-    valid = (F.col("intent") == "order") & ~F.coalesce(F.col("cancelled"), F.lit(False))
-    quantity = F.coalesce(F.nullif("quantity", F.lit(0)), F.lit(1))
-    return rows.groupBy(*_KEYS).agg(
-        *[F.count_if(minutes <= m).alias(f"n{m}") for m in (3, 5, 10)],
-        F.count_if((minutes > 0) & (minutes <= 3)).alias("fresh"),
-        F.count_if((minutes > 3) & (minutes <= 9)).alias("before"),
-        F.coalesce(F.sum(F.when(valid, quantity)), F.lit(0)).alias("ordered"),
-        F.coalesce(F.sum(F.when((F.col("intent") == "order") & (minutes <= 10), quantity)), F.lit(0)).alias("wanted"),
-    )
+    order = F.col("intent") == "order"
+    quantity = F.coalesce(F.nullif("quantity", F.lit(0)), F.lit(1)).cast("long")
+    if_ = lambda what, n=1: F.when(what, n).otherwise(0).cast("long")
+    return rows.select(
+        *_KEYS, *[if_(minutes <= m).alias(f"n{m}") for m in (3, 5, 10)], if_((minutes > 0) & (minutes <= 3)).alias("fresh"), if_((minutes > 3) & (minutes <= 9)).alias("before"),
+        if_(order & ~F.coalesce(F.col("cancelled"), F.lit(False)), quantity).alias("ordered"), if_(order & (minutes <= 10), quantity).alias("wanted"),
+    )
 
 
 def _action(rows: DataFrame, number: int, kind: str, key: Column, severity: str, measure: Column, product: Column | None = None, lost: Column | None = None) -> DataFrame:
@@ -66,7 +69,7 @@ def triggers(comments: DataFrame, sessions: DataFrame, stock: DataFrame, groups:
 
     fits = F.col("s.variant").isNull() | F.coalesce(F.array_contains("variants", F.col("s.variant")), F.lit(False))
     asked = is_("question") & (F.col("topic") == "stock")
-    held = stock.alias("s").join(c.alias("c"), (F.col("s.session_id") == F.col("c.session_id")) & (F.col("s.product_id") == F.col("c.product_id")) & fits)
+    held = c.alias("c").join(_built(stock).alias("s"), (F.col("s.session_id") == F.col("c.session_id")) & (F.col("s.product_id") == F.col("c.product_id")) & fits)
     held = held.groupBy(F.col("s.session_id").alias("session_id"), F.col("s.product_id").alias("product_id"), F.col("s.variant").alias("variant"), F.col("s.initial").alias("initial"), F.col("s.price").alias("price"))
     held = held.agg(F.sum("ordered").alias("ordered"), total(is_("order"), "n10").alias("orders"), total(asked, "n10").alias("asks"), F.sum("wanted").alias("wanted"))
     left, demand = F.col("initial") - F.col("ordered"), F.col("orders") + F.col("asks")
@@ -87,7 +90,7 @@ def triggers(comments: DataFrame, sessions: DataFrame, stock: DataFrame, groups:
     wait = (F.unix_micros("now") - F.unix_micros("oldest")) / 60e6
     out.append(_action(queue.where((F.col("n") >= 10) | ((wait >= 5) & (F.col("people") >= 8))), 5, "backlog", F.lit("queue"), "high", F.col("n")))
 
-    about = c.where(F.col("product_id").isNotNull()).join(sessions.select("session_id", "current_product_id"), "session_id")
+    about = c.where(F.col("product_id").isNotNull()).join(_built(sessions.select("session_id", "current_product_id")), "session_id")
     current = F.col("product_id") == F.col("current_product_id")
     said = F.col("n5") * (~F.col("inferred") & is_("question", "order")).cast("int")
     per = about.groupBy("session_id", "product_id", "current_product_id").agg(
