@@ -1,9 +1,11 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from voicegrain.operators import trust
+from voicegrain.plans.context import items
 
 
 def test_rows_without_an_order_do_not_meet_in_one_task(spark):
@@ -43,3 +45,9 @@ def test_bursts_equal_brute_force_over_bucket_edges_and_odd_rows(spark):
         burst = min(1.0, z / 6 * (0.5 + new)) if z is not None and z > 3 else 0.0
         want[i] = (len(near[i]) if t else None, None if z is None else round(z, 9), round(burst, 9))
     assert got == want and len(got) == len(rows)
+
+
+def test_what_the_order_signal_comes_from_does_not_go_to_the_bursts(spark, sf):
+    plan = items(spark, sf).select("feedback_id", "weight")._jdf.queryExecution().optimizedPlan().toString()
+    timed = [line for line in plan.splitlines() if " AS _s#" in line and "feedback_id#" in line]
+    assert timed and not any(re.search(r"[\[ ](order_delivered_at|order_found|coverage|tier_weight)#\d+L?[,\]]", line) for line in timed)

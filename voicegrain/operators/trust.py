@@ -166,12 +166,12 @@ def weigh(items: DataFrame, orders: DataFrame, now: str, half_life: float = TRUS
     rows of the SPAM band; ``model`` has learnt coefficients.  Spam and rejected rows weigh 0; ``uncertainty`` is highest
     midway.  Scores and weights are rounded to 4 places.
     """
-    rows = items.withColumn("tier", tier()).withColumn("tier_weight", tier_weight(F.col("tier")))
-    rows = with_orders(rows, orders)
+    rows = with_orders(items.withColumn("tier", tier()), orders)
     rows = rows.crossJoin(F.broadcast(order_coverage(rows).select("coverage")))  # one row
-    rows = bursts(rows)
+    # the order's signal is known here, so that what it comes from need not go through the shuffles that follow
+    rows = bursts(rows.withColumn("transaction", transaction_mismatch(F.col("coverage"))))
     rows = rows.join(account_features(items).select("customer_id", F.col("risk").alias("account")), "customer_id", "left")
-    rows = rows.withColumn("star", star_mismatch(F.col("rating"), F.col("sentiment"))).withColumn("transaction", transaction_mismatch(F.col("coverage")))
+    rows = rows.withColumn("star", star_mismatch(F.col("rating"), F.col("sentiment"))).withColumn("tier_weight", tier_weight(F.col("tier")))
     duplicate = F.lit(0.0)
     if duplicates is not None:
         rows, duplicate = rows.join(duplicates.select(key, "duplicate"), key, "left"), F.coalesce("duplicate", F.lit(0.0))
