@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from voicegrain.llm import line_dedup
 
 
@@ -81,3 +83,23 @@ def test_words_of_many_lines_are_dealt_in_blocks(spark, monkeypatch):
     line_dedup._packs(Frame(), count, 1 << 12, 0.8, 4)
     rows_out = sum(sum(b.column(1).to_pylist()) for b in packs)
     assert rows_out > 2 * 150  # words above the block size travel several times
+
+
+def test_a_task_sends_its_lines_packed(spark):
+    rows = [(i, "\n".join(["said by all of them"] * 3 + [f"line a{k} of b{i}" for k in range(20)])) for i in range(200)]
+    base = line_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    survey = line_dedup._survey(base, 1 << 12).where("chunk is null").toArrow()
+    assert survey.num_rows <= 200 + 16  # a row a text with repeats and one a bucket of classes, not one a line
+    gone = {i: sorted(set(lines)) for i, lines in zip(survey.column("i").to_pylist(), survey.column("gone").to_pylist()) if lines}
+    assert gone == {i: [0, 1, 2] if i else [1, 2] for i in range(200)}
+
+
+def test_texts_come_in_small_batches(spark):
+    docs = spark.createDataFrame([(i, str(i % 10) * 100_000) for i in range(120)], "doc_id long, text string").coalesce(1)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    sizes = [r.n for r in line_dedup.keyed(docs).select("text").mapInArrow(run, "n long").collect()]
+    assert max(sizes) < 6 << 20 and sum(sizes) >= 12_000_000

@@ -13,9 +13,10 @@ one row for a later line with a match, never a pair.  They first meet in the few
 rarest of their cells; lines that found no match there are tried in all of them.
 
 Lines of equal sets are one class.  A task sends a class once, and a cell keeps its
-first line, so a line that fills a third of the corpus costs a row a task.  A word
-whose lines overfill a cell is dealt as pairs of blocks.  Rows of the first meeting
-travel packed, one binary for each task and bucket of cells.
+first line, so a line that fills a third of the corpus costs a row a task; what a task
+itself finds to be a repeat goes no further than to its document.  A word whose lines
+overfill a cell is dealt as pairs of blocks.  Rows of the first meeting, and of that of
+the classes, travel packed, one binary for each task and bucket.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ CELLS = 1 << 21
 BLOCK = 4096
 #: In so many of its cells, the rarest first, a line's whole set is tried before all of them are.
 FIRST_CELLS = 2
-#: Buckets of cells for each shuffle partition, and how many packed rows a task holds before it sends them.
-_BUCKETS = 8
-_HELD = 1 << 19
+#: Buckets of cells and of classes for each shuffle partition, and how many packed rows a task holds before it sends them.
+_BUCKETS, _CLASS_BUCKETS = 8, 4
+_HELD, _CLASSES_HELD = 1 << 18, 1 << 17
 _CHUNK = 1 << 12
 _ORDER = ("z", "i", "u", "line")
 
@@ -46,10 +47,13 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     """Begin of each line of the texts, its row and its number within the row (a text has line feeds plus one lines)."""
     feed = np.flatnonzero(data == 10)
     row = np.searchsorted(offsets[1:], feed, side="right")
-    begin = np.concatenate([offsets[:-1], feed + 1])
-    order = np.argsort(np.concatenate([offsets[:-1] * 2, feed * 2 + 1]), kind="stable")  # a row begins before its first feed
-    owner = np.concatenate([np.arange(len(offsets) - 1), row])[order]
-    return begin[order], owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
+    size = 1 + np.bincount(row, minlength=len(offsets) - 1)
+    head = np.cumsum(size) - size  # the first line of each row; that after a feed stands behind as many heads as there are rows up to it
+    begin = np.empty(len(feed) + len(size), np.int64)
+    begin[head] = offsets[:-1]
+    begin[np.arange(len(feed)) + row + 1] = feed + 1
+    owner = np.repeat(np.arange(len(size)), size)
+    return begin, owner, np.arange(len(owner)) - head[owner]
 
 
 class _Sets:
@@ -60,7 +64,7 @@ class _Sets:
         lowered = tv.LOWER[data]
         starts, ends = tv.spans(lowered, offsets)
         self.every = word = tv.hashes(lowered, starts, ends)
-        line = np.searchsorted(begin, starts, side="right") - 1
+        line = np.repeat(np.arange(len(begin)), np.diff(np.append(np.searchsorted(starts, begin), len(starts))))
         order = _by_line(line, word, None if often is None else often[(word & np.uint64(len(often) - 1)).astype(np.int64)])
         line, word = line[order], word[order]
         new = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))[: len(line)]
@@ -100,32 +104,151 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-_SURVEY = "z int, i long, h long, g long, line int, sig long, sig2 long, size int, chunk int, counts binary"
+_SURVEY = "z int, i long, h long, g long, gone array<int>, bucket int, n int, data binary, chunk int, counts binary"
+#: What a packed first line of a class has, and a packed line with a near match.
+_CLASS = {"z": "u1", "i": "<i8", "h": "<i8", "g": "<i8", "line": "<i4", "sig": "<u8", "sig2": "<u8", "size": "<u4"}
+_NEAR = {"z": "u1", "i": "<i8", "u": "<i4", "line": "<i4", "sig": "<u8"}
+_CLASS_PACK = "bucket int, n int, near boolean, data binary"
 
 
-def _survey(base: DataFrame, cells: int) -> DataFrame:
-    """A row for each line that has words, equal sets having equal ``sig``, ``sig2`` and ``size``; and rows of hashed word counts in chunks."""
+def _survey(base: DataFrame, cells: int, buckets: int = 16) -> DataFrame:
+    """Three kinds of rows: texts with the lines in ``gone`` that a task has found to repeat an earlier one; the first
+    lines of the classes that a task has met, packed by buckets of classes; hashed word counts in ``chunk``s."""
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        kinds = {"z": pa.int32(), "gone": pa.list_(pa.int32()), "bucket": pa.int32(), "n": pa.int32(), "data": pa.binary(), "chunk": pa.int32(), "counts": pa.binary()}
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, kinds.get(k, pa.int64()))) for k in _names(_SURVEY)], _names(_SURVEY))
+
+    def send(held: list):
+        c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        first, gone = _classes(c)
+        if gone.any():
+            yield batch(**_by_text({k: c[k][gone] for k in ("z", "i", "h", "g", "line")}))
+        bucket, n, data = _packed({k: c[k][first] for k in _CLASS}, _CLASS, buckets)
+        yield batch(len(n), bucket=bucket, n=n, data=data)
 
     def run(batches):
         count = np.zeros(cells, np.int64)
+        held, n = [], 0
         for b in batches:
+            z, i, h, g = (b.column(k).to_numpy() for k in range(4))
             for lo, hi, data, offsets in tv.pieces(b.column(4)):
                 sets = _Sets(data, offsets)
-                count += np.bincount((sets.every & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-                n = len(sets.at)
-                if n:
-                    rows = pa.array(lo + sets.row)
-                    mine = [pa.array(x) for x in (sets.number, sets.sums(_SIG).view(np.int64), sets.sums(_SIG2).view(np.int64), sets.size.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([b.column(k).take(rows) for k in range(4)] + mine + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _names(_SURVEY))
+                np.add.at(count, (sets.every & np.uint64(cells - 1)).astype(np.int64), 1)
+                if len(sets.at):
+                    row = lo + sets.row
+                    held.append({"z": z[row], "i": i[row], "h": h[row], "g": g[row], "line": sets.number, "sig": sets.sums(_SIG), "sig2": sets.sums(_SIG2), "size": sets.size})
+                    n += len(row)
+                if n >= _CLASSES_HELD:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
         step = min(_CHUNK, cells)
         used = [k for k in range(cells // step) if count[k * step : (k + 1) * step].any()]
         data = [_pressed(count[k * step : (k + 1) * step]) for k in used]
-        none = [pa.nulls(len(used), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
-        yield pa.RecordBatch.from_arrays(none + [pa.array(used, pa.int32()), pa.array(data, pa.binary())], _names(_SURVEY))
+        yield batch(len(used), chunk=pa.array(used, pa.int32()), counts=pa.array(data, pa.binary()))
+        tv.give_back()
 
     return base.select("z", "i", "h", "g", "text").mapInArrow(run, _SURVEY)
 
 
+def _classes(c: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines stand for their class, being the first of it, and which come after another text's or line."""
+    first, gone = np.ones(len(c["sig"]), bool), np.zeros(len(c["sig"]), bool)
+    order = np.argsort(c["sig"])
+    same = c["sig"][order][1:] == c["sig"][order][:-1]
+    order = order[np.append(False, same) | np.append(same, False)[: len(order)]]
+    c = {k: x[order] for k, x in c.items()}
+    by = np.lexsort([c["g"], c["h"], c["line"], c["h"] >> 32, c["i"], c["z"], c["size"], c["sig2"], c["sig"]])
+    if len(by):
+        c, order = {k: x[by] for k, x in c.items()}, order[by]
+        new = np.append(True, np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("sig", "sig2", "size")]))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first[order] = new
+        gone[order] = np.logical_or.reduce([c[k] != c[k][head] for k in ("z", "i", "line", "h", "g")])  # rows equal in id and text are one text
+    return first, gone
+
+
+def _by_text(c: dict) -> dict:
+    """Lines as one row for each of their texts; repeats may stay."""
+    order = np.lexsort([c["g"], c["h"], c["i"], c["z"]])
+    c = {k: x[order] for k, x in c.items()}
+    at = np.flatnonzero(np.append(True, np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("z", "i", "h", "g")])))
+    gone = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(c["line"].astype(np.int32)))
+    return {"rows": len(at), "z": pa.array(c["z"][at].astype(np.int32)), "gone": gone} | {k: pa.array(c[k][at]) for k in ("i", "h", "g")}
+
+
+def _packed(c: dict, kinds: dict, buckets: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Bucket, number and bytes of the rows for each bucket of classes."""
+    bucket = ((c["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    columns = [c[k][order].astype(t) for k, t in kinds.items()]
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+    data = [_pressed(np.frombuffer(b"".join(x[a:z].tobytes() for x in columns), np.uint8)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(data, pa.binary())
+
+
+def _unpacked(parts: list, kinds: dict) -> dict:
+    """The columns that ``_packed`` has packed; ``parts``: number of rows and bytes of each."""
+    c: dict = {k: [np.zeros(0, t)] for k, t in kinds.items()}
+    for n, data in parts:
+        raw, at = _unpressed(data, np.uint8, n * sum(np.dtype(t).itemsize for t in kinds.values())), 0
+        for k, t in kinds.items():
+            c[k].append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {k: np.concatenate(x) for k, x in c.items()}
+
+
+def _mark(c: dict) -> np.ndarray:
+    """A hash of a line's place and class, all of which two lines practically never share."""
+    mark = c["sig"]
+    for k in ("z", "i", "u", "line"):
+        mark = tv.mix(mark ^ c[k].astype(np.int64).view(np.uint64))
+    return mark
+
+
+_GONE = "z int, i long, h long, g long, gone array<int>"
+
+
+def _gone(survey: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
+    """``(z, i, h, g, gone)``: the lines of each text that repeat an earlier one, or are first but have a near match; a text may have several rows."""
+
+    def pack(batches):
+        for b in batches:
+            c = {k: b.column(j).to_numpy() for j, k in enumerate(_NEAR)}
+            bucket, n, data = _packed(c | {"sig": c["sig"].view(np.uint64)}, _NEAR, buckets)
+            yield pa.RecordBatch.from_arrays([bucket, n, pa.array(np.ones(len(n), bool)), data], _names(_CLASS_PACK))
+
+    def resolve(parts: list):
+        c = _unpacked([(n, data) for n, is_near, data in parts if not is_near], _CLASS)
+        near = _unpacked([(n, data) for n, is_near, data in parts if is_near], _NEAR)
+        first, gone = _classes(c)
+        gone |= first & np.isin(_mark(c | {"u": c["h"] >> 32}), _mark(near))
+        if gone.any():
+            out = _by_text({k: c[k][gone] for k in ("z", "i", "h", "g", "line")})
+            yield pa.RecordBatch.from_arrays([out[k] for k in _names(_GONE)], _names(_GONE))
+
+    def run(batches):
+        now, parts = None, []
+        for b in batches:
+            for bucket, n, is_near, data in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if bucket != now and parts:
+                    yield from resolve(parts)
+                    parts = []
+                now = bucket
+                parts.append((n, is_near, data))
+        if parts:
+            yield from resolve(parts)
+        tv.give_back()
+
+    packs = survey.where("bucket is not null").select("bucket", "n", F.lit(False).alias("near"), "data")
+    packs = packs.union(near.select(*_NEAR).mapInArrow(pack, _CLASS_PACK))
+    met = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _GONE)
+    return survey.where("gone is not null").select(*_names(_GONE)).union(met)
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -288,6 +411,8 @@ def _packs(base: DataFrame, count, cells: int, threshold: float, buckets: int) -
                     held, n = [], 0
         if held:
             yield from send(held)
+        del held
+        tv.give_back()
 
     return base.select("z", "i", "h", "text").mapInArrow(run, _PACK)
 
@@ -380,6 +505,8 @@ def _meet(threshold: float):
                 parts.append((n, words, data.as_py()))
         if parts:
             yield met(parts)
+        del parts
+        tv.give_back()
 
     return run
 
@@ -393,7 +520,7 @@ def _whole_sets(base: DataFrame, met: DataFrame) -> DataFrame:
     """Each line of ``met`` with its sorted word hashes and the cells it met others in, rarest first."""
     wanted = met.groupBy("z", "i", "u").agg(F.collect_list(F.struct("line", "sig", "pos", "cell", "later")).alias("lines"))
     u = F.shiftright("h", 32).cast("int").alias("u")
-    both = base.select("z", "i", u, "text").join(wanted, ["z", "i", "u"]).select("z", "i", "u", "text", "lines")
+    both = base.select("z", "i", u, "text").join(wanted.hint("shuffle_hash"), ["z", "i", "u"])  # texts need no sort.select("z", "i", "u", "text", "lines")
 
     def run(batches):
         for b in batches:
@@ -425,6 +552,7 @@ def _whole_sets(base: DataFrame, met: DataFrame) -> DataFrame:
                 binary = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.append(0, np.cumsum(8 * size)).astype(np.int32)), pa.py_buffer(words)])
                 rows = pa.array(lo + owner[at])
                 yield pa.RecordBatch.from_arrays([b.column(k).take(rows) for k in range(3)] + [pa.array(line[at]), pa.array(sig[at]), binary, cells, pa.array(asked)], _names(_SETS))
+        tv.give_back()
 
     return both.mapInArrow(run, _SETS)
 
@@ -480,28 +608,31 @@ def _verify(threshold: float):
                 held, words = {n: x[cut:] for n, x in held.items()}, words[cut:]
         if held is not None and words:
             yield matched(held, words)
+        del held, words
+        tv.give_back()
 
     return run
 
 
 def _matches(sets: DataFrame, threshold: float) -> DataFrame:
-    """The asked lines with an earlier match among the lines that share a cell of their ``cells``."""
+    """The asked lines with an earlier match among the lines that share a cell of their ``cells``; one row for each such cell."""
     dealt = sets.select(*_names(_LINE), "words", "asked", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_verify(threshold), _LINE).distinct()
+    return dealt.mapInArrow(_verify(threshold), _LINE)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------------------
 
 
-def later_matches(base: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """The lines of ``base (z, i, h, g, text)`` and, of the first lines of each class, those with an earlier match.
+def removed(base: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS) -> DataFrame:
+    """``(z, i, h, g, gone)``: the lines of each text of ``base (z, i, h, g, text)`` that an earlier line matches; a text may have several rows.
 
     Lines are ordered by id (null last), the high half of the text's hash, and position.
     """
     spark = base.sparkSession
-    survey = written(_survey(base, cells), "lines")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    survey = written(_survey(base, cells, _CLASS_BUCKETS * partitions), "lines")
     count = spark.sparkContext.broadcast(rarity(survey.where("chunk is not null").select("chunk", "counts"), cells))
-    buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _BUCKETS * partitions
     packs = _packs(base, count, cells, threshold, buckets)
     met = written(packs.repartition("bucket").sortWithinPartitions("bucket").select(*_names(_PACK)).mapInArrow(_meet(threshold), _MET), "met")
     release(spark)
@@ -522,7 +653,8 @@ def later_matches(base: DataFrame, threshold: float = THRESHOLD, cells: int = CE
         release(spark)
     drop_written(sets)
     drop_written(again)
-    return survey.where("chunk is null"), near
+    count.destroy()
+    return _gone(survey, near, _CLASS_BUCKETS * partitions)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -542,17 +674,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELL
     its memory grows with the length of a line, not with the corpus.
     """
     base = keyed(docs, id_col, text_col, keep)
-    lines, near = later_matches(base, threshold, cells)
-    u = F.shiftright("h", 32).cast("int")
-    lines = lines.select("z", "i", "h", "g", u.alias("u"), "line", "sig", "sig2", "size")
-    first = lines.groupBy("sig", "sig2", "size").agg(F.min(F.struct("z", "i", "u", "line", "h", "g")).alias("f"))
-    named = [F.col(f"f.{k}") for k in ("z", "i", "u", "line")]
-    hit = near.distinct().select(*[F.col(k).alias(f"n{k}") for k in _names(_LINE)])
-    same = [F.col(f"n{k}") == c for k, c in zip(("z", "i", "u", "line"), named)]
-    first = first.join(hit, [F.col("nsig") == F.col("sig"), *same], "left").select("sig", "sig2", "size", "f", F.col("nsig").isNotNull().alias("near"))
-    is_first = F.col("f") == F.struct("z", "i", "u", "line", "h", "g")
-    gone = lines.join(first, ["sig", "sig2", "size"]).where(F.col("near") | ~is_first).groupBy("z", "i", "h", "g").agg(F.collect_set("line").alias("gone"))
-    found = base.join(gone, ["z", "i", "h", "g"], "left").select("z", "i", F.split("text", "\n").alias("lines"), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), *["_rest"] * bool(keep))
+    gone = removed(base, threshold, cells).groupBy("z", "i", "h", "g").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    found = base.join(gone.hint("shuffle_hash"), ["z", "i", "h", "g"], "left").select("z", "i", F.split("text", "\n").alias("lines"), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), *["_rest"] * bool(keep))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
     return found.select(
