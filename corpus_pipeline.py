@@ -61,7 +61,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row per row; a null text counts as empty and has no ids.
     """
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    coded = sentencepiece_codec.encode_and_decode(docs)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 

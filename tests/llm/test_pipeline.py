@@ -61,3 +61,8 @@ def test_odd_rows_and_clashing_columns(spark, sf):
     assert fair.columns == COLUMNS and fair.count() == 9
     last = steps["sentencepiece"](spark, docs, sf).collect()
     assert len(last) == 9 and all(r.round_trip for r in last)
+
+
+def test_tokenizing_takes_one_python_worker_a_task(spark, sf):
+    plan = corpus_pipeline.tokenize(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

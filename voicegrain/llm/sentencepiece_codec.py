@@ -235,7 +235,27 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
+    return documents(docs, id_col, text_col).mapInArrow(_encoding(model), _ENCODED)
 
+
+def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
+    """Adds ``decoded``, the text of ``ids``, and ``ids_sha256``, the digest of the ids as little-endian 32-bit numbers."""
+    model = coded.sparkSession.sparkContext.broadcast(load(path))
+    return coded.select("doc_id", "text", "ids").mapInArrow(_decoding(model), _DECODED)
+
+
+def encode_and_decode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker a task, so that texts and ids go to and fro once."""
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
+    to_ids, to_text = _encoding(model), _decoding(model)
+    return documents(docs, id_col, text_col).mapInArrow(lambda batches: to_text(to_ids(batches)), _DECODED)
+
+
+_ENCODED = "doc_id long, text string, ids array<int>"
+_DECODED = f"{_ENCODED}, decoded string, ids_sha256 string"
+
+
+def _encoding(model):
     def run(batches):
         encoder = Encoder(model.value)
         for b in batches:
@@ -243,14 +263,13 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
                 ids, sizes = encoder(b.column(1)[lo:hi].to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["doc_id", "text", "ids"])
+        del encoder
+        tv.give_back()
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
-
+    return run
 
-def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``, and ``ids_sha256``, the digest of the ids as little-endian 32-bit numbers."""
-    model = coded.sparkSession.sparkContext.broadcast(load(path))
 
+def _decoding(model):
     def run(batches):
         for b in batches:
             for lo in range(0, len(b), 1000):
@@ -260,7 +279,7 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
                 text = decode_texts(model.value, flat[offsets[0] : offsets[-1]], np.diff(offsets))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string()), pa.array(digest, pa.string())], ["doc_id", "text", "ids", "decoded", "ids_sha256"])
 
-    return coded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string, ids_sha256 string")
+    return run
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -268,7 +287,7 @@ def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     round_trip is false only for texts that hold the blank mark U+2581 itself.
     """
-    back = decode(encode(docs, path), path)
+    back = encode_and_decode(docs, path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
