@@ -90,3 +90,13 @@ def test_query_backs_off(spark, sf):
     got = sorted(((r.doc_id, r.n_words, r.n_backed_off, r.log_score) for r in queries()["op1_lm_scoring"](spark, sf).collect()), key=str)
     same(got, brute(rows, least=1, out_of_own=True))
     assert sum(r[2] for r in got) > 0 and any(r[2] < r[1] for r in got)
+
+
+def test_pairs_are_counted_packed_and_rare_ones_are_no_rows(spark):
+    rows = [(i, f"a b c{i} d{i}") for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = lm_scoring.pair_counts(docs, least=2)
+    assert sorted(r.n for r in counts.collect()) == [300, 300]  # the start mark and a, a and b
+    assert lm_scoring.pair_counts(docs).count() == 2 + 2 * 300
+    assert lm_scoring.pair_counts(docs.limit(0)).count() == 0
+    assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()

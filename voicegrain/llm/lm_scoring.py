@@ -17,7 +17,8 @@ holds it and its two words, and the counts less these stand in the formula.
 
 Each text first gets the score it would have if every pair of it backed off, which
 takes only its words; a pair that does not then adds the difference.  The table of
-pairs leaves out those that are too rare for any row.
+pairs leaves out those that are too rare for any row; as most are, pairs are counted
+packed, in buckets, and become rows only when they are known to be frequent.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 #: The pairs of all documents are joined with their counts in so many turns, by hash, so that their shuffles do not stand on disk together.
 SLICES = 3
+#: Buckets of packed pairs for each shuffle partition, and how many pairs a task holds before it sends them.
+_BUCKETS = 8
+_HELD = 1 << 20
 #: Stand in place of word hashes.
 START, UNKNOWN = 0, 1
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -75,28 +79,73 @@ def word_counts(docs: DataFrame, known=None) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
 
 
-def pair_counts(docs: DataFrame, known=None) -> DataFrame:
-    """``(v, w, n)``: the hashes of the two words of each pair and its count."""
+def pair_counts(docs: DataFrame, known=None, least: int = 1) -> DataFrame:
+    """``(v, w, gram, n)``: the hashes of the two words of each pair and of the pair, and its count, of pairs that occur at least ``least`` times.
 
-    def run(batches):
+    Most pairs are rare.  A task counts its pairs and sends them packed, one binary for
+    each bucket of pairs, and only pairs that reach ``least`` become rows.
+    """
+    buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(held: list):
+        v, w = (np.concatenate(x) for x in zip(*held))
+        v, w, n, gram = _counted(v, w, np.ones(len(v), np.int64))
+        bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascends with gram
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        n = n.astype(np.int32)  # a task's texts hold fewer
+        data = [b"".join(x[a:z].tobytes() for x in (v, w, n)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    def pack(batches):
+        held, size = [], 0
         for b in batches:
             for _, _, word, before, _ in _lines_of(b, known):
-                _, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first], word[first], n)], ["v", "w", "n"])
-
-    counted = documents(docs).mapInArrow(run, "v long, w long, n long")
-    return counted.groupBy("v", "w").agg(F.sum("n").alias("n"))
-
-
-def _named(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the hash of a pair in place of those of its words."""
-
-    def run(batches):
+                if len(word):
+                    held.append((before, word))
+                    size += len(word)
+                if size >= _HELD:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
+        del held
+        tv.give_back()
+
+    def total(parts: list) -> pa.RecordBatch:
+        v, w, n = [], [], []
+        for data in parts:
+            rows = len(data) // 20
+            v.append(np.frombuffer(data, np.int64, rows)), w.append(np.frombuffer(data, np.int64, rows, 8 * rows)), n.append(np.frombuffer(data, np.int32, rows, 16 * rows))
+        v, w, n, gram = _counted(*(np.concatenate(x) for x in (v, w, n)))
+        often = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (v, w, gram.view(np.int64), n)], ["v", "w", "gram", "n"])
+
+    def add(batches):
+        now, parts = None, []
         for b in batches:
-            v, w = (b.column(c).to_numpy() for c in ("v", "w"))
-            yield pa.RecordBatch.from_arrays([pa.array(_pairs(v, w)), *[b.column(c) for c in ("n", "c_v", "c_w")]], ["gram", "n", "c_v", "c_w"])
-
-    return pairs.mapInArrow(run, "gram long, n long, c_v long, c_w long")
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != now and parts:
+                    yield total(parts)
+                    parts = []
+                now = bucket
+                parts.append(data)
+        if parts:
+            yield total(parts)
+        del parts
+        tv.give_back()
+
+    packs = documents(docs).mapInArrow(pack, "bucket int, data binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "v long, w long, gram long, n long")
+
+
+def _counted(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in the order of their hash, their summed counts, and the hash."""
+    gram = _pairs(v, w).view(np.uint64)
+    order = np.argsort(gram)
+    gram = gram[order]
+    at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    first = order[at]
+    return v[first], w[first], np.add.reduceat(n[order].astype(np.int64), at), gram[at]
 
 
 def _built(counts: DataFrame) -> DataFrame:
@@ -179,11 +228,12 @@ def scores(docs: DataFrame, vocabulary: float = VOCABULARY, backoff: float = BAC
     counts = written(word_counts(docs, known), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     words = counts.where("n > 0").select("gram", F.col("n").alias("c_w"))
-    pairs = pair_counts(docs, known).where(F.col("n") >= max(min_count, 1) + int(leave_own_out))
+    pairs = pair_counts(docs, known, max(min_count, 1) + int(leave_own_out))
     before = counts.where("followed > 0").select(F.col("gram").alias("v"), F.col("followed").alias("c_v"))
     frequent = written(pairs, "pair-counts")  # the shuffle of all pairs ends before those of the joins begin
     release(docs.sparkSession)
-    seen = written(_named(frequent.join(_built(before), "v").join(_built(words.withColumnRenamed("gram", "w")), "w")), "pairs")
+    seen = frequent.join(_built(before), "v").join(_built(words.withColumnRenamed("gram", "w")), "w")
+    seen = written(seen.select("gram", "n", "c_v", "c_w"), "pairs")
     drop_written(frequent)
     release(docs.sparkSession)
     part = _exploded(docs, "word", known).join(_built(words), "gram").select("doc_id", "key", "times", (F.col("times") * ln(rest("times"))).alias("log"))
