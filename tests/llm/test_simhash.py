@@ -182,3 +182,14 @@ def test_edges_of_a_cell_of_copies_grow_with_its_rows():
     pairs = simhash_dedup._near([], fp, np.full(500, 9), np.array([0]), 54, 0.8)
     take, label = simhash_dedup._connecting(*pairs, 500)
     assert len(pairs[0]) > 50_000 and len(take) < 520 and not label.any()
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Seventy rows of each fingerprint (or one a grid) are sized like the fingerprints; broadcast, they filled the driver."""
+    rng = np.random.default_rng(3)
+    fps = spark.createDataFrame([(int(x),) for x in rng.integers(-(1 << 62), 1 << 62, 300)], "fp long")
+    classes = fps.selectExpr("fp as id", "5L as n", *[f"xxhash64(fp, {k}) as w{k}" for k in range(simhash_dedup.WORDS)])
+    for frame in (simhash_dedup.links(fps), simhash_dedup.similar_pairs(classes)):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -179,7 +179,7 @@ def links(fps: DataFrame, max_bits: int = 4, groups: int = GROUPS, block: int =
     many = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), many).cast("int")
     met = (
-        dealt.join(shared, ["grid", "cell"])
+        dealt.join(shared.hint("merge"), ["grid", "cell"])  # Spark sizes the exploded rows like the few before, and would broadcast them
         .select("grid", "cell", "fp", mine.alias("i"), F.explode(F.sequence(F.lit(0), many - 1)).alias("j"))
         .select("grid", "cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp")
         .repartition("grid", "cell", "lo", "hi")
@@ -408,7 +408,7 @@ def similar_pairs(classes: DataFrame, max_bits: int = SIMILAR_BITS, similarity:
     shared = dealt.groupBy("cell").agg(F.count("*").alias("_m")).where("_m > 1")
     many = F.ceil(F.col("_m") / block).cast("int")
     met = (
-        dealt.join(shared, "cell")
+        dealt.join(shared.hint("merge"), "cell")  # neither side is broadcast, as in ``links``
         .select("cell", "id", "n", *_WIDE, F.pmod(F.xxhash64("id"), many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), many - 1)).alias("j"))
         .select("cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "n", *_WIDE)
         .repartition("cell", "lo", "hi")
