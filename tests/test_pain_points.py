@@ -130,3 +130,20 @@ def test_nulls_and_empty_tables(spark):
         points, members = pains.pain_points(items, "2024-02-01", "id")
         assert points.count() == 0 and members.count() == 0
         assert pains.group_status(items, members, "id").count() == (1 if given else 0)
+
+
+def test_counts_equal_those_of_spelled_phrases_in_rows(spark):
+    rows = [r[:1] + (r[1] if k % 4 else _fold(r[1]) + (", màn hình sọc" if k % 8 else ""),) + r[2:] for k, r in enumerate(_rows(3, 240))]
+    items = _frame(spark, rows)
+    counts, _ = pains.phrase_counts(pains.phrases_said(items, "id", normalised=False))
+    live = {r[0]: (r[2], r[4] == "Negative") for r in rows if r[5] > 0}
+    want = defaultdict(lambda: [0, 0])
+    for i, p in pains.phrases_of(items, "id", normalised=False).collect():
+        want[p, live[i][0]][0] += 1
+        want[p, live[i][0]][1] += live[i][1]
+    bad = defaultdict(int)
+    for (p, _), (_, y) in want.items():
+        bad[_fold(p)] += y
+    want = {k: tuple(v) for k, v in want.items() if bad[_fold(k[0])] >= PAIN.customers}
+    got = {(r.phrase, r.group_key): (r.df, r.y) for r in counts.collect()}
+    assert want and {k: got.get(k) for k in want} == want

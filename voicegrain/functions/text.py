@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType
 #: Bytes of text that are Python strings at once.
 AT_ONCE = 1 << 20
 _PLAIN = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻẽẹêếềểễệ", "i": "íìỉĩị", "o": "óòỏõọôốồổỗộơớờởỡợ", "u": "úùủũụưứừửữự", "y": "ýỳỷỹỵ", "d": "đ"}
+#: What ``fold`` puts for each letter, for ``str.translate`` of lower-cased text.
+FOLDED = {ord(c): k for k, v in _PLAIN.items() for c in v}
 #: Order matters: a later pattern sees the text with the earlier ones already masked.  Each pattern needs a digit or an @.
 PII = [
     # What counts as a phone number, an address, an order number, an identity card and an account.

@@ -33,6 +33,10 @@ _WORD_END = r"[^\p{L}\p{N}]+"
 _STOP = phrases.EDGE + phrases.DULL
 
 
+def _group() -> list[Column]:
+    return [F.coalesce("group_key", F.lit("")).alias("group_key"), F.coalesce(negative(), F.lit(False)).alias("negative")]
+
+
 def facts(items: DataFrame, key: str = "feedback_id") -> DataFrame:
     """What phrases are counted by, for each row of weight: group, complaint or not, customer, day, label.
 
@@ -42,8 +46,7 @@ def facts(items: DataFrame, key: str = "feedback_id") -> DataFrame:
     blank = F.coalesce(F.col("category"), F.lit("Other")) == "Other"
     return items.where("weight > 0").select(
         key,
-        F.coalesce("group_key", F.lit("")).alias("group_key"),
-        F.coalesce(negative(), F.lit(False)).alias("negative"),
+        *_group(),
         F.coalesce(F.col("customer_id").cast("string"), F.col("author"), F.col(key).cast("string")).alias("customer"),
         "product_name", "ts", "weight", "tier",
         F.to_date("ts").alias("day"),
@@ -61,21 +64,47 @@ def phrases_of(items: DataFrame, key: str = "feedback_id", text: str = "text", n
     return phrases.spelled_rows(phrases.phrase_rows(rows, key, "text"), key)
 
 
-def phrase_tests(grams: DataFrame, rows: DataFrame, key: str = "feedback_id", c=PAIN) -> DataFrame:
+def phrases_said(items: DataFrame, key: str = "feedback_id", text: str = "text", normalised: bool = True, c=PAIN) -> DataFrame:
+    """``(key, group_key, negative, first, phrases)`` of the rows of weight: the phrases of the normalised text, as in ``phrases.said``.
+
+    A phrase that stands out is in ``c.customers`` complaints, so classes that fewer hold may be left out.
+    """
+    rows = items.where("weight > 0").select(key, *_group(), F.col(text).alias("text"))
+    if normalised:
+        rows = normalize.normalized(rows, "text").drop("text").withColumnRenamed("normalized", "text")
+        rows = kept(rows, "plain-texts")  # read several times, dear to compute
+    return phrases.said(phrases.each_key_once(rows, key, "text"), "text", F.col("negative"), c.customers)
+
+
+def phrase_counts(said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(phrase, group_key, df, y)``, unaccented phrases under their accented spelling, and the spellings ``(phrase, spelled)``."""
+    bad = F.col("negative")
+    raw = phrases.counted(said, "group_key", n=F.count_if("first"), df=F.count("*"), y=F.count_if(bad), df_both=F.count_if("both"), y_both=F.count_if(bad & F.col("both")))
+    raw = kept(phrases.with_spelled(raw), "phrase-counts")
+    # a row with both spellings counts once
+    whole = lambda x: F.col(x) - F.when(F.col("phrase") == F.col("spelled"), F.col(f"{x}_both")).otherwise(0)
+    put = F.when(F.col("phrase") == F.col("plain"), F.coalesce("spelled", "phrase")).otherwise(F.col("phrase"))
+    counts = raw.select(put.alias("phrase"), "group_key", whole("df").alias("df"), whole("y").alias("y")).repartition("phrase")
+    known = raw.where("phrase = plain and spelled is not null").select("phrase", "spelled").distinct()
+    return counts.groupBy("phrase", "group_key").agg(F.sum("df").alias("df"), F.sum("y").alias("y")), known
+
+
+def phrase_tests(counts: DataFrame, rows: DataFrame, c=PAIN) -> DataFrame:
     """``(scope, group_key, phrase, y, n1, spread, z, z_same, z_other, lift)`` of the phrases that stand out.
 
-    y of n1 complaints hold the phrase, complaints of ``spread`` groups (of those with
-    enough complaints) hold it.  A background of fewer than ``c.background`` rows is not
-    tested.  Phrases of a product's name only are left out.
+    ``counts`` are those of ``phrase_counts``, ``rows`` those of ``facts``.  y of n1
+    complaints hold the phrase, complaints of ``spread`` groups (of those with enough
+    complaints) hold it.  A background of fewer than ``c.background`` rows is not tested.
+    Phrases of a product's name only are left out.
     """
-    groups = rows.groupBy("group_key").agg(F.count("*").alias("n"), F.count_if("negative").alias("n1"))
+    groups = kept(rows.groupBy("group_key").agg(F.count("*").alias("n"), F.count_if("negative").alias("n1")), "groups")  # a file, so Spark knows its size
     whole = groups.agg(F.sum("n"), F.sum("n1"), F.count_if(F.col("n1") >= c.negatives)).first()
     n_all, n_neg, big = whole[0] or 0, whole[1] or 0, whole[2]
     common = -(-big * c.spread // 1) if big >= c.groups else float("inf")
-    counts = grams.join(rows.select(key, "group_key", "negative"), key).groupBy("phrase", "group_key").agg(F.count("*").alias("df"), F.count_if("negative").alias("y"))
     in_big = F.when((F.col("n1") >= c.negatives) & (F.col("y") > 0), 1).otherwise(0)
     over = Window.partitionBy("phrase")
     known = counts.join(groups, "group_key").withColumns({"spread": F.sum(in_big).over(over), "df_all": F.sum("df").over(over), "y_all": F.sum("y").over(over)})
+    known = kept(known.where(F.col("y_all") >= c.customers), "phrase-groups")  # in fewer complaints none stands out
 
     y, n1 = F.col("y"), F.col("n1")
 
@@ -112,12 +141,15 @@ def _not_names(tests: DataFrame, rows: DataFrame) -> DataFrame:
     return tests.join(own, ["group_key", "phrase"], "left_anti")
 
 
-def holders(tests: DataFrame, grams: DataFrame, rows: DataFrame, key: str = "feedback_id") -> DataFrame:
-    """``(scope, group_key, phrase, key)``: the complaints that hold each phrase of ``tests``."""
-    held = grams.join(rows.where("negative").select(key, "group_key"), key)
-    own = held.join(tests.where("scope = 'group'").select(*WHO, "phrase"), ["group_key", "phrase"])
-    shop = held.drop("group_key").join(tests.where("scope = 'shop'").select(*WHO, "phrase"), "phrase")
-    return own.select(*WHO, "phrase", key).union(shop.select(*WHO, "phrase", key))
+def holders(tests: DataFrame, said: DataFrame, known: DataFrame, key: str = "feedback_id") -> DataFrame:
+    """``(scope, group_key, phrase, key)``: the complaints that hold each phrase of ``tests``, in either spelling."""
+    named = tests.select(*WHO, "phrase")
+    plain = named.join(known.select(F.col("spelled").alias("phrase"), F.col("phrase").alias("raw")), "phrase").select(*WHO, "phrase", "raw")
+    wanted = kept(named.withColumn("raw", F.col("phrase")).union(plain), "phrases-wanted")  # a file, so Spark knows its size
+    held = said.where("negative").select(key, "group_key", F.explode("phrases.phrase").alias("raw"))
+    own = held.join(wanted.where("scope = 'group'"), ["group_key", "raw"])
+    shop = held.drop("group_key").join(wanted.where("scope = 'shop'"), "raw")
+    return own.select(*WHO, "phrase", key).union(shop.select(*WHO, "phrase", key)).distinct()
 
 
 def ranked(tests: DataFrame, held: DataFrame, rows: DataFrame, key: str = "feedback_id", c=PAIN) -> DataFrame:
@@ -195,9 +227,11 @@ def pain_points(items: DataFrame, now: str, key: str = "feedback_id", text: str
     phrase is the longest of those with 70 % of the rows of the widest.  Causes of equal
     count: the smaller name.  No complaints, or an empty table: no rows.
     """
-    rows, grams = facts(items, key), phrases_of(items, key, text, normalised)
-    tests = kept(phrase_tests(grams, rows, key, c), "phrase-tests")
-    held = kept(holders(tests, grams, rows, key), "phrase-rows")
+    rows = facts(items, key)
+    said = kept(phrases_said(items, key, text, normalised, c), "phrases-said")
+    counts, known = phrase_counts(said)
+    tests = kept(phrase_tests(counts, rows, c), "phrase-tests")
+    held = kept(holders(tests, said, known, key), "phrase-rows")
     candidates = kept(ranked(tests, held, rows, key, c), "phrase-ranks")
     seeds = merged(candidates, held, key, c).where("seed is not null")
     said = candidates.join(seeds, [*WHO, "rank"])

@@ -54,7 +54,8 @@ SELECT scope, group_key, phrase, y::BIGINT AS y, n1::BIGINT AS n1, spread::BIGIN
 def cmp_08_phrase_tests(spark, sf_dir):
     """The phrases that stand out in the complaints of a group, or of the shop."""
     items = _complaints(spark, sf_dir)
-    found = pains.phrase_tests(pains.phrases_of(items, "doc_id", normalised=False), pains.facts(items, "doc_id"), "doc_id")
+    counts, _ = pains.phrase_counts(pains.phrases_said(items, "doc_id", normalised=False))
+    found = pains.phrase_tests(counts, pains.facts(items, "doc_id"))
     return found.select("scope", "group_key", "phrase", "y", "n1", "spread", *[F.round(c, 6).alias(c) for c in ("z", "z_same", "z_other", "lift")])
 
 

@@ -43,7 +43,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written once to the shared folder and read back: later readers do not compute them again, and a lost executor costs no step before."""
     path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+    conf, tidy = rows.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(tidy, "false")
+    conf.set(tidy, "true")  # the shuffle files of this write go when it ends
+    try:
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(tidy, before)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
