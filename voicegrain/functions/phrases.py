@@ -9,6 +9,8 @@ are made into texts.  A false hit only lets a phrase through that the exact coun
 from __future__ import annotations
 
 import math
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,38 +100,34 @@ def spelled_rows(phrase_rows: DataFrame, key: str) -> DataFrame:
     return met.where("spelled is null").select(key, "phrase").union(put)
 
 
-class _Text:
+class _Text(dict):
     """Words by number: whether they begin, end or make up phrases, and the hash of their folded form."""
 
-    BEGINS, ENDS, DULL, BREAK = 1, 2, 4, 8
+    BEGINS, ENDS, DULL, BREAK, MARKED = 1, 2, 4, 8, 16
 
     def __init__(self):
         self.edge, self.edge_marked, self.may = set(EDGE), set(EDGE_MARKED), set(MAY_BEGIN)
         self.dull, self.dull_marked = self.edge | set(DULL), self.edge_marked | set(DULL_MARKED)
-        self.known: dict[str, tuple[int, int, bool]] = {}
+        self.hashes, self.flags = array("Q"), array("B")
 
-    def _word(self, w: str) -> tuple[int, int, bool]:
+    def __missing__(self, w: str) -> int:
         plain = w.translate(FOLDED)
         edge = w in (self.edge if w == plain else self.edge_marked)
         live = w != _END and not (w.isascii() and w.isdigit())
-        flags = self.BEGINS * (live and (not edge or w in self.may)) + self.ENDS * (live and not edge) + self.DULL * (w in (self.dull if w == plain else self.dull_marked)) + self.BREAK * (w == _END)
-        return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), flags, w != plain
+        self.flags.append(self.BEGINS * (live and (not edge or w in self.may)) + self.ENDS * (live and not edge) + self.DULL * (w in (self.dull if w == plain else self.dull_marked)) + self.BREAK * (w == _END) + self.MARKED * (w != plain))
+        self.hashes.append(xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")))
+        self[w] = len(self.hashes) - 1
+        return self[w]
 
     def runs(self, texts: list[list[str]]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For two to four words ``(words, row, place, hash of the class, marked)`` of every phrase; places are over all texts."""
-        known = self.known
-        if len(known) > 1 << 19:
-            known.clear()
-        found = []
-        for words in texts:
-            for w in words:
-                if (x := known.get(w)) is None:
-                    x = known[w] = self._word(w)
-                found.append(x)
+        if len(self) > 1 << 19:
+            self.clear()
+            self.hashes, self.flags = array("Q"), array("B")
+        found = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        hashes = np.fromiter((x[0] for x in found), np.uint64, len(found))
-        flags, marks = np.fromiter((x[1] for x in found), np.uint8, len(found)), np.fromiter((x[2] for x in found), bool, len(found))
-        begins, ends, dull, stops = (flags & b > 0 for b in (self.BEGINS, self.ENDS, self.DULL, self.BREAK))
+        hashes, flags = np.array(self.hashes, np.uint64)[found], np.array(self.flags, np.uint8)[found]
+        begins, ends, dull, stops, marks = (flags & b > 0 for b in (self.BEGINS, self.ENDS, self.DULL, self.BREAK, self.MARKED))
         out = []
         for n in range(2, 5):
             size = max(len(found) - n + 1, 0)
@@ -152,7 +150,7 @@ def _chunks(batch: pa.RecordBatch):
     """``(numbers of rows, their words)``, some thousand words at a time."""
     rows, texts, size = [], [], 0
     for k, text in enumerate(batch.column(batch.num_columns - 1)):
-        words = [w for w in (text.as_py() or "").split(" ") if w]
+        words = (text.as_py() or "").split()
         rows.append(k), texts.append(words)
         size += len(words)
         if size >= _AT_ONCE:
@@ -244,14 +242,14 @@ def _texts(bits, places: int, schema: pa.Schema):
         for batch in batches:
             found: list[list] = [[] for _ in range(batch.num_rows)]
             for rows, texts in _chunks(batch):
-                words, sets = [w for t in texts for w in t], [set() for _ in rows]
-                for n, row, at, hashes, _ in text.runs(texts):
+                words, sets = list(chain.from_iterable(texts)), [{} for _ in rows]
+                for n, row, at, hashes, marked in text.runs(texts):
                     place = hashes >> np.uint64(64 - places)
                     live = np.flatnonzero(filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                    for r, i in zip(row[live].tolist(), at[live].tolist()):
-                        sets[r].add(" ".join(words[i : i + n]))
+                    for r, i, m in zip(row[live].tolist(), at[live].tolist(), marked[live].tolist()):
+                        sets[r][" ".join(words[i : i + n])] = m
                 for k, own in zip(rows, sets):
-                    found[k] = [(p, (q := p.translate(FOLDED)) != p and q in own) for p in own]
+                    found[k] = [(p, m and p.translate(FOLDED) in own) for p, m in own.items()]
             flat = [x for f in found for x in f]
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
             made = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.bool_())], fields=list(both))

@@ -51,7 +51,9 @@ def str_20_spellings(spark, sf_dir):
     """Documents of even ids count as typed without accents."""
     docs = table(spark, sf_dir, "documents")
     typed = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, text.fold(F.col("text"))).otherwise(F.col("text")))
-    return phrases.spellings(phrases.phrase_rows(typed, "doc_id", "text"))
+    rows = phrases.each_key_once(typed.select("doc_id", "text"), "doc_id", "text").where("first").select("text")
+    counts = phrases.counted(phrases.said(rows, "text"), n=F.count("*"))
+    return phrases.with_spelled(counts).where("phrase = plain and spelled is not null").select("phrase", "spelled")
 
 
 _RAW = "CASE event_id % 5 WHEN 0 THEN 'Delivery' WHEN 1 THEN 'Refund' WHEN 2 THEN 'other' WHEN 3 THEN 'Weather' ELSE 'Payment' END"
