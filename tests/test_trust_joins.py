@@ -51,3 +51,14 @@ def test_what_the_order_signal_comes_from_does_not_go_to_the_bursts(spark, sf):
     plan = items(spark, sf).select("feedback_id", "weight")._jdf.queryExecution().optimizedPlan().toString()
     timed = [line for line in plan.splitlines() if " AS _s#" in line and "feedback_id#" in line]
     assert timed and not any(re.search(r"[\[ ](order_delivered_at|order_found|coverage|tier_weight)#\d+L?[,\]]", line) for line in timed)
+
+
+def test_segments_take_no_long_ids_through_the_trust_layer(spark, sf):
+    from voicegrain.operators import metrics
+    from voicegrain.queries import QUERIES
+
+    found = QUERIES["agg_20_segments"](spark, sf)
+    assert "feedback_id#" not in found._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    rows = spark.createDataFrame([(1, None, "Positive"), (1, None, "Neutral"), (None, "f3", "Positive"), (None, "f4", "Negative")], "customer_id int, unnamed string, sentiment string")
+    rows = rows.selectExpr("*", "1.0D as weight", "timestamp'2024-01-01' as ts", "'ACCEPTED' as band")
+    assert {r.customer: r.segment for r in metrics.segments(rows, "unnamed").collect()} == {"1": "promoter", "f3": "one_time", "f4": "at_risk"}

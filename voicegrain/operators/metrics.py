@@ -135,9 +135,12 @@ def cross_filter(rows: DataFrame, selection: dict, dimension: str | None = None)
     return rows
 
 
-def segments(items: DataFrame) -> DataFrame:
-    """Customers by behaviour: any negative is at risk, fewer than two rows one-time, mostly positive a promoter, else passive."""
-    person = items.groupBy(F.coalesce(F.col("customer_id").cast("string"), "feedback_id").alias("customer")).agg(
+def segments(items: DataFrame, unnamed: str = "feedback_id") -> DataFrame:
+    """Customers by behaviour: any negative is at risk, fewer than two rows one-time, mostly positive a promoter, else passive.
+
+    A row without a customer is one of its own, named by ``unnamed``.
+    """
+    person = items.groupBy(F.coalesce(F.col("customer_id").cast("string"), unnamed).alias("customer")).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")], two_places(F.sum(weight())).alias("weight"), F.max("ts").alias("latest")
     )
     kind = F.when(F.col("Negative") > 0, "at_risk").when(F.col("n") < 2, "one_time").when(F.col("Positive") >= F.col("Neutral"), "promoter").otherwise("passive")

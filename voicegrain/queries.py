@@ -225,7 +225,8 @@ def agg_17_heatmap(spark, sf_dir):
   CAST(round(sum(CAST(weight AS DECIMAL(18, 4))), 2) AS DOUBLE) AS weight, max(ts) AS latest, CASE WHEN count(*) FILTER (bad) > 0 THEN 'at_risk' WHEN count(*) < 2 THEN 'one_time' WHEN count(*) FILTER (sentiment = 'Positive') >= count(*) FILTER (sentiment = 'Neutral') THEN 'promoter' ELSE 'passive' END AS segment
   FROM items GROUP BY 1""")
 def agg_20_segments(spark, sf_dir):
-    return metrics.segments(items(spark, sf_dir))
+    unnamed = F.when(F.col("customer_id").isNull(), F.col("feedback_id"))  # only these rows take their id through the shuffles
+    return metrics.segments(items(spark, sf_dir, prepare=lambda rows: rows.withColumn("unnamed", unnamed)), "unnamed")
 
 
 @query(_ITEMS + """, p AS (SELECT product_name, count(*) AS n, count(*) FILTER (bad) AS negatives, round(coalesce(sum(weight) FILTER (bad), 0) / sum(weight), 6) AS weighted_share, round(avg(rating), 6) AS stars FROM ok GROUP BY product_name HAVING count(*) >= 20),
