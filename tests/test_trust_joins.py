@@ -62,3 +62,15 @@ def test_segments_take_no_long_ids_through_the_trust_layer(spark, sf):
     rows = spark.createDataFrame([(1, None, "Positive"), (1, None, "Neutral"), (None, "f3", "Positive"), (None, "f4", "Negative")], "customer_id int, unnamed string, sentiment string")
     rows = rows.selectExpr("*", "1.0D as weight", "timestamp'2024-01-01' as ts", "'ACCEPTED' as band")
     assert {r.customer: r.segment for r in metrics.segments(rows, "unnamed").collect()} == {"1": "promoter", "f3": "one_time", "f4": "at_risk"}
+
+
+def test_review_labels_meet_rows_before_the_trust_layer(spark, sf):
+    from voicegrain.operators import records
+    from voicegrain.queries_more import QUERIES
+
+    found = QUERIES["join_04_review_override"](spark, sf)
+    assert "feedback_id#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    items = spark.createDataFrame([("a", "ACCEPTED", 0.2, 1.0), ("b", "GRAY_ZONE", 0.3, 0.8), ("c", "ACCEPTED", 0.5, 0.6)], "feedback_id string, band string, weight double, tier_weight double")
+    labels = spark.createDataFrame([("a", "spam"), ("b", "valid")], "feedback_id string, label string")
+    early = records.overridden(records.labelled(items, labels).drop("feedback_id"))
+    assert sorted((r.band, r.weight) for r in early.collect()) == [("ACCEPTED", 0.5), ("ACCEPTED", 0.8), ("SPAM", 0.0)]

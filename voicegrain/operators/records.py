@@ -38,7 +38,16 @@ def human_labels(items: DataFrame, labels: DataFrame, key: str, columns: list[st
 
 def review_override(items: DataFrame, labels: DataFrame, key: str = "feedback_id") -> DataFrame:
     """Bands and weights after review: valid rows count with their tier's weight and do not age, spam and fakes count nothing."""
-    rows = items.join(labels.select(key, F.col("label").alias("_label")), key, "left")
+    return overridden(labelled(items, labels, key))
+
+
+def labelled(items: DataFrame, labels: DataFrame, key: str = "feedback_id") -> DataFrame:
+    """``items`` with the ``_label`` of their review, if any; ``labels`` holds each key once."""
+    return items.join(labels.select(key, F.col("label").alias("_label")), key, "left")
+
+
+def overridden(rows: DataFrame) -> DataFrame:
+    """``review_override`` of rows that are ``labelled``."""
     valid, spam, fake = (F.col("_label") == x for x in ("valid", "spam", "inauthentic"))
     band = F.when(valid, "ACCEPTED").when(spam, "SPAM").when(fake, "LIKELY_INAUTHENTIC").otherwise(F.col("band"))
     weight = F.when(valid, F.col("tier_weight")).when(spam | fake, 0.0).otherwise(F.col("weight"))
